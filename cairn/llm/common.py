@@ -49,3 +49,30 @@ def remainder_py(doc_id, m: int) -> int:
 
 def slots(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
+
+
+def small_batches(spark: SparkSession, records: int = 2000, size: str = "16m") -> None:
+    """Bounds what a Python worker holds at a time, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+class WordHash(dict):
+    """word bytes -> 64-bit hash; forgets all when it has grown to ``most`` words."""
+
+    def __init__(self, most: int = 1_000_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= self.most:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def ascii_words(text: str | None) -> list[bytes]:
+    """Words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z, as UTF-8."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontaminate
+from cairn.llm import decontaminate, neardup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op9_decontaminate": decontaminate.op9}
+    return {
+        "op7_near_duplicates": neardup.op7,
+        "op9_decontaminate": decontaminate.op9,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

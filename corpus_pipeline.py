@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontaminate
+from cairn.llm import decontaminate, neardup
 from cairn.llm.common import shared_dir, stored, table
 
 ORACLE_SQL: str | None = None
@@ -14,7 +14,11 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.remove_spans(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("decontaminate", decontaminated)]
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_one(docs)
+
+
+STAGES = [("near_dedup", deduplicated), ("decontaminate", decontaminated)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
