@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontaminate, neardup
+from cairn.llm import bpe, decontaminate, neardup, tokenstore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,7 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op7_near_duplicates": neardup.op7,
+        "op8_token_store": tokenstore.op8,
         "op9_decontaminate": decontaminate.op9,
+        "op10_byte_bpe": bpe.op10,
     }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontaminate, neardup
+from cairn.llm import bpe, decontaminate, neardup
 from cairn.llm.common import shared_dir, stored, table
 
 ORACLE_SQL: str | None = None
