@@ -68,7 +68,7 @@ class Coder:
         import regex
 
         self.ranks, self.most = load_ranks(ranks_path), most
-        spaces = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
+        spaces = "\t\n\r " + segments.OTHER_SPACES
         # the library's \s is the Unicode property; Python's also has four control characters
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{spaces}").replace(r"\s", f"[{spaces}]").replace(r"\S", f"[^{spaces}]"))
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)

@@ -172,8 +172,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, w
         while True:
             at = f"{where}/turn{turn}"
             held = members.join(comp, "id")
-            # the first star has the smallest id as its centre; later ones change, and widen if many turns are needed
-            wide = 1 << min(6, max(0, turn - 3))
+            # the first star has the smallest id as its centre; later ones change, several at a time
+            wide = 1 if not turn else 8 if turn == 1 else 64
             by = [F.col("id") if not turn else F.xxhash64("id", F.lit(turn), F.lit(j)) for j in range(wide)]
             stars = held.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array_distinct(F.array(*[F.min_by(F.struct("id", "comp"), b) for b in by])).alias("centres")).where("lo < hi")
             stars = stored(stars.select("bucket", F.explode("centres").alias("c")).select("bucket", F.col("c.id").alias("centre"), F.col("c.comp").alias("centre_comp")), f"{at}/stars")

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, decontaminate, neardup, tokenstore
+from cairn.llm import bpe, decontaminate, langid, neardup, pii, tokenstore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_pii": pii.op3,
+        "op6_language_id": langid.op6,
         "op7_near_duplicates": neardup.op7,
         "op8_token_store": tokenstore.op8,
         "op9_decontaminate": decontaminate.op9,

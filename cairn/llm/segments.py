@@ -11,7 +11,9 @@ from __future__ import annotations
 import re
 
 _PIECE = re.compile("[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
-_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+#: White space but space, tab, line feed and carriage return (and four controls that only Python counts).
+OTHER_SPACES = "".join(map(chr, [11, 12, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_OTHER_SPACE = re.compile(f"[{OTHER_SPACES}\x1c-\x1f]")
 #: Pieces longer than this are encoded but not cached.
 LONGEST = 200
 

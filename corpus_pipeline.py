@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, decontaminate, neardup
+from cairn.llm import bpe, decontaminate, langid, neardup
 from cairn.llm.common import shared_dir, stored, table
 
 ORACLE_SQL: str | None = None
@@ -18,7 +18,13 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return neardup.keep_one(docs)
 
 
-STAGES = [("near_dedup", deduplicated), ("decontaminate", decontaminated)]
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without letters and those of which no language has half the words."""
+    model = langid.fit(docs)
+    return langid.predict(docs, model).where("lang_pred <> 'und' AND lang_score >= 0.5").select(docs.columns)
+
+
+STAGES = [("language_id", identified), ("near_dedup", deduplicated), ("decontaminate", decontaminated)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
