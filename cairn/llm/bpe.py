@@ -128,10 +128,10 @@ class Coder:
         if len(self.words) > self.most or len(self.pieces) > self.most:
             self.words.clear()
             self.pieces.clear()
-        new = {p for t in texts for p in segments.split(t)} - self.pieces.keys()
+        new = {p for t in texts for p in segments.split(t) if p not in self.pieces}
         split = {p: self.pattern.findall(p) for p in new}
         todo: list[tuple[str, bytes]] = []
-        for w in {w for ws in split.values() for w in ws} - self.words.keys():
+        for w in {w for ws in split.values() for w in ws if w not in self.words}:
             data = w.encode("utf-8", "surrogatepass")
             if (r := self.ranks.get(data)) is not None:
                 self.words[w] = r.to_bytes(4, "little")

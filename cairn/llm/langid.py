@@ -106,7 +106,7 @@ class Model:
         docs = [letter_words(t) for t in texts]
         if len(self.cache) > self.most:
             self.cache, self.rows = {}, None
-        self._learn(list({w for d in docs for w in d} - self.cache.keys()))
+        self._learn(list({w for d in docs for w in d if w not in self.cache}))
         out = np.zeros((len(docs), len(self.labels)))
         length = np.array([len(d) for d in docs], np.int64)
         order = np.argsort(length, kind="stable")

@@ -44,7 +44,7 @@ _CANDIDATE = re.compile(rf"(?P<header>{HEADER})|(?P<prefixed>(?<![A-Za-z0-9_-])(
 #: A text without any of these can't hold a candidate; searching for this first is much cheaper.
 _QUICK = re.compile(r"(?i)[A-Za-z0-9+/_-]{16}|[:=][ \t]{0,4}[\"']?[^\s\"'<>,;]{8}|-----BEGIN")
 FEATURES = ("length", "lower_digit", "upper_lower", "same_class", "distinct", "entropy", "digits", "upper", "hex_only", "pairs", "dictionary", "vowels", "placeholder", "prefixed", "assigned", "header", "secret_word", "hash_word", "test_path", "word_neighbours")
-LABELS = 1600
+LABELS = 4000
 
 
 def _class(c: str) -> int:
@@ -157,7 +157,7 @@ def labelled(n: int = LABELS, seed: int = 17) -> list[tuple[str, str, str, str,
 
 
 @cache
-def forest(trees: int = 24, seed: int = 23) -> list[tree.Node]:
+def forest(trees: int = 32, seed: int = 23) -> list[tree.Node]:
     """Trees on bootstrap samples, each node choosing among a random third of the features."""
     rows = labelled()
     x = [features(*r[:5]) for r in rows]
