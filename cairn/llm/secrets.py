@@ -112,7 +112,7 @@ def labelled(n: int = LABELS, seed: int = 17) -> list[tuple[str, str, str, str,
         yes = 1
         before, after, where, kind = text(), " " + text(), path(), "run"
         if k == 0:
-            value, kind = r.choice(["AKIA", "ASIA"]) + pick(up + dig, 16), "prefixed"
+            value, kind = r.choice(["AKIA", "ASIA"]) + pick(up + (dig if r.random() < 0.6 else ""), 16), "prefixed"
         elif k == 1:
             value, kind = r.choice(["ghp_", "gho_", "npm_"]) + pick(low + up + dig, 36), "prefixed"
         elif k == 2:

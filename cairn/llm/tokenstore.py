@@ -133,10 +133,11 @@ class Encoder:
         try:
             return np.frombuffer(b"".join(map(self.cache.__getitem__, pieces)), "<u4")
         except KeyError:
-            self._learn(list(set(pieces) - self.cache.keys()))
-            missing = list(set(pieces) - self.cache.keys())  # if learning had to clear the cache
-            if missing:
-                self._learn(missing)
+            distinct = set(pieces)
+            # a second time if learning had to clear the cache
+            for _ in range(2):
+                if new := [x for x in distinct if x not in self.cache]:
+                    self._learn(new)
             return np.frombuffer(b"".join(map(self.cache.__getitem__, pieces)), "<u4")
 
 
