@@ -197,8 +197,8 @@ def encode(documents: DataFrame, ranks: str = RANKS, pattern: str = public_token
 
 
 def digests(documents: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN, keep: bool = False) -> DataFrame:
-    """doc_id (or with keep all columns), n_tokens, ids_sha256, decoded_sha256."""
-    more = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+    """doc_id (or with keep all columns and the ids), n_tokens, ids_sha256, decoded_sha256."""
+    more = ({"ids": "array<int>"} if keep else {}) | {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
     rows = documents if keep else documents.select("doc_id", "text")
     rows = rows.drop(*more)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep or f.name == "doc_id"] + [f"{k} {v}" for k, v in more.items()])
@@ -209,7 +209,7 @@ def digests(documents: DataFrame, ranks: str = RANKS, pattern: str = public_toke
         code = coder(ranks, pattern)
         for pdf in batches:
             ids = code.encode(list(pdf["text"]))
-            out = pdf if keep else pdf[["doc_id"]]
+            out = pdf.assign(ids=[x.astype(np.int32) for x in ids]) if keep else pdf[["doc_id"]]
             yield out.assign(n_tokens=[len(x) for x in ids], ids_sha256=[hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids], decoded_sha256=[hashlib.sha256(d).hexdigest() for d in code.decode(ids)])
 
     return rows.mapInPandas(run, schema)

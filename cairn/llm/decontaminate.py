@@ -214,11 +214,14 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[object
         yield block
 
 
-def find_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 8 << 20) -> DataFrame:
-    """documents with n_words, hit_spans (merged word spans, flat) and hit_items (sorted ids as text)."""
+def find_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 8 << 20, prefix: str = "") -> DataFrame:
+    """documents with n_words, hit_spans (merged word spans, flat) and hit_items (sorted ids as text).
+
+    Columns of these names (after prefix) are replaced.
+    """
     spark = documents.sparkSession
-    clash = {"n_words", "hit_spans", "hit_items"} & set(documents.columns)
-    df = documents.drop(*clash).withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast("array<long>"), "hit_items": F.array().cast("array<string>")})
+    n, spans, items = (prefix + c for c in ("n_words", "hit_spans", "hit_items"))
+    df = documents.drop(n, spans, items).withColumns({n: F.lit(0).cast("long"), spans: F.array().cast("array<long>"), items: F.array().cast("array<string>")})
     found = list(blocks(benchmark, block_bytes)) or [[]]
     for block in found:
         data = spark.sparkContext.broadcast(block)
@@ -227,10 +230,10 @@ def find_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             windows = Windows(data.value, window)
             for pdf in batches:
                 docs = [words(t) for t in pdf["text"]]
-                _, spans, items = windows.find(docs)
-                pdf["n_words"] = [len(d) for d in docs]
-                pdf["hit_spans"] = [merged(list(a), b) if b else a for a, b in zip(pdf["hit_spans"], spans)]
-                pdf["hit_items"] = [sorted({*a, *b}) if b else a for a, b in zip(pdf["hit_items"], items)]
+                _, more, ids = windows.find(docs)
+                pdf[n] = [len(d) for d in docs]
+                pdf[spans] = [merged(list(a), b) if b else a for a, b in zip(pdf[spans], more)]
+                pdf[items] = [sorted({*a, *b}) if b else a for a, b in zip(pdf[items], ids)]
                 yield pdf
 
         df = df.mapInPandas(search, df.schema)
@@ -255,15 +258,15 @@ def cut(text: str, spans: list[int]) -> str:
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Cuts every found benchmark passage from the texts; n_chars follows. Documents left without words go."""
-    columns = documents.columns
-    spotted = find_spans(documents, benchmark)
+    columns, spans = documents.columns, "__cut_hit_spans"
+    spotted = find_spans(documents, benchmark, prefix="__cut_")
 
     def edit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            hit = pdf["hit_spans"].map(len) > 0
+            hit = pdf[spans].map(len) > 0
             if hit.any():
-                pdf.loc[hit, "text"] = [cut(t, list(s)) for t, s in zip(pdf.loc[hit, "text"], pdf.loc[hit, "hit_spans"])]
-                if "n_chars" in pdf:
+                pdf.loc[hit, "text"] = [cut(t, list(s)) for t, s in zip(pdf.loc[hit, "text"], pdf.loc[hit, spans])]
+                if "n_chars" in columns:
                     pdf.loc[hit, "n_chars"] = [len(t) for t in pdf.loc[hit, "text"]]
                 pdf = pdf[~hit | pdf["text"].map(lambda t: bool(words(t)))]
             yield pdf[columns]

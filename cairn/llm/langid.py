@@ -213,6 +213,24 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     return rows.mapInPandas(run, schema)
 
 
+def keep_known(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """documents without those that have no letters or no language for the share ``least`` of their words.
+
+    Without any label to learn from nothing is known of languages, and all documents stay.
+    """
+    if not model.labels:
+        return documents
+    data = documents.sparkSession.sparkContext.broadcast((model.labels, model.weights, model.transition))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = Model(*data.value)
+        for pdf in batches:
+            share = held.shares(list(pdf["text"]))
+            yield pdf[(share.max(1) > 0) & (share.max(1) >= least)]
+
+    return documents.mapInPandas(run, documents.schema)
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")

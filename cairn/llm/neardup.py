@@ -208,8 +208,8 @@ def keep_one(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
 
     Rows with a null doc_id can't be told apart and all stay.
     """
-    kept = near_duplicates(documents, shingle, percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = documents.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    kept = near_duplicates(documents, shingle, percent).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
+    named = documents.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("__kept_id"), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(documents.where("doc_id IS NULL"))
 
 

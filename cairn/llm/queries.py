@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, decontaminate, langid, neardup, pii, tokenstore
+from cairn.llm import ann, bpe, decontaminate, html, katz, langid, neardup, pii, secrets, tokenstore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_secrets": secrets.op1,
+        "op2_nearest": ann.op2,
         "op3_pii": pii.op3,
+        "op4_katz": katz.op4,
+        "op5_main_text": html.op5,
         "op6_language_id": langid.op6,
         "op7_near_duplicates": neardup.op7,
         "op8_token_store": tokenstore.op8,

@@ -93,7 +93,7 @@ class Codes:
 class Encoder:
     """Encodes texts with a tokenizers file; pieces seen before come from a bounded cache."""
 
-    def __init__(self, vocabulary: str, most: int = 1_000_000):
+    def __init__(self, vocabulary: str, most: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
@@ -103,42 +103,48 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab().items():
             size[i] = len(token)  # the byte-level alphabet has a character for each byte
         self.size = size
+        self.marks = {c: self._plain(c).tobytes() for c in ".,"}
 
     def _plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, new: list[str]) -> None:
-        """Pieces that open with white space are encoded side by side, then told apart by their bytes."""
+        """Pieces that open with white space are encoded side by side, then told apart by their bytes.
+
+        A full stop or comma after a letter is always a token of its own match, so "word," is learned as
+        "word" and ",".
+        """
         if len(self.cache) + len(new) > self.most:
             self.cache.clear()
-        spaced = [x for x in new if x[0] in " \t\r\n" and x[-1] not in " \t\r\n"]
-        for x in set(new) - set(spaced):
+        marked = [x for x in new if x[-1] in ".," and len(x) > 1 and x[-2].isalpha()]
+        plain = {x for x in new if not (x[-1] in ".," and len(x) > 1 and x[-2].isalpha())}
+        plain.update(x[:-1] for x in marked if x[:-1] not in self.cache)
+        spaced = [x for x in plain if x[0] in " \t\r\n" and x[-1] not in " \t\r\n"]
+        for x in plain.difference(spaced):
             self.cache[x] = self._plain(x).tobytes()
-        for k in range(0, len(spaced), 4096):
-            part = spaced[k : k + 4096]
-            ids = self._plain("".join(part))
+        parts = [spaced[k : k + 512] for k in range(0, len(spaced), 512)]
+        for part, got in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(got.ids, "<u4")
             ends = np.cumsum([len(x.encode("utf-8", "surrogatepass")) for x in part])
             cuts = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
             data, at = ids.tobytes(), 0
             for x, end in zip(part, cuts.tolist()):
                 self.cache[x] = data[4 * at : 4 * end]
                 at = end
-
-    def encode(self, text: str | None) -> np.ndarray:
-        pieces = segments.split(text or "")
-        if not pieces:
-            return np.empty(0, "<u4")
-        if len(pieces) == 1 or max(map(len, pieces)) > segments.LONGEST:
-            return self._plain(text)
-        try:
-            return np.frombuffer(b"".join(map(self.cache.__getitem__, pieces)), "<u4")
-        except KeyError:
-            distinct = set(pieces)
-            # a second time if learning had to clear the cache
-            for _ in range(2):
-                if new := [x for x in distinct if x not in self.cache]:
-                    self._learn(new)
-            return np.frombuffer(b"".join(map(self.cache.__getitem__, pieces)), "<u4")
+        for x in marked:
+            self.cache[x] = self.cache[x[:-1]] + self.marks[x[-1]]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        split = [segments.split(t or "") for t in texts]
+        # a text with a very long piece, or of one piece, is encoded as it is
+        whole = [len(p) == 1 or max(map(len, p), default=0) > segments.LONGEST for p in split]
+        new = {x for p, w in zip(split, whole) if not w for x in p if x not in self.cache}
+        if new:
+            self._learn(list(new))
+        # more, if learning had to clear the cache
+        if missing := {x for p, w in zip(split, whole) if not w for x in p if x not in self.cache}:
+            self._learn(list(missing))
+        return [self._plain(t) if w else np.frombuffer(b"".join(map(self.cache.__getitem__, p)), "<u4") for t, p, w in zip(texts, split, whole)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -167,8 +173,8 @@ def write(documents: DataFrame, path: str, vocabulary: str = VOCABULARY, end: in
             return out
 
         for pdf in batches:
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = np.append(make.encode(text), np.uint32(end))
+            for doc, got in zip(pdf["doc_id"], make.encode(list(pdf["text"]))):
+                ids = np.append(got, np.uint32(end))
                 docs.append(None if pd.isna(doc) else int(doc))
                 runs.append(ids)
                 held += len(ids)

@@ -1,30 +1,50 @@
-"""The corpus pipeline: language ID, near-dedup, decontamination, secret scans, byte-level BPE."""
+"""The corpus pipeline: language ID, near-dedup, decontamination, secret scans, byte-level BPE.
+
+Each stage takes all documents that its predecessor kept, returns the columns of documents (the last one
+adds ids and digests), and is written to the shared folder before the next one reads it. No SQL
+can express the models of its stages; tests compare it with brute-force versions.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, decontaminate, langid, neardup
-from cairn.llm.common import shared_dir, stored, table
+from cairn.llm import bpe, decontaminate, langid, neardup, secrets
+from cairn.llm.common import shared_dir, small_batches, stored, table
 
 ORACLE_SQL: str | None = None
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters go, and those without a language for half of their words."""
+    small_batches(spark)
+    return langid.keep_known(docs, langid.fit(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays (five-word shingles, similarity 0.8)."""
+    return neardup.keep_one(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out of the texts."""
+    small_batches(spark)
     return decontaminate.remove_spans(docs, table(spark, sf_dir, "benchmark"))
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.keep_one(docs)
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; every document stays."""
+    small_batches(spark)
+    return secrets.redact(docs)
 
 
-def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those of which no language has half the words."""
-    model = langid.fit(docs)
-    return langid.predict(docs, model).where("lang_pred <> 'und' AND lang_score >= 0.5").select(docs.columns)
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids, and digests of ids and decoded bytes."""
+    small_batches(spark)
+    return bpe.digests(docs, keep=True)
 
 
-STAGES = [("language_id", identified), ("near_dedup", deduplicated), ("decontaminate", decontaminated)]
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontaminated), ("secrets", without_secrets), ("byte_bpe", encoded)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
