@@ -131,11 +131,12 @@ class Model:
 
 def train(rows: list[tuple[str, str]], stretch: int = 40, steps: int = 40, seed: int = 5) -> Model:
     """rows: (text, label)."""
-    labels = sorted({y for _, y in rows})
+    labels = sorted({y for t, y in rows if letter_words(t)})
     L, rng = len(labels), np.random.default_rng(seed)
     pieces: list[tuple[list[str], int]] = []
     for text, y in rows:
-        w = letter_words(text)
+        if not (w := letter_words(text)):
+            continue
         begins = range(0, len(w), stretch)
         for k in range(min(len(begins), 8)):  # spread evenly over the text
             i = begins[k * len(begins) // min(len(begins), 8)]
