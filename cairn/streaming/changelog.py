@@ -94,36 +94,41 @@ def stream_group_updates(stream: DataFrame, key: str, order: str, seed: Any, pus
 # -- the ordered-series operators on streams --------------------------------------------
 
 
-def take(stream: DataFrame, order: str, n: int, keys: list[str] = []) -> DataFrame:
-    return stateful(stream, keys, order, 0, lambda s, r: (s + 1, [tuple(r)[: len(stream.columns)]] if s < n else []), _same(stream))
+def take(stream: DataFrame, order: str, n: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    width = len(stream.columns)
+    return stateful(stream, list(keys), order, 0, lambda s, r: (s + 1, [tuple(r)[:width]] if s < n else []), _same(stream))
 
 
-def drop(stream: DataFrame, order: str, n: int, keys: list[str] = []) -> DataFrame:
-    return stateful(stream, keys, order, 0, lambda s, r: (s + 1, [tuple(r)[: len(stream.columns)]] if s >= n else []), _same(stream))
+def drop(stream: DataFrame, order: str, n: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    width = len(stream.columns)
+    return stateful(stream, list(keys), order, 0, lambda s, r: (s + 1, [tuple(r)[:width]] if s >= n else []), _same(stream))
 
 
-def take_while(stream: DataFrame, order: str, p: Callable[[Any], bool], keys: list[str] = []) -> DataFrame:
+def take_while(stream: DataFrame, order: str, p: Callable[[Any], bool], keys: tuple[str, ...] = ()) -> DataFrame:
+    width = len(stream.columns)
     def step(going: bool, r):
         going = going and p(r)
-        return going, [tuple(r)[: len(stream.columns)]] if going else []
+        return going, [tuple(r)[:width]] if going else []
 
-    return stateful(stream, keys, order, True, step, _same(stream))
+    return stateful(stream, list(keys), order, True, step, _same(stream))
 
 
-def drop_while(stream: DataFrame, order: str, p: Callable[[Any], bool], keys: list[str] = []) -> DataFrame:
+def drop_while(stream: DataFrame, order: str, p: Callable[[Any], bool], keys: tuple[str, ...] = ()) -> DataFrame:
+    width = len(stream.columns)
     def step(dropping: bool, r):
         dropping = dropping and p(r)
-        return dropping, [] if dropping else [tuple(r)[: len(stream.columns)]]
+        return dropping, [] if dropping else [tuple(r)[:width]]
 
-    return stateful(stream, keys, order, True, step, _same(stream))
+    return stateful(stream, list(keys), order, True, step, _same(stream))
 
 
-def dedupe(stream: DataFrame, order: str, item: str, keys: list[str] = []) -> DataFrame:
+def dedupe(stream: DataFrame, order: str, item: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    width = len(stream.columns)
     def step(s, r):
         x = getattr(r, item)
-        return (x,), [] if s == (x,) else [tuple(r)[: len(stream.columns)]]
+        return (x,), [] if s == (x,) else [tuple(r)[:width]]
 
-    return stateful(stream, keys, order, None, step, _same(stream))
+    return stateful(stream, list(keys), order, None, step, _same(stream))
 
 
 def unique(stream: DataFrame, item: str) -> DataFrame:
@@ -131,17 +136,18 @@ def unique(stream: DataFrame, item: str) -> DataFrame:
     return stream.dropDuplicates([item])
 
 
-def rolling(stream: DataFrame, order: str, seed: Any, push: Callable[[Any, Any], Any], out: str, keys: list[str] = []) -> DataFrame:
+def rolling(stream: DataFrame, order: str, seed: Any, push: Callable[[Any, Any], Any], out: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """The running fold beside each row; out is 'name type'."""
+    width = len(stream.columns)
 
     def step(s, r):
         s = push(s, r)
-        return s, [(*tuple(r)[: len(stream.columns)], s)]
+        return s, [(*tuple(r)[:width], s)]
 
-    return stateful(stream, keys, order, seed, step, f"{_same(stream)}, {out}")
+    return stateful(stream, list(keys), order, seed, step, f"{_same(stream)}, {out}")
 
 
-def interpose(stream: DataFrame, order: str, item: str, separator: Any, keys: list[str] = []) -> DataFrame:
+def interpose(stream: DataFrame, order: str, item: str, separator: Any, keys: tuple[str, ...] = ()) -> DataFrame:
     """(order, step, item): the separator between neighbours."""
     kinds = stream.schema
 
@@ -149,7 +155,7 @@ def interpose(stream: DataFrame, order: str, item: str, separator: Any, keys: li
         p, x = getattr(r, order), getattr(r, item)
         return True, ([(p, 0, separator)] if started else []) + [(p, 1, x)]
 
-    return stateful(stream, keys, order, False, step, f"{order} {kinds[order].dataType.simpleString()}, step int, {item} {kinds[item].dataType.simpleString()}")
+    return stateful(stream, list(keys), order, False, step, f"{order} {kinds[order].dataType.simpleString()}, step int, {item} {kinds[item].dataType.simpleString()}")
 
 
 def _same(stream: DataFrame) -> str:
