@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,6 +127,12 @@ sliding_windows w time red xs = group fst snd red (unnest (x -> sliding_ids w (t
 integers = generator 0 (n -> (n + 1, n))
 series x f = generator x (y -> (f y, f y))
 cogroup kx vx ky vy xs ys = group fst snd (product_reducer bag_union bag_union) (append (map (x -> (kx x, ([vx x], []))) xs) (map (y -> (ky y, ([], [vy y]))) ys))
+co_group rx ry xs ys = group fst snd (product_reducer (monoid rx.zero rx.plus) (monoid ry.zero ry.plus)) (append (map (x -> (fst x, (rx.unit (snd x), ry.zero))) xs) (map (y -> (fst y, (rx.zero, ry.unit (snd y)))) ys))
+shape = generic (s -> v -> s)
+json = { encode = json_encode, decode = json_decode }
+marshal = { encode = marshal_encode, decode = marshal_decode }
+encoding format shape = { encode = format.encode shape, decode = format.decode shape }
+no_encoding = { encode = id, decode = id }
 window_of n = transduce (0, []) (x -> (k, xs) -> if k < n then ((k + 1, sonc xs x), []) else ((n, drop 1 (sonc xs x)), [xs])) ((k, xs) -> if k < n then [] else [xs])
 """
 
@@ -134,10 +140,13 @@ window_of n = transduce (0, []) (x -> (k, xs) -> if k < n then ((k + 1, sonc xs
 class Session:
     """Definitions so far; ``run`` takes program text and gives the lines to show."""
 
-    def __init__(self, stdlib: bool = False):
+    def __init__(self, stdlib: bool = False, spark: SparkSession | None = None):
         self.parser = P.Parser()
         self.types: dict[str, Scheme] = {n: read_type(t) for n, (t, _) in BUILTINS.items()}
         self.values: dict[str, Any] = {n: v for n, (_, v) in BUILTINS.items()}
+        if spark is not None:
+            for n, (t, v) in sources(spark).items():
+                self.types[n], self.values[n] = read_type(t), v
         if stdlib:
             self._run(STDLIB)
 
@@ -182,6 +191,36 @@ class Session:
         return evaluate(e, self.values, {})
 
 
+def sources(spark: SparkSession) -> dict[str, tuple[str, Any]]:
+    """Files and key-value tables as functions of the language."""
+    from cairn.sources import files
+    from cairn.sources.keyvalue import KeyValue
+
+    def series(df: DataFrame, item) -> Series:
+        # the order of a scan: files by name, lines by place
+        return Series(df.select(F.monotonically_increasing_id().alias("_pos"), item.alias("item")), "item")
+
+    def pairs(df: DataFrame) -> Series:
+        return series(df, F.struct(F.col("k").alias("_1"), F.col("v").alias("_2")))
+
+    def kyoto(path: str) -> Rec:
+        kv = KeyValue(spark, path)
+        return Rec((
+            ("keys", series(kv.keys(), F.col("k"))),
+            ("pairs", pairs(kv.pairs())),
+            ("values", lambda k: series(kv.get(k), F.col("v"))),
+            ("pairs_with_prefix", lambda p: pairs(kv.pairs_with_prefix(p))),
+            ("pairs_within_range", lambda low: lambda high: pairs(kv.pairs_within_range(low, high))),
+        ))
+
+    return {
+        "files": ("String -> [String]", lambda p: series(files.files(spark, p), F.col("path"))),
+        "file_lines": ("String -> [String]", lambda p: series(files.file_lines(spark, p), F.col("value"))),
+        "file_chunks": ("String -> [String]", lambda p: series(files.file_chunks(spark, p), F.decode("chunk", "UTF-8"))),
+        "kyoto": ("String -> { keys: [String], pairs: [(String, String)], values: String -> [String], pairs_with_prefix: String -> [(String, String)], pairs_within_range: String -> String -> [(String, String)] }", kyoto),
+    }
+
+
 def fetched(v):
     """The first items of a series as values; other values as they are."""
     if isinstance(v, Series):

@@ -9,7 +9,9 @@ from cairn.lang.parser import Incomplete
 
 
 def main(files: list[str]) -> int:
-    session = Session(stdlib=True)
+    from cairn.session import session as spark_session
+
+    session = Session(stdlib=True, spark=spark_session("language"))
     if files:
         for name in files:
             with open(name) as f:

@@ -87,3 +87,13 @@ def routed(routes: dict[str, Batch], resource: str = "resource") -> Batch:
             routes["*"](df.where(~F.col(resource).isin(named)) if named else df, batch)
 
     return write
+
+
+def publisher(send: Callable[[str], None], column: str) -> Batch:
+    """Hands each item of a batch to send, in the order of the batch: the hook for pushing to subscribers."""
+
+    def write(df: DataFrame, _: int) -> None:
+        for r in df.select(F.col(column).cast("string")).toLocalIterator():
+            send(r[0])
+
+    return write
