@@ -59,84 +59,6 @@ def evaluate(e, env: dict[str, Any], local: dict[str, Any]) -> Any:
     raise TypeError(e)
 
 
-#: Definitions in the language itself.
-STDLIB = """
-!infix_left 0 >>
-(f >> g)(x) = g(f(x))
-!infix_right 0 <<
-(f << g)(x) = f(g(x))
-!infix_left 0 |>
-x |> f = f(x)
-!infix_right 0 <|
-f <| x = f(x)
-id x = x
-pair x y = (x, y)
-curry f a b = f(a, b)
-uncurry f (a, b) = f a b
-constant a x = a
-flip f a b = f b a
-swap (x, y) = (y, x)
-pair_with f x = (f x, x)
-dup x = (x, x)
-(==) = generic equal
-(!=) x y = not (x == y)
-!infix_left 1 ..
-low..high = range low high
-!infix_left 1 ..<
-low ..< high = range low (high - 1)
-!infix_left 1 <..
-low <.. high = range (low + 1) high
-!infix_left 1 <..<
-low <..< high = range (low + 1) (high - 1)
-eq a x = x == a
-gt a x = x > a
-ge a x = x >= a
-lt a x = x < a
-le a x = x <= a
-string_words = string_extract "[a-zA-Z]+"
-!infix_left 3 &
-(&) = append
-bag_union = monoid [] append
-bag = mapping (x -> [x]) bag_union
-union x y = unique (append x y)
-set_union = monoid [] union
-set = mapping (x -> [x]) set_union
-sum = monoid 0 (+)
-product = monoid 1 (*)
-!infix_left 8 **
-m ** n = reduce product (repeat n m)
-count = mapping (constant 1) sum
-count_at_most n = mapping (constant 1) (monoid_with_maximum_check 0 (+) (ge n))
-at_least n xs = n <= reduce (count_at_most n) xs
-at_most n xs = n >= reduce (count_at_most (n + 1)) xs
-and_reducer = monoid_with_maximum true (and) false
-or_reducer = monoid_with_maximum false (or) true
-forall p xs = reduce and_reducer (map p xs)
-exists p xs = reduce or_reducer (map p xs)
-is_empty xs = forall (constant false) xs
-partition p xs = group p id bag xs
-cross_product xs ys = unnest (_ -> xs) ys
-map_cross_product f xs ys = map ((x, y) -> f x y) (cross_product xs ys)
-power_set xs = reduce (monoid [[]] (map_cross_product union)) (map (x -> [[], [x]]) xs)
-remove p = filter (x -> not (p x))
-decorate open close xs = cons open (sonc xs close)
-tumbling_id w t = (t - w.offset) / w.size
-tumbling_window w time = group (x -> tumbling_id w (time x)) id
-sliding_ids w t = map (shift -> (tumbling_id { size = w.slide, offset = w.offset } t) - shift) (range 0 (w.size / w.slide))
-sliding_windows w time red xs = group fst snd red (unnest (x -> sliding_ids w (time x)) xs)
-integers = generator 0 (n -> (n + 1, n))
-series x f = generator x (y -> (f y, f y))
-cogroup kx vx ky vy xs ys = group fst snd (product_reducer bag_union bag_union) (append (map (x -> (kx x, ([vx x], []))) xs) (map (y -> (ky y, ([], [vy y]))) ys))
-co_group rx ry xs ys = group fst snd (product_reducer (monoid rx.zero rx.plus) (monoid ry.zero ry.plus)) (append (map (x -> (fst x, (rx.unit (snd x), ry.zero))) xs) (map (y -> (fst y, (rx.zero, ry.unit (snd y)))) ys))
-shape = generic (s -> v -> s)
-json = { encode = json_encode, decode = json_decode }
-marshal = { encode = marshal_encode, decode = marshal_decode }
-encoding format shape = { encode = format.encode shape, decode = format.decode shape }
-no_encoding = { encode = id, decode = id }
-window_of n = transduce (0, []) (x -> (k, xs) -> if k < n then ((k + 1, sonc xs x), []) else ((n, drop 1 (sonc xs x)), [xs])) ((k, xs) -> if k < n then [] else [xs])
-"""
-
-
 class Session:
     """Definitions so far; ``run`` takes program text and gives the lines to show."""
 
@@ -148,7 +70,11 @@ class Session:
             for n, (t, v) in sources(spark).items():
                 self.types[n], self.values[n] = read_type(t), v
         if stdlib:
-            self._run(STDLIB)
+            from cairn.lang.library import LIBRARY, OPERATORS
+
+            self.parser.operators |= OPERATORS
+            self.types |= {n: read_type(t) for n, (t, _) in LIBRARY.items()}
+            self.values |= {n: v for n, (_, v) in LIBRARY.items()}
 
     def table(self, name: str, df: DataFrame, pos: str) -> None:
         """Makes a table's rows, in the order of pos, a sequence of records of the language."""
