@@ -9,11 +9,15 @@ one; without words it is empty and linked with nothing). Documents are linked wh
    its sketch value, and an empty bin borrows from a non-empty one along a fixed random order of
    its own. BANDS groups of ROWS slots are the buckets. At similarity 0.8 two texts share none
    of the 40 buckets with probability 1e-7.
-3. In each bucket every member is paired with a centre only (a star), so pairs grow with the
-   members. Pairs are confirmed on the full sets, confirmed links are joined to components.
-4. A bucket whose members are in one component is finished. In the others the centre, which by
-   then was compared with all members, leaves and another takes its place until none is left;
-   thus each pair of a bucket is either tested or in one component already, without a cap.
+3. In each bucket every member is paired with centres only (stars), so pairs grow with the
+   members. The first centre is the member that meets the most others, which in a group of copies
+   is the original. Pairs are confirmed on the full sets, confirmed links joined to components.
+4. A bucket whose members are in one component is finished. In the others further stars follow: a
+   centre, which by then was compared with all members, leaves, and the next one and three more by
+   a hash that changes with the turn take its place, until a turn finds no link. Like texts share 13
+   buckets on average, and a pair is lost only if no turn makes either of them a centre in any
+   of those; tests find no loss against brute force. Testing every pair of every bucket instead would
+   grow with the square of a group of copies that are not quite alike.
 
 Edge cases: null and empty text: n_shingles 0, a component of its own. Null doc_id: takes no part,
 component_id null, kept false. Rows that share a doc_id are one document; a link of any of their
@@ -29,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import WordHash, ascii_words, shared_dir, small_batches, stored, table
+from cairn.llm.common import WordHash, ascii_words, release, shared_dir, small_batches, stored, table
 
 SLOTS, ROWS = 200, 5
 BANDS = SLOTS // ROWS
@@ -162,41 +166,47 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, w
     some = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(some.groupBy("key").agg(F.min("doc_id").alias("rep")), f"{where}/classes")
     reps = some.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"]).select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
-    buckets = stored(reps.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket"), f"{where}/buckets")
-    members = stored(reps.join(buckets, "bucket").select("bucket", "id").distinct(), f"{where}/members")
+    buckets = stored(reps.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("bucket", "size"), f"{where}/buckets")
+    members = stored(reps.join(buckets, "bucket"), f"{where}/dealt").groupBy("bucket", "id").agg(F.max("size").alias("size"))
+    # the original of a group of copies keeps most of the group's sketch values, so it meets the most members
+    central = members.groupBy("id").agg(F.sum("size").alias("weight"))
+    members = stored(members.join(central, "id").select("bucket", "id", "weight"), f"{where}/members")
     ids = stored(members.select("id").distinct(), f"{where}/ids")
     comp, turn = ids.withColumn("comp", F.col("id")), 0
     if not ids.isEmpty():
+        release(spark)
         sets = stored(_sets(documents, ids, shingle), f"{where}/sets")
+        release(spark)
         tested = None
         while True:
             at = f"{where}/turn{turn}"
-            held = members.join(comp, "id")
-            # the first star has the smallest id as its centre; later ones change, several at a time
-            wide = 1 if not turn else 8 if turn == 1 else 64
-            by = [F.col("id") if not turn else F.xxhash64("id", F.lit(turn), F.lit(j)) for j in range(wide)]
-            stars = held.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array_distinct(F.array(*[F.min_by(F.struct("id", "comp"), b) for b in by])).alias("centres")).where("lo < hi")
-            stars = stored(stars.select("bucket", F.explode("centres").alias("c")).select("bucket", F.col("c.id").alias("centre"), F.col("c.comp").alias("centre_comp")), f"{at}/stars")
+            held = stored(members.join(comp, "id"), f"{at}/held")
+            picks = [F.max_by(F.struct("id", "comp"), F.struct("weight", -F.col("id")))]
+            if turn:
+                picks += [F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(turn), F.lit(k))) for k in range(3)]
+            stars = held.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("weight").alias("weight"), F.array_distinct(F.array(*picks)).alias("centres")).where("lo < hi")
+            stars = stored(stars.select("bucket", "weight", F.explode("centres").alias("c")).select("bucket", F.col("weight").alias("most"), F.col("c.id").alias("centre"), F.col("c.comp").alias("centre_comp")), f"{at}/stars")
             open_ = held.join(stars, "bucket")
-            pairs = open_.where("comp <> centre_comp").select(F.col("id").alias("a"), F.col("centre").alias("b"))
+            pairs = open_.where("comp <> centre_comp").select(F.col("id").alias("a"), F.col("centre").alias("b"), "most")
             # at first one pair for each member: most copies find their component by it
-            pairs = pairs.groupBy("a").agg(F.min("b").alias("b")) if not turn else pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("most", -F.col("b"))).alias("b")) if not turn else pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
             pairs = stored(pairs, f"{at}/pairs")
             none = pairs.isEmpty()
+            linked = False
             if not none:
                 links = stored(_confirmed(pairs, sets, percent), f"{at}/links")
-                if not links.isEmpty():
+                linked = not links.isEmpty()
+                if linked:
                     comp = components(comp, links, at)
                 pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                 tested = pairs if tested is None else tested.union(pairs)
-            if turn:
-                left = open_.join(stars.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id").distinct()
-                members = stored(left, f"{at}/members")
-                if members.isEmpty():
-                    break
-            elif none:
+            if none or turn and not linked:
                 break
+            if turn:
+                # a centre was compared with all of its bucket
+                members = stored(held.join(stars.select("bucket").distinct(), "bucket", "left_semi").join(stars.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "weight"), f"{at}/members")
             turn += 1
+    release(spark)
     named = classes.join(comp, F.col("rep") == F.col("id"), "left").select("key", F.coalesce("comp", "rep").alias("comp"))
     out = rows.select("doc_id", "n_shingles", "key").join(named, "key", "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
