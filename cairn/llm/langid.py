@@ -1,7 +1,7 @@
 """Language ID by a linear-chain conditional random field over the words of a text.
 
 Words are runs of letters, lower-cased. A word's features are its prefixes and suffixes of up to
-three letters, its letter n-grams of one to three with the word's borders, and the word itself
+three bytes, its n-grams of two and three bytes with the word's borders, and the word itself
 (the lexicon), hashed to a weight table; one transition matrix links the labels of neighbours.
 The weights maximise the conditional likelihood of training sequences in which stretches of
 documents of different languages follow each other, so that changes of language within a text
@@ -41,12 +41,14 @@ def letter_words(text: str | None) -> list[str]:
 
 
 def features(word: str) -> list[int]:
-    w = f"<{word[:40]}>"
-    n = len(w)
-    out = ["p" + w[1:k] for k in (2, 3, 4) if k < n] + ["s" + w[-k:-1] for k in (2, 3, 4) if k < n]
-    out += ["g" + w[i : i + k] for k in (1, 2, 3) for i in range(max(0, n - k + 1))]
-    out.append("w" + w)
-    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for f in out]
+    """Buckets of the word's prefixes, suffixes, n-grams and itself, over its UTF-8 bytes with borders."""
+    w = f"<{word[:40]}>".encode("utf-8", "surrogatepass")
+    n, crc, mask = len(w), zlib.crc32, BUCKETS - 1
+    out = [crc(w[:k], 1) & mask for k in (2, 3, 4) if k < n]
+    out += [crc(w[-k:], 2) & mask for k in (2, 3, 4) if k < n]
+    out += [crc(w[i : i + k], 3) & mask for k in (2, 3) for i in range(n - k + 1)]
+    out.append(crc(w, 4) & mask)
+    return out
 
 
 def _table(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -187,10 +189,11 @@ def train(rows: list[tuple[str, str]], stretch: int = 40, steps: int = 40, seed:
 
 def fit(labelled: DataFrame, sample_docs: int = 2000) -> Model:
     """labelled has text and lang; at most sample_docs of its rows are read to the driver."""
-    some = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    key = F.xxhash64("text", "lang")
-    part = some.select("text", "lang", key.alias("k")).orderBy("k").limit(sample_docs)
-    return train([(r["text"], r["lang"]) for r in part.collect()])
+    some = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").withColumn("k", F.xxhash64("text", "lang"))
+    # only hashes are sorted; then the rows up to the last one are read
+    last = some.select("k").orderBy("k").limit(sample_docs).agg(F.max("k")).first()[0]
+    part = [] if last is None else some.where(F.col("k") <= last).limit(sample_docs).collect()
+    return train(sorted((r["text"], r["lang"]) for r in part))
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
