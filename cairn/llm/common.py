@@ -33,6 +33,12 @@ def stored(df: DataFrame, where: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a table that stored() has written and that no later plan reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished jobs before the next large one."""
     spark.sparkContext._jvm.System.gc()
@@ -57,6 +63,27 @@ def small_batches(spark: SparkSession, records: int = 2000, size: str = "16m") -
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+class Recent(dict):
+    """A cache of two generations: of ``most`` entries the older half goes first, and what is used again stays."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def __missing__(self, key):
+        value = self[key] = self.old[key]
+        return value
+
+    def lacks(self, keys) -> list:
+        old = self.old
+        return [k for k in keys if k not in self and k not in old]
+
+    def make_room(self) -> None:
+        if len(self) > self.most // 2:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordHash(dict):
     """word bytes -> 64-bit hash; forgets all when it has grown to ``most`` words."""
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import segments
-from cairn.llm.common import shared_dir, small_batches, table
+from cairn.llm.common import Recent, shared_dir, small_batches, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
@@ -98,7 +98,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.vocabulary, self.most, self.cache = vocabulary, most, {}
+        self.cache = Recent(most)
         size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             size[i] = len(token)  # the byte-level alphabet has a character for each byte
@@ -114,11 +114,9 @@ class Encoder:
         A full stop or comma after a letter is always a token of its own match, so "word," is learned as
         "word" and ",".
         """
-        if len(self.cache) + len(new) > self.most:
-            self.cache.clear()
         marked = [x for x in new if x[-1] in ".," and len(x) > 1 and x[-2].isalpha()]
         plain = {x for x in new if not (x[-1] in ".," and len(x) > 1 and x[-2].isalpha())}
-        plain.update(x[:-1] for x in marked if x[:-1] not in self.cache)
+        plain.update(self.cache.lacks(x[:-1] for x in marked))
         spaced = [x for x in plain if x[0] in " \t\r\n" and x[-1] not in " \t\r\n"]
         for x in plain.difference(spaced):
             self.cache[x] = self._plain(x).tobytes()
@@ -138,12 +136,9 @@ class Encoder:
         split = [segments.split(t or "") for t in texts]
         # a text with a very long piece, or of one piece, is encoded as it is
         whole = [len(p) == 1 or max(map(len, p), default=0) > segments.LONGEST for p in split]
-        new = {x for p, w in zip(split, whole) if not w for x in p if x not in self.cache}
-        if new:
-            self._learn(list(new))
-        # more, if learning had to clear the cache
-        if missing := {x for p, w in zip(split, whole) if not w for x in p if x not in self.cache}:
-            self._learn(list(missing))
+        self.cache.make_room()
+        if new := self.cache.lacks(set().union(*[p for p, w in zip(split, whole) if not w])):
+            self._learn(new)
         return [self._plain(t) if w else np.frombuffer(b"".join(map(self.cache.__getitem__, p)), "<u4") for t, p, w in zip(texts, split, whole)]
 
 
