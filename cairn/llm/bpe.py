@@ -2,10 +2,11 @@
 
 Each partition has its own in-process DuckDB with the merge table (left id, right id, rank of the
 joined token). A batch's distinct pre-tokens start as rows (word, position, token) of single
-bytes; each step joins neighbours with the merge table, finds each word's leftmost pair of
-minimum rank and contracts it; words without such a pair leave the recursion. Ordered
-aggregation gives a word's ids, and decodes ids to bytes. Words that are tokens themselves are
-not contracted, as in the library. A worker keeps a bounded cache of the words it has seen.
+bytes, whose neighbours are joined with the merge table; ordered aggregation makes a word's tokens and
+pair ranks lists. Each step of the recursion contracts every word's leftmost pair of minimum rank
+and joins the two pairs it changes with the merge table; words without a pair to merge leave the recursion.
+Ordered aggregation decodes ids to bytes. Words that are tokens themselves are not contracted, as in
+the library. A worker keeps a bounded cache of the words it has seen.
 
 Words over LONGEST bytes would take a step for each of their merges over all their rows, so these
 few are contracted by a heap in Python with the same rule and the same result.
@@ -27,29 +28,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import segments
-from cairn.llm.common import small_batches, table
+from cairn.llm.common import Recent, small_batches, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 LONGEST = 256
-BATCH = 10_000
-
-_ENCODE = """
-WITH RECURSIVE state(word, pos, token, final) AS (
-    SELECT word, pos, token, false FROM bytes
+BATCH = 8_000
+
+#: Stands for a pair that doesn't merge; larger than all ranks.
+_NONE = 1 << 30
+_ENCODE = f"""
+WITH RECURSIVE neighbours AS (
+    SELECT word, pos, token, (token::BIGINT << 32) | lead(token) OVER (PARTITION BY word ORDER BY pos) AS pair FROM bytes
+), start AS (
+    SELECT word, list(token ORDER BY pos) AS tokens, list(coalesce(rank, {_NONE}) ORDER BY pos) AS ranks
+    FROM neighbours LEFT JOIN merges USING (pair) GROUP BY word
+), state(word, tokens, ranks, best) AS (
+    SELECT word, tokens, ranks, list_min(ranks) FROM start
     UNION ALL
-    SELECT word, pos, CASE WHEN pos = best & 65535 THEN (best >> 16)::INT ELSE token END, best IS NULL
+    SELECT word, tokens, ranks, list_min(ranks)
     FROM (
-        SELECT word, pos, token, before, min((rank << 16) | pos) OVER (PARTITION BY word) AS best
-        FROM (
-            SELECT word, pos, token,
-                   lead(token) OVER (PARTITION BY word ORDER BY pos) AS follower,
-                   lag(pos) OVER (PARTITION BY word ORDER BY pos) AS before
-            FROM state WHERE NOT final
-        ) AS pairs LEFT JOIN merges ON merges.pair = (token::BIGINT << 32) | follower
+        SELECT word,
+               tokens[1:spot - 1] || [best::INT] || tokens[spot + 2:] AS tokens,
+               ranks[1:greatest(spot - 2, 0)]
+                   || CASE WHEN spot > 1 THEN [coalesce(l.rank, {_NONE})] ELSE [] END
+                   || [coalesce(r.rank, {_NONE})] || ranks[spot + 2:] AS ranks
+        FROM (SELECT word, tokens, ranks, best, list_position(ranks, best) AS spot FROM state WHERE best < {_NONE}) AS s
+        LEFT JOIN merges AS l ON l.pair = CASE WHEN spot > 1 THEN (tokens[spot - 1]::BIGINT << 32) | best END
+        LEFT JOIN merges AS r ON r.pair = (best << 32) | tokens[spot + 2]
     )
-    WHERE before IS NULL OR best IS NULL OR before <> best & 65535
 )
-SELECT list(token ORDER BY pos) AS ids FROM state WHERE final GROUP BY word ORDER BY word
+SELECT tokens AS ids FROM state WHERE best = {_NONE} ORDER BY word
 """
 _DECODE = """
 SELECT i.doc, string_agg(v.hex, '' ORDER BY i.pos) AS hex FROM ids AS i JOIN tokens AS v USING (token) GROUP BY i.doc
@@ -62,19 +70,19 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Coder:
-    def __init__(self, ranks_path: str, pattern: str, most: int = 1_000_000):
+    def __init__(self, ranks_path: str, pattern: str, most: int = 300_000):
         import duckdb
         import pyarrow as pa
         import regex
 
-        self.ranks, self.most = load_ranks(ranks_path), most
+        self.ranks = load_ranks(ranks_path)
         spaces = "\t\n\r " + segments.OTHER_SPACES
         # the library's \s is the Unicode property; Python's also has four control characters
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{spaces}").replace(r"\s", f"[{spaces}]").replace(r"\S", f"[^{spaces}]"))
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.tokens = {i: t for t, i in self.ranks.items()}
         merges = [((self.ranks[t[:k]] << 32) | self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         given = pa.table({"pair": pa.array([p for p, _ in merges], pa.int64()), "rank": pa.array([r for _, r in merges], pa.int64())})
         self.db.register("given", given)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given")
@@ -82,8 +90,7 @@ class Coder:
         self.db.register("given", pa.table({"token": pa.array(list(self.tokens), pa.int32()), "hex": [t.hex() for t in self.tokens.values()]}))
         self.db.execute("CREATE TABLE tokens AS SELECT * FROM given")
         self.db.unregister("given")
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Recent(most), Recent(most)
 
     def by_heap(self, word: bytes) -> list[int]:
         """The same contraction for a long word: always the smallest (rank, position)."""
@@ -108,7 +115,8 @@ class Coder:
             offer(before[i])
         return [self.ranks[p] for p in parts if p is not None]
 
-    def contract(self, words: list[bytes]) -> list[list[int]]:
+    def contract(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as little-endian 32-bit integers."""
         import pyarrow as pa
 
         out = []
@@ -118,20 +126,21 @@ class Coder:
             data = np.frombuffer(b"".join(part), np.uint8)
             rows = pa.table({"word": np.repeat(np.arange(len(part), dtype=np.int32), n), "pos": (np.arange(len(data)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32), "token": self.single[data]})
             self.db.register("bytes", rows)
-            got = self.db.sql(_ENCODE).to_arrow_table()["ids"].to_pylist()
+            got = self.db.sql(_ENCODE).to_arrow_table()["ids"].combine_chunks()
             self.db.unregister("bytes")
-            out += got
+            got = got.chunk(0) if isinstance(got, pa.ChunkedArray) else got
+            flat, ends = got.values.to_numpy().astype("<u4").tobytes(), (4 * got.offsets.to_numpy()).tolist()
+            out += [flat[a:b] for a, b in zip(ends, ends[1:])]
         return out
 
     def learn(self, texts: list[str]) -> None:
         """Fills the caches with all pieces and words of texts."""
-        if len(self.words) > self.most or len(self.pieces) > self.most:
-            self.words.clear()
-            self.pieces.clear()
-        new = {p for t in texts for p in segments.split(t) if p not in self.pieces}
+        self.words.make_room()
+        self.pieces.make_room()
+        new = self.pieces.lacks(set().union(*map(segments.split, texts)))
         split = {p: self.pattern.findall(p) for p in new}
         todo: list[tuple[str, bytes]] = []
-        for w in {w for ws in split.values() for w in ws if w not in self.words}:
+        for w in self.words.lacks(set().union(*split.values())):
             data = w.encode("utf-8", "surrogatepass")
             if (r := self.ranks.get(data)) is not None:
                 self.words[w] = r.to_bytes(4, "little")
@@ -139,8 +148,7 @@ class Coder:
                 self.words[w] = np.array(self.by_heap(data), "<u4").tobytes()
             else:
                 todo.append((w, data))
-        for (w, _), ids in zip(todo, self.contract([d for _, d in todo])):
-            self.words[w] = np.array(ids, "<u4").tobytes()
+        self.words.update(zip([w for w, _ in todo], self.contract([d for _, d in todo])))
         for p, ws in split.items():
             self.pieces[p] = b"".join([self.words[w] for w in ws])
 
@@ -157,7 +165,7 @@ class Coder:
         at = 0
         while at < len(docs):
             block, held = at, 0
-            while at < len(docs) and (held == 0 or held + len(docs[at]) <= 500_000):
+            while at < len(docs) and (held == 0 or held + len(docs[at]) <= 200_000):
                 held += len(docs[at])
                 at += 1
             part = docs[block:at]
