@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import WordHash, ascii_words, release, remainder_py, shared_dir, small_batches, stored, table
+from cairn.llm.common import WordHash, ascii_words, drop, release, remainder_py, shared_dir, small_batches, stored, table
 from cairn.llm.neardup import mix
 
 START, END = 1, 2
@@ -45,8 +45,10 @@ K = 5
 #: Taken from counts above K.
 SLIGHT = 1e-6
 HOT = 512
-BUCKET_TOKENS = 2_500_000
+BUCKET_TOKENS = 1_200_000
 CHUNK_TOKENS = 2_000_000
+#: The buckets are dealt in so many turns, each after the last one's shuffle was released.
+TURNS = 2
 _U = np.uint64
 
 
@@ -125,8 +127,11 @@ def frequent(documents: DataFrame, heldout: int | None, sample: int = 2000) -> t
     return {r["word"] % 2**64: r["n"] for r in got if r["what"] == "word" and (r["word"] % 2**64 in hot or r["word"] == END)}, {"tokens": 0, "train": 0, "docs": 0} | totals
 
 
-def _dealt(documents: DataFrame, hot: list[int], buckets: int, heldout: int | None) -> DataFrame:
-    """(bucket, blob): bigrams of chunks of documents by bucket; documents themselves under negative numbers."""
+def _dealt(documents: DataFrame, hot: list[int], buckets: int, heldout: int | None, turn: int) -> DataFrame:
+    """(bucket, blob): bigrams of chunks of documents by bucket; documents themselves under negative numbers.
+
+    A turn deals every TURNS-th bucket, the first one the documents too.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, known = WordHash(), np.array(sorted(hot), np.uint64)
@@ -147,13 +152,13 @@ def _dealt(documents: DataFrame, hot: list[int], buckets: int, heldout: int | No
             ends = np.cumsum(np.bincount(bucket, minlength=buckets))
             out = []
             for b, (s, e) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)):
-                if e > s:
+                if e > s and b % TURNS == turn:
                     o = order[s:e]
                     uw, nw = np.unique(w[o], return_counts=True)
                     uh, ih = np.unique(h[o], return_inverse=True)
                     out.append((b, pack(uw, small(nw), uh, small(ih), small(doc[o]), uid, small(c[o]))))
             home = (mix(uid >> _U(1)) % _U(buckets)).astype(np.int64)
-            for d in np.unique(home):
+            for d in np.unique(home) if turn == 0 else ():
                 mine = np.flatnonzero(home == d)
                 out.append((-1 - int(d), pickle.dumps(([uids[i] for i in mine], [docs[i] for i in mine], [tokens[i] for i in mine]))))
             for x in (hs, ws, cs, sizes, uids, docs, tokens):
@@ -320,14 +325,19 @@ def _scored(parts: DataFrame, facts: dict) -> DataFrame:
     return parts.groupBy("key").applyInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score(documents: DataFrame, heldout: int | None = 7, where: str | None = None) -> DataFrame:
-    """Trains on the documents that aren't held out (crc32(doc_id) mod heldout is not 2) and scores all."""
+def score(documents: DataFrame, heldout: int | None = 7, where: str | None = None, keep_model: bool = False) -> DataFrame:
+    """Trains on the documents that aren't held out (crc32(doc_id) mod heldout is not 2) and scores all.
+
+    With keep_model the bigram tables stay in where.
+    """
     spark = documents.sparkSession
     where = where or shared_dir(spark)
     hot, totals = frequent(documents, heldout)
     buckets = max(16, totals["tokens"] // BUCKET_TOKENS)
-    model = stored(_merged(_dealt(documents, list(hot), buckets, heldout), hot), f"{where}/model")
-    release(spark)
+    for turn in range(TURNS):
+        part = stored(_merged(_dealt(documents, list(hot), buckets, heldout, turn), hot), f"{where}/model{turn}")
+        release(spark)
+    model = spark.read.schema(part.schema).parquet(*[f"{where}/model{turn}" for turn in range(TURNS)])
     at = lambda c, k: F.sum(F.get(c, F.lit(k)))
     r = model.agg(*[at("pairs", k).alias(f"p{k}") for k in range(K + 2)], *[at("words", k).alias(f"w{k}") for k in range(K + 2)], F.sum("vocabulary").alias("v")).first()
     pairs, words = ([int(r[f"{x}{k}"] or 0) for k in range(K + 2)] for x in "pw")
@@ -340,6 +350,9 @@ def score(documents: DataFrame, heldout: int | None = 7, where: str | None = Non
     large = facts["train"] - sum(k * words[k] for k in range(1, K + 1))
     facts["unknown"] = max(1 - (kept + (1 - SLIGHT) * large) / facts["train"], 1e-12) if facts["train"] else 1.0
     parts = stored(_parts(model, buckets, facts), f"{where}/parts")
+    if not keep_model:
+        for turn in range(TURNS):
+            drop(spark, f"{where}/model{turn}")
     more = stored(_backed_off(parts, buckets), f"{where}/backoff")
     return _scored(parts.where("kind IN ('d', 'm')").unionByName(more), facts)
 
