@@ -12,12 +12,14 @@ one; without words it is empty and linked with nothing). Documents are linked wh
 3. In each bucket every member is paired with centres only (stars), so pairs grow with the
    members. The first centre is the member that meets the most others, which in a group of copies
    is the original. Pairs are confirmed on the full sets, confirmed links joined to components.
-4. A bucket whose members are in one component is finished. In the others further stars follow: a
-   centre, which by then was compared with all members, leaves, and the next one and three more by
-   a hash that changes with the turn take its place, until a turn finds no link. Like texts share 13
-   buckets on average, and a pair is lost only if no turn makes either of them a centre in any
-   of those; tests find no loss against brute force. Testing every pair of every bucket instead would
-   grow with the square of a group of copies that are not quite alike.
+4. A bucket whose members are in one component is finished. In the others a second turn of stars
+   follows, around the same centre and three more by a hash.
+5. Whatever is open then is ended exactly. In buckets of up to SMALL members all untested pairs are
+   confirmed. Larger ones are joined to groups by their members, and in a group every text is
+   compared with each of another component: the texts are dealt to tiles, and a tile counts the
+   shared shingles of all its pairs by products of matrices. So each pair of a bucket is either
+   tested or in one component already. Rows grow with the members; the arithmetic grows with the square
+   of a group whose texts are alike, but not enough.
 
 Edge cases: null and empty text: n_shingles 0, a component of its own. Null doc_id: takes no part,
 component_id null, kept false. Rows that share a doc_id are one document; a link of any of their
@@ -37,6 +39,8 @@ from cairn.llm.common import WordHash, ascii_words, release, shared_dir, small_b
 
 SLOTS, ROWS = 200, 5
 BANDS = SLOTS // ROWS
+#: Up to so many members all pairs of a bucket are rows; texts and shingles on one side of a tile, about.
+SMALL, TEXTS, SHINGLES = 8, 2000, 2_000_000
 _U = np.uint64
 
 
@@ -157,6 +161,107 @@ def components(nodes: DataFrame, links: DataFrame, where: str) -> DataFrame:
     return stored(out.select("id", F.coalesce("l", "comp").alias("comp")), f"{where}/comp")
 
 
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of a shares with each of b: frequent ones by dense products, others by their postings."""
+    na, nb = len(a), len(b)
+    la, lb = (np.array([len(x) for x in side], np.int64) for side in (a, b))
+    token = np.unique(np.concatenate([*a, *b]), return_inverse=True)[1].reshape(-1)
+    ta, tb = token[: la.sum()], token[la.sum() :]
+    oa, ob = np.repeat(np.arange(na), la), np.repeat(np.arange(nb), lb)
+    many = int(token.max()) + 1 if len(token) else 0
+    ca, cb = np.bincount(ta, minlength=many), np.bincount(tb, minlength=many)
+    out = np.zeros((na, nb), np.float32)
+    dense = ca * cb * 100 > na * nb
+    column = np.where(dense, np.cumsum(dense) - 1, -1)
+    da, db = column[ta], column[tb]
+    by_a, by_b = np.argsort(da, kind="stable"), np.argsort(db, kind="stable")
+    for first in range(0, int(dense.sum()), 1024):
+        x, y = np.zeros((na, 1024), np.float32), np.zeros((nb, 1024), np.float32)
+        for m, d, o, by in ((x, da, oa, by_a), (y, db, ob, by_b)):
+            own = by[slice(*np.searchsorted(d, (first, first + 1024), sorter=by))]
+            m[o[own], d[own] - first] = 1
+        out += x @ y.T
+    rare = np.flatnonzero(~dense[ta] & (cb[ta] > 0))
+    posted, begin = ob[np.argsort(tb, kind="stable")], np.cumsum(cb) - cb
+    n = cb[ta[rare]]
+    ends, at = np.cumsum(n), 0
+    while at < len(rare):
+        # some four million postings at a time
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 4_000_000, "right")))
+        own, k = rare[at:to], n[at:to]
+        where = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(begin[ta[own]], k)
+        np.add.at(out.reshape(-1), np.repeat(oa[own] * nb, k) + posted[where], np.float32(1))
+        at = to
+    return out
+
+
+def _tile(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (a, b) that join all components of a tile which any of its pairs joins."""
+    sides = [pdf[pdf["own"]], pdf[~pdf["own"]]]
+    sets = [[np.frombuffer(x, np.uint64) for x in side["shingles"]] for side in sides]
+    ids, out = [side["id"].to_numpy() for side in sides], []
+    if len(sets[0]) and len(sets[1]):
+        both = overlaps(*sets).astype(np.float64)
+        size = [np.array([len(x) for x in side], np.float64) for side in sets]
+        good = (both > 0) & (100 * both >= percent * (size[0][:, None] + size[1][None, :] - both))
+        label = dict(zip(c := pd.unique(pdf["comp"]), c))
+
+        def top(x):
+            while label[x] != x:
+                label[x] = x = label[label[x]]
+            return x
+
+        comp = [side["comp"].to_numpy() for side in sides]
+        while True:
+            now = [np.array([top(x) for x in side]) for side in comp]
+            good &= now[0][:, None] != now[1][None, :]
+            rows = np.flatnonzero(good.any(1))
+            if not len(rows):
+                break
+            # one link a row and turn, if it still joins two
+            for i, j in zip(rows, good[rows].argmax(1)):
+                x, y = top(comp[0][i]), top(comp[1][j])
+                if x != y:
+                    label[max(x, y)] = min(x, y)
+                    out.append((ids[0][i], ids[1][j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _exact_end(members: DataFrame, comp: DataFrame, tested: DataFrame, sets: DataFrame, percent: int, where: str) -> DataFrame:
+    """comp after every pair of the members' buckets that is neither tested nor in one component was tested."""
+    held = stored(members.join(comp, "id").select("bucket", "id", "comp"), f"{where}/held")
+    size = held.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.min("id").alias("first")).where("lo < hi")
+    size = stored(size.select("bucket", "size", "first"), f"{where}/open")
+    small = stored(held.join(size.where(F.col("size") <= SMALL), "bucket").groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("id", "comp"))).alias("m")), f"{where}/small")
+    pairs = small.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y")).where("x.id < y.id AND x.comp <> y.comp")
+    pairs = stored(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), f"{where}/pairs")
+    found = stored(_confirmed(pairs, sets, percent), f"{where}/links")
+    large = held.join(size.where(F.col("size") > SMALL).select("bucket", "first"), "bucket")
+    links = stored(large.select(F.col("id").alias("a"), F.col("first").alias("b")), f"{where}/ties")
+    if links.isEmpty():
+        return comp if found.isEmpty() else components(comp, found, f"{where}/by_pairs")
+    # groups of buckets first: a member ties the first member of each of its buckets to the smallest such one
+    anchor = stored(links.groupBy("a").agg(F.min("b").alias("anchor"), F.collect_set("b").alias("all")), f"{where}/anchors")
+    ties = stored(anchor.select(F.col("anchor").alias("a"), F.explode("all").alias("b")).distinct(), f"{where}/graph")
+    tied = components(ties.select(F.col("b").alias("id")).distinct().withColumn("comp", F.col("id")), ties, f"{where}/groups")
+    group = anchor.join(tied.toDF("anchor", "tied"), "anchor").select(F.col("a").alias("id"), "tied").join(comp, "id")
+    size = sets.select("id", (F.length("shingles") / 8).alias("n"))
+    group = stored(group.join(size.groupBy("id").agg(F.sum("n").alias("n"), F.count("*").alias("texts")), "id"), f"{where}/group")
+    # the largest component of a group is compared with the others only
+    parts = group.groupBy("tied", "comp").agg(F.sum("texts").alias("texts"), F.sum("n").alias("n"))
+    parts = parts.groupBy("tied").agg(F.sum("texts").alias("texts"), F.sum("n").alias("n"), F.max(F.struct("texts", "n", "comp")).alias("main")).where("main.texts < texts")
+    tiles = lambda texts, n: F.greatest(F.ceil(texts / TEXTS), F.ceil(n / SHINGLES), F.lit(1)).cast("int")
+    parts = parts.select("tied", F.col("main.comp").alias("main"), tiles(F.col("texts") - F.col("main.texts"), F.col("n") - F.col("main.n")).alias("down"), tiles(F.col("texts"), F.col("n")).alias("across"))
+    dealt = group.select("tied", "id", "comp").join(stored(parts, f"{where}/parts"), "tied").join(sets, "id").withColumn("hash", F.xxhash64("id", "shingles"))
+    row, col = F.pmod("hash", F.col("down")).cast("int"), F.pmod("hash", F.col("across")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = dealt.where("comp <> main").select("tied", "id", "comp", "shingles", row.alias("i"), every("across").alias("j"), F.lit(True).alias("own"))
+    other = dealt.select("tied", "id", "comp", "shingles", every("down").alias("i"), col.alias("j"), F.lit(False).alias("own"))
+    links = own.unionByName(other).groupBy("tied", "i", "j").applyInPandas(lambda pdf: _tile(pdf, percent), "a long, b long")
+    links = found.union(stored(links, f"{where}/tiles"))
+    return comp if links.isEmpty() else components(comp, links, f"{where}/by_tiles")
+
+
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, where: str | None = None) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept."""
     spark = documents.sparkSession
@@ -192,20 +297,18 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, w
             pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("most", -F.col("b"))).alias("b")) if not turn else pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
             pairs = stored(pairs, f"{at}/pairs")
             none = pairs.isEmpty()
-            linked = False
             if not none:
                 links = stored(_confirmed(pairs, sets, percent), f"{at}/links")
-                linked = not links.isEmpty()
-                if linked:
+                if not links.isEmpty():
                     comp = components(comp, links, at)
                 pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                 tested = pairs if tested is None else tested.union(pairs)
-            if none or turn and not linked:
+            if none or turn:
                 break
-            if turn:
-                # a centre was compared with all of its bucket
-                members = stored(held.join(stars.select("bucket").distinct(), "bucket", "left_semi").join(stars.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "weight"), f"{at}/members")
             turn += 1
+        if not none or turn:
+            release(spark)
+            comp = _exact_end(members, comp, tested, sets, percent, f"{where}/end")
     release(spark)
     named = classes.join(comp, F.col("rep") == F.col("id"), "left").select("key", F.coalesce("comp", "rep").alias("comp"))
     out = rows.select("doc_id", "n_shingles", "key").join(named, "key", "left")

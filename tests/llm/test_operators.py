@@ -95,6 +95,37 @@ def test_near_duplicate_chains_and_borders(spark):
     assert [got[w[0]] for w in neardup.brute(docs, 2)] == neardup.brute(docs, 2)
 
 
+@pytest.mark.parametrize("texts", [2000, 300])
+def test_near_duplicates_inside_a_large_group_alike_below_the_threshold(spark, monkeypatch, texts):
+    """1200 mutated copies of one text, alike to 72 %, which share their buckets; eight of them have a partner alike to 82 %."""
+    monkeypatch.setattr(neardup, "TEXTS", texts)
+    r = random.Random(11)
+    fresh = iter(range(10**6))
+
+    def mutated(words, n):
+        words = list(words)
+        for i in r.sample(range(len(words)), n):
+            words[i] = f"m{next(fresh)}"
+        return words
+
+    base = [f"b{i}" for i in range(200)]
+    copies = [mutated(base, 17) for _ in range(1200)]
+    copies += [mutated(copies[150 * k], 20) for k in range(8)]
+    both = neardup.overlaps(*[[np.unique(np.array([hash(w) for w in c], np.int64).view(np.uint64)) for c in copies]] * 2)
+    alike = 100 * both >= 80 * (400 - both)
+    assert {(i, j) for i, j in zip(*np.nonzero(alike)) if i < j} == {(150 * k, 1200 + k) for k in range(8)}
+    d = spark.createDataFrame([(i, " ".join(c)) for i, c in enumerate(copies)], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(d, 1).collect()}
+    assert got == {i: 150 * (i - 1200) if i >= 1200 else i for i in range(1208)}
+
+
+def test_overlaps_count_as_sets_do(monkeypatch):
+    r = np.random.default_rng(8)
+    a, b = ([np.unique(r.zipf(1.2, r.integers(0, 300)).astype(np.uint64)) for _ in range(n)] for n in (130, 170))
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert (neardup.overlaps(a, b) == want).all() and neardup.overlaps(a[:1], [np.empty(0, np.uint64)]).sum() == 0
+
+
 def test_near_duplicate_edges(spark, odd, empty):
     got = {r.doc_id: r for r in neardup.near_duplicates(odd, 2).collect()}
     assert (got[5].component_id, got[5].kept, got[2].n_shingles, got[2].kept) == (1, False, 0, True)
