@@ -9,7 +9,9 @@ are learned too. Forward-backward gives each word's label probabilities; a docum
 label with the largest mean, which is its score.
 
 Training uses at most ``sample_docs`` labelled documents (those with the smallest hash of their
-text and label), of each eight stretches of ``stretch`` words spread over the text; every document is then predicted from its whole text.
+text and label), of each eight stretches of ``stretch`` words spread over the text. Each label gets
+as many of them as the most frequent one has, its own repeated, or its even part of 40,000 if that
+is less. Every document is then predicted from its whole text.
 
 Edge cases: null text or one without letters: ``und``, score 0. Null lang: not used for training.
 Without any labelled document all texts are ``und``. Ties go to the label that sorts first.
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from cairn.llm.common import remainder, small_batches, table
 
 BUCKETS = 1 << 16
+#: Pieces that train a model, the same number for each label.
+PIECES = 40_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -148,8 +152,9 @@ def train(rows: list[tuple[str, str]], stretch: int = 40, steps: int = 40, seed:
     index: dict[str, int] = {}
     # every label weighs the same, whatever its share of the documents
     by = [[p for p in pieces if p[1] == k] for k in range(L)]
-    most = max(map(len, by))
-    pieces = [b[i % len(b)] for b in by for i in range(most)][: 40 * 1000]
+    level = max(1, min(max(map(len, by)), PIECES // L))
+    # of a label with more pieces than that, some from all of its documents
+    pieces = [b[i % len(b) if len(b) <= level else i * len(b) // level] for b in by for i in range(level)]
     order = rng.permutation(len(pieces))
     group = 4
     T, D = stretch * group, -(-len(pieces) // group)

@@ -226,6 +226,15 @@ def test_language_edges(spark, odd, empty):
     assert {r.lang_pred for r in langid.predict(odd, nothing).collect()} == {"und"} and langid.predict(empty, model).count() == 0
 
 
+def test_every_label_of_a_skewed_sample_is_learned():
+    r = random.Random(4)
+    words = {y: [y + "".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)] for y in ("de", "en", "es", "fr", "it", "pt")}
+    text = lambda y, n=330: " ".join(r.choice(words[y]) for _ in range(n))
+    model = langid.train([(text("en"), "en") for _ in range(1200)] + [(text(y), y) for y in words if y != "en" for _ in range(20)], steps=10)
+    assert model.labels == sorted(words)
+    assert [model.labels[k] for k in model.shares([text(y, 50) for y in model.labels]).argmax(1)] == model.labels
+
+
 def test_forward_backward_is_exact():
     import itertools
 
