@@ -1,6 +1,7 @@
 """Language ID by a linear-chain conditional random field over the words of a text.
 
-Words are runs of letters, lower-cased. A word's features are its prefixes and suffixes of up to
+Words are runs of letters, lower-cased; a run of over 40 letters is several words in a row of
+40 letters and the rest, so that every letter counts. A word's features are its prefixes and suffixes of up to
 three bytes, its n-grams of two and three bytes with the word's borders, and the word itself
 (the lexicon), hashed to a weight table; one transition matrix links the labels of neighbours.
 The weights maximise the conditional likelihood of training sequences in which stretches of
@@ -37,7 +38,7 @@ BUCKETS = 1 << 16
 #: Pieces that train a model, the same number for each label.
 PIECES = 40_000
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]{1,40}")
 
 
 def letter_words(text: str | None) -> list[str]:
@@ -46,7 +47,7 @@ def letter_words(text: str | None) -> list[str]:
 
 def features(word: str) -> list[int]:
     """Buckets of the word's prefixes, suffixes, n-grams and itself, over its UTF-8 bytes with borders."""
-    w = f"<{word[:40]}>".encode("utf-8", "surrogatepass")
+    w = f"<{word}>".encode("utf-8", "surrogatepass")
     n, crc, mask = len(w), zlib.crc32, BUCKETS - 1
     out = [crc(w[:k], 1) & mask for k in (2, 3, 4) if k < n]
     out += [crc(w[-k:], 2) & mask for k in (2, 3, 4) if k < n]

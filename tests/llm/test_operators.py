@@ -235,6 +235,13 @@ def test_every_label_of_a_skewed_sample_is_learned():
     assert [model.labels[k] for k in model.shares([text(y, 50) for y in model.labels]).argmax(1)] == model.labels
 
 
+def test_every_letter_of_a_long_run_counts():
+    run = "".join(chr(97 + i * i % 26) for i in range(130))
+    assert "".join(langid.letter_words(f"a {run} b")) == f"a{run}b" and max(map(len, langid.letter_words(run))) == 40
+    model = langid.train([("the cat sat on the mat " * 9, "en"), ("der hund und die katze " * 9, "de")])
+    assert model.labels[model.shares(["the" * 14 + "derhundunddiekatze" * 40])[0].argmax()] == "de"
+
+
 def test_forward_backward_is_exact():
     import itertools
 
