@@ -42,7 +42,7 @@ TEST_PATH = re.compile(r"(?i)test|spec|fixture|example|sample|doc|mock|demo|vend
 
 _CANDIDATE = re.compile(rf"(?P<header>{HEADER})|(?P<prefixed>(?<![A-Za-z0-9_-])(?:{'|'.join(PREFIXED)}))|(?P<name>(?i:{NAMES}))[\"']?[ \t]{{0,4}}(?:[:=]|=>|:=)[ \t]{{0,4}}[\"']?(?P<assigned>[^\s\"'<>,;]{{8,}})|(?P<run>(?<![A-Za-z0-9+/=_.@-])[A-Za-z0-9+/_-]{{24,}}={{0,2}}(?![A-Za-z0-9@]))")
 #: A text without any of these can't hold a candidate; searching for this first is much cheaper.
-_QUICK = re.compile(r"(?i)[A-Za-z0-9+/_-]{16}|[:=][ \t]{0,4}[\"']?[^\s\"'<>,;]{8}|-----BEGIN")
+_QUICK = re.compile(r"(?i)[A-Za-z0-9+/_-]{16}|xox[abeprs]-|eyJ|[:=]>?[ \t]{0,4}[\"']?[^\s\"'<>,;]{8}|-----BEGIN")
 FEATURES = ("length", "lower_digit", "upper_lower", "same_class", "distinct", "entropy", "digits", "upper", "hex_only", "pairs", "dictionary", "vowels", "placeholder", "prefixed", "assigned", "header", "secret_word", "hash_word", "test_path", "word_neighbours")
 LABELS = 4000
 

@@ -391,3 +391,11 @@ def test_pipeline(spark):
     n = out.count()
     assert 0.5 * docs.count() < n <= docs.count() and out.select("doc_id").distinct().count() == n
     assert out.where("text RLIKE 'AKIA[A-Z0-9]{16}'").count() == 0
+
+
+def test_secrets_first_test_passes_every_candidate():
+    """Shortest examples of each kind, alone in a text."""
+    key = "A1b2C3d4E5f6G7h8I9j0" * 3
+    shortest = ["AKIA" + "Q7" * 8, "ghp_" + key[:30], "github_pat_" + key[:40], "glpat-" + key[:20], "xoxb-" + key[:10], "sk_live_" + key[:16], "sk-" + key[:20], "AIza" + key[:35], ".".join(["eyJ" + key[:10], key[:10], key[:10]]), "npm_" + key[:36], f"SG.{key[:16]}.{key[:16]}", key[:24], "-----BEGIN PRIVATE KEY-----"]
+    named = [f"password{sign}{quote}S3cr3t!p" for sign in (":", "=", "=>", ":=", " : ", " = ", " => ", " := ", "' => ", "\t=>\t") for quote in ("", "'", '"')]
+    assert [x for x in shortest + named if len(list(secrets.candidates(x))) != 1] == []
