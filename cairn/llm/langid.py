@@ -10,7 +10,7 @@ are learned too. Forward-backward gives each word's label probabilities; a docum
 label with the largest mean, which is its score.
 
 Training uses at most ``sample_docs`` labelled documents (those with the smallest hash of their
-text and label), of each eight stretches of ``stretch`` words spread over the text. Each label gets
+text and label, copies once), of each eight stretches of ``stretch`` words spread over the text. Each label gets
 as many of them as the most frequent one has, its own repeated, or its even part of 40,000 if that
 is less. Every document is then predicted from its whole text.
 
@@ -194,11 +194,11 @@ def train(rows: list[tuple[str, str]], stretch: int = 40, steps: int = 40, seed:
 
 
 def fit(labelled: DataFrame, sample_docs: int = 2000) -> Model:
-    """labelled has text and lang; at most sample_docs of its rows are read to the driver."""
+    """labelled has text and lang; at most sample_docs of its distinct rows are read to the driver."""
     some = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").withColumn("k", F.xxhash64("text", "lang"))
-    # only hashes are sorted; then the rows up to the last one are read
-    last = some.select("k").orderBy("k").limit(sample_docs).agg(F.max("k")).first()[0]
-    part = [] if last is None else some.where(F.col("k") <= last).limit(sample_docs).collect()
+    # only hashes are sorted; then the rows up to the last one are read, copies once
+    last = some.select("k").distinct().orderBy("k").limit(sample_docs).agg(F.max("k")).first()[0]
+    part = [] if last is None else some.where(F.col("k") <= last).dropDuplicates(["text", "lang"]).limit(sample_docs).collect()
     return train(sorted((r["text"], r["lang"]) for r in part))
 
 

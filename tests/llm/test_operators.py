@@ -242,6 +242,13 @@ def test_every_letter_of_a_long_run_counts():
     assert model.labels[model.shares(["the" * 14 + "derhundunddiekatze" * 40])[0].argmax()] == "de"
 
 
+def test_copies_count_once_in_the_training_sample(spark, monkeypatch):
+    rows = [(f"text number {i}", "en" if i % 2 else "de") for i in range(30)]
+    copies = spark.createDataFrame([r for r in rows for _ in range(50)], "text string, lang string")
+    monkeypatch.setattr(langid, "train", lambda rows: rows)
+    assert langid.fit(copies, 40) == sorted(rows) and len(set(langid.fit(copies, 10))) == 10
+
+
 def test_forward_backward_is_exact():
     import itertools
 
