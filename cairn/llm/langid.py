@@ -110,11 +110,15 @@ class Model:
 
     def shares(self, texts: list[str | None]) -> np.ndarray:
         """Mean label probabilities of each text's words; zeros without words."""
+        return self.judged(texts)[0]
+
+    def judged(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """shares, and the mean over each text's words of their largest probability; zeros without words."""
         docs = [letter_words(t) for t in texts]
         if len(self.cache) > self.most:
             self.cache, self.rows = {}, None
         self._learn(list({w for d in docs for w in d if w not in self.cache}))
-        out = np.zeros((len(docs), len(self.labels)))
+        out, sure = np.zeros((len(docs), len(self.labels))), np.zeros(len(docs))
         length = np.array([len(d) for d in docs], np.int64)
         order = np.argsort(length, kind="stable")
         order = order[length[order] > 0]
@@ -132,8 +136,9 @@ class Model:
                 e[: length[d], k] = self.rows[np.fromiter(map(self.cache.__getitem__, docs[d]), np.int64, length[d])]
             marginal = forward_backward(e, a, start, length[group])[0]
             out[group] = marginal.sum(0, dtype=np.float64) / length[group][:, None]
+            sure[group] = marginal.max(2).sum(0, dtype=np.float64) / length[group]
             at = end
-        return out
+        return out, sure
 
 
 def train(rows: list[tuple[str, str]], stretch: int = 40, steps: int = 40, seed: int = 5) -> Model:
@@ -224,8 +229,9 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """documents without those that have no letters or no language for the share ``least`` of their words.
+    """documents without those that have no letters or whose words' likeliest labels have a mean probability below ``least``.
 
+    So a text in several languages stays if each word's language is clear.
     Without any label to learn from nothing is known of languages, and all documents stay.
     """
     if not model.labels:
@@ -235,8 +241,8 @@ def keep_known(documents: DataFrame, model: Model, least: float = 0.5) -> DataFr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = Model(*data.value)
         for pdf in batches:
-            share = held.shares(list(pdf["text"]))
-            yield pdf[(share.max(1) > 0) & (share.max(1) >= least)]
+            sure = held.judged(list(pdf["text"]))[1]
+            yield pdf[(sure > 0) & (sure >= least)]
 
     return documents.mapInPandas(run, documents.schema)
 

@@ -16,7 +16,7 @@ ORACLE_SQL: str | None = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters go, and those without a language for half of their words."""
+    """Documents without letters go, and those whose words' languages are less sure than a half on average."""
     small_batches(spark)
     return langid.keep_known(docs, langid.fit(docs))
 

@@ -249,6 +249,15 @@ def test_copies_count_once_in_the_training_sample(spark, monkeypatch):
     assert langid.fit(copies, 40) == sorted(rows) and len(set(langid.fit(copies, 10))) == 10
 
 
+def test_texts_in_three_clear_languages_are_kept(spark):
+    texts = {"en": "the cat sat on the mat and looked ", "de": "der hund und die katze schlafen nicht ", "fr": "le chien qui dort sous une chaise "}
+    model = langid.train([(t * 9, y) for y, t in texts.items()])
+    mixed = "".join(t * 9 for t in texts.values())
+    assert model.shares([mixed]).max() < 0.5
+    d = spark.createDataFrame([(1, mixed), (2, "12 34"), (3, None)], "doc_id long, text string")
+    assert [r.doc_id for r in langid.keep_known(d, model).collect()] == [1]
+
+
 def test_forward_backward_is_exact():
     import itertools
 
