@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -35,8 +36,9 @@ NAMES = r"(?:api|app|access|auth|client|consumer|encryption|master|private|secre
 PREFIXED = [r"(?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{16}", r"gh[pousr]_[A-Za-z0-9]{30,}", r"github_pat_[A-Za-z0-9_]{40,}", r"glpat-[A-Za-z0-9_-]{20}", r"xox[abeprs]-[A-Za-z0-9-]{10,}", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}", r"sk-[A-Za-z0-9_-]{20,}", r"AIza[A-Za-z0-9_-]{35}", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", r"npm_[A-Za-z0-9]{36}", r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"]
 HEADER = r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:[^-]*-----END (?:[A-Z]+ )?PRIVATE KEY-----)?"
 COMMON = "able account admin after api app auth change changeme client code config data default demo dummy enter example fake file foo bar for from here host http https info insert key license local mail main mock name none null number page pass password placeholder public put redacted release replace sample secret server string sub test the this todo token user value version was with world www xxx xxxx your com org net".split()
-PLACEHOLDER = re.compile(r"(?i)x{4,}|\*{3,}|\.{3,}|<[^>]*>|\$\{|\{\{|%\(|example|changeme|placeholder|your[_-]|dummy|redacted|sample|1234567|abcdef|process\.env|os\.environ|getenv")
+PLACEHOLDER = re.compile(r"(?i)x{4,}|\*{3,}|\.{3,}|<[^<>]*>|\$\{|\{\{|%\(|example|changeme|placeholder|your[_-]|dummy|redacted|sample|1234567|abcdef|process\.env|os\.environ|getenv")
 SECRET_WORD = re.compile(rf"(?i)(?:{NAMES})")
+_COVER = re.compile("|".join(sorted((w for w in COMMON if len(w) > 2), key=len, reverse=True)))
 HASH_WORD = re.compile(r"(?i)\b(?:commit|sha\d*|md5|checksum|hash|digest|revision|uuid|guid|etag|build|version|isbn|order|invoice|doi|serial|integrity)\b")
 TEST_PATH = re.compile(r"(?i)test|spec|fixture|example|sample|doc|mock|demo|vendor|node_modules|lock")
 
@@ -53,22 +55,17 @@ def _class(c: str) -> int:
 
 def covered(value: str) -> float:
     """The share of characters inside dictionary words of three letters and more."""
-    low, inside = value.lower(), 0
-    i = 0
-    while i < len(low):
-        best = max((len(w) for w in COMMON if len(w) > 2 and low.startswith(w, i)), default=0)
-        inside += best
-        i += best or 1
-    return inside / max(1, len(low))
+    low = value.lower()
+    return sum(map(len, _COVER.findall(low))) / max(1, len(low))
 
 
 def features(value: str, kind: str, before: str, after: str, path: str | None) -> list[float]:
-    v = value[:400]
+    v = value
     n = len(v)
     cls = [_class(c) for c in v]
     steps = list(zip(cls, cls[1:]))
     m = max(1, len(steps))
-    counts = [v.count(c) for c in set(v)]
+    counts = Counter(v).values()
     hexa = sum(c in "0123456789abcdefABCDEF" for c in v)
     near = re.findall(r"[^\W\d_]+", before[-40:] + " " + after[:40])
     return [

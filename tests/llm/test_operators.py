@@ -415,3 +415,11 @@ def test_secrets_first_test_passes_every_candidate():
     shortest = ["AKIA" + "Q7" * 8, "ghp_" + key[:30], "github_pat_" + key[:40], "glpat-" + key[:20], "xoxb-" + key[:10], "sk_live_" + key[:16], "sk-" + key[:20], "AIza" + key[:35], ".".join(["eyJ" + key[:10], key[:10], key[:10]]), "npm_" + key[:36], f"SG.{key[:16]}.{key[:16]}", key[:24], "-----BEGIN PRIVATE KEY-----"]
     named = [f"password{sign}{quote}S3cr3t!p" for sign in (":", "=", "=>", ":=", " : ", " = ", " => ", " := ", "' => ", "\t=>\t") for quote in ("", "'", '"')]
     assert [x for x in shortest + named if len(list(secrets.candidates(x))) != 1] == []
+
+
+def test_secrets_describe_a_long_candidate_as_a_whole():
+    r = random.Random(6)
+    value = "a" * 400 + "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(3600))
+    row = dict(zip(secrets.FEATURES, secrets.features(value, "run", "", "", None)))
+    assert row["length"] == 400 and row["upper"] > 0.5 and row["digits"] > 0.1 and row["entropy"] > 4 and row["same_class"] < 0.8
+    assert secrets.covered("xpasswordfootestkeyz") == 18 / 20
