@@ -5,9 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator, Sequence
+from types import GeneratorType
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,18 +61,67 @@ def slots(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 
 
-def small_batches(spark: SparkSession, records: int = 2000, size: str = "16m") -> None:
+def small_batches(spark: SparkSession, records: int = 2000, size: str = "8m") -> None:
     """Bounds what a Python worker holds at a time, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+_ARROW = {"boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _arrow(kind: str) -> pa.DataType:
+    return pa.list_(_arrow(kind[6:-1])) if kind.startswith("array<") else _ARROW[kind]
+
+
+def mapped(df: DataFrame, start: Callable[[], Callable], new: dict[str, str], keep: Sequence[str] = ()) -> DataFrame:
+    """Columns ``keep`` of df as they are, and new ones (name -> type) computed from Arrow batches.
+
+    start() is called once in each task; what it returns takes a batch and gives the new columns as lists
+    or arrays, or (columns, mask) where only some rows stay; columns then have values for all rows. Without kept
+    columns a batch may give any number of rows, or a generator of such columns. Kept columns never
+    become Python or NumPy values, so a null among integers changes nothing.
+    """
+    kinds = {n: _arrow(k) for n, k in new.items()}
+    fields = T.StructType([df.schema[c] for c in keep] + T.StructType.fromDDL(", ".join(f"`{n}` {k}" for n, k in new.items())).fields if new else [df.schema[c] for c in keep])
+
+    def rows(batch: pa.RecordBatch, got) -> pa.RecordBatch:
+        got, mask = got if isinstance(got, tuple) else (got, None)
+        made = [v if isinstance(v := got[n], pa.Array) else pa.array(v, type=k) for n, k in kinds.items()]
+        out = pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, [*keep, *kinds])
+        return out if mask is None else out.filter(pa.array(mask, pa.bool_()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = start()
+        for batch in batches:
+            got = each(batch)
+            for part in got if isinstance(got, GeneratorType) else (got,):
+                yield rows(batch, part)
+
+    return df.mapInArrow(run, fields)
+
+
+def with_text(changed: DataFrame, documents: DataFrame) -> DataFrame:
+    """documents' columns, with text and n_chars taken from __text and __n where these aren't null."""
+    new = {"text": F.coalesce("__text", "text")}
+    if "n_chars" in documents.columns:
+        new["n_chars"] = F.coalesce(F.col("__n").cast(documents.schema["n_chars"].dataType), "n_chars")
+    return changed.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in documents.columns])
+
+
 class Recent(dict):
-    """A cache of two generations: of ``most`` entries the older half goes first, and what is used again stays."""
+    """A cache of two generations: of ``most`` bytes the older half goes first, and what is used again stays.
+
+    An entry counts as its key's and value's bytes and 150 more.
+    """
 
     def __init__(self, most: int):
         super().__init__()
-        self.most, self.old = most, {}
+        self.most, self.held, self.old = most, 0, {}
+
+    def __setitem__(self, key, value) -> None:
+        self.held += len(key) + len(value) + 150
+        super().__setitem__(key, value)
 
     def __missing__(self, key):
         value = self[key] = self.old[key]
@@ -79,25 +132,10 @@ class Recent(dict):
         return [k for k in keys if k not in self and k not in old]
 
     def make_room(self) -> None:
-        if len(self) > self.most // 2:
+        if self.held > self.most // 2:
             self.old = dict(self)
             self.clear()
-
-
-class WordHash(dict):
-    """word bytes -> 64-bit hash; forgets all when it has grown to ``most`` words."""
-
-    def __init__(self, most: int = 1_000_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+            self.held = 0
 
 
 def ascii_words(text: str | None) -> list[bytes]:

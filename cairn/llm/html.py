@@ -16,14 +16,14 @@ from __future__ import annotations
 
 import html as _html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import tree
-from cairn.llm.common import small_batches, table
+from cairn.llm.common import mapped, small_batches, table
 
 # Tags and hints.
 BLOCK = set("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html label legend li link main menu meta nav ol option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
@@ -154,12 +154,14 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     """page_id, url, text, n_chars."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            text = [main_text(p) for p in pdf[column]]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
+    def start() -> Callable:
+        def each(batch: pa.RecordBatch) -> dict:
+            text = [main_text(p) for p in batch.column(column).to_pylist()]
+            return {"text": text, "n_chars": [len(t) for t in text]}
 
-    return pages.select("page_id", "url", column).mapInPandas(run, "page_id long, url string, text string, n_chars long")
+        return each
+
+    return mapped(pages.select("page_id", "url", column), start, {"text": "string", "n_chars": "long"}, ["page_id", "url"])
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Language ID by a linear-chain conditional random field over the words of a text.
 
-Words are runs of letters, lower-cased; a run of over 40 letters is several words in a row of
+Words are runs of letters (not of other word characters, as ² or ½), lower-cased; a run of over 40 letters is several words in a row of
 40 letters and the rest, so that every letter counts. A word's features are its prefixes and suffixes of up to
 three bytes, its n-grams of two and three bytes with the word's borders, and the word itself
 (the lexicon), hashed to a weight table; one transition matrix links the labels of neighbours.
@@ -24,21 +24,23 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import remainder, small_batches, table
+from cairn.llm.common import mapped, remainder, small_batches, table
 
 BUCKETS = 1 << 16
 #: Pieces that train a model, the same number for each label.
 PIECES = 40_000
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]{1,40}")
+#: Signs that Python's \\w has beside letters, digits and the underscore, such as \u00b2 and \u00bd.
+_SIGNS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_SIGNS}]{{1,40}}")
 
 
 def letter_words(text: str | None) -> list[str]:
@@ -211,21 +213,22 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     """documents with lang_pred and lang_score; every column kept."""
     data = documents.sparkSession.sparkContext.broadcast((model.labels, model.weights, model.transition))
     rows = documents.drop("lang_pred", "lang_score")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["lang_pred string", "lang_score double"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable:
         labels, weights, transition = data.value
         held = Model(labels, weights, transition)
-        for pdf in batches:
+
+        def each(batch: pa.RecordBatch) -> dict:
             if not labels:
-                yield pdf.assign(lang_pred=UNKNOWN, lang_score=0.0)
-                continue
-            share = held.shares(list(pdf["text"]))
+                return {"lang_pred": [UNKNOWN] * len(batch), "lang_score": [0.0] * len(batch)}
+            share = held.shares(batch.column("text").to_pylist())
             best = share.argmax(1)
             score = share[np.arange(len(share)), best]
-            yield pdf.assign(lang_pred=[labels[b] if s > 0 else UNKNOWN for b, s in zip(best, score)], lang_score=score.clip(0, 1))
+            return {"lang_pred": [labels[b] if s > 0 else UNKNOWN for b, s in zip(best, score)], "lang_score": score.clip(0, 1)}
+
+        return each
 
-    return rows.mapInPandas(run, schema)
+    return mapped(rows, start, {"lang_pred": "string", "lang_score": "double"}, rows.columns)
 
 
 def keep_known(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -238,13 +241,16 @@ def keep_known(documents: DataFrame, model: Model, least: float = 0.5) -> DataFr
         return documents
     data = documents.sparkSession.sparkContext.broadcast((model.labels, model.weights, model.transition))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable:
         held = Model(*data.value)
-        for pdf in batches:
-            sure = held.judged(list(pdf["text"]))[1]
-            yield pdf[(sure > 0) & (sure >= least)]
 
-    return documents.mapInPandas(run, documents.schema)
+        def each(batch: pa.RecordBatch) -> tuple[dict, np.ndarray]:
+            sure = held.judged(batch.column("text").to_pylist())[1]
+            return {}, (sure > 0) & (sure >= least)
+
+        return each
+
+    return mapped(documents, start, {}, documents.columns)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

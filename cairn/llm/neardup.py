@@ -28,14 +28,18 @@ texts counts. An empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cairn.llm.common import WordHash, ascii_words, release, shared_dir, small_batches, stored, table
+from cairn.llm import segments
+from cairn.llm.common import ascii_words, mapped, release, shared_dir, small_batches, stored, table
+from cairn.llm.segments import mix
 
 SLOTS, ROWS = 200, 5
 BANDS = SLOTS // ROWS
@@ -44,24 +48,23 @@ SMALL, TEXTS, SHINGLES = 8, 2000, 2_000_000
 _U = np.uint64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """The finalizer of splitmix64."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def shingle_set(text: str | None, size: int, cache: WordHash) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles."""
-    w = ascii_words(text)
-    if not w:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(cache.__getitem__, w), np.uint64, len(w))
-    n, size = max(1, len(w) - size + 1), min(size, len(w))
-    acc = np.full(n, size, np.uint64)
+def shingle_sets(text: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles."""
+    h, at = segments.words(text)
+    acc = np.full(len(h), size, np.uint64)
     for k in range(size):
-        acc = mix(acc * _U(0x9E3779B97F4A7C15) + h[k : k + n])
-    return np.unique(acc)
+        # a shingle that would leave its text is not used below
+        acc = mix(acc * _U(0x9E3779B97F4A7C15) + np.concatenate([h[k:], h[:k]]))
+    for a, b in zip(at.tolist(), at[1:].tolist()):
+        if b - a >= size:
+            yield np.unique(acc[a : b - size + 1])
+        elif b > a:
+            one = np.full(1, b - a, np.uint64)
+            for k in range(a, b):
+                one = mix(one * _U(0x9E3779B97F4A7C15) + h[k : k + 1])
+            yield one
+        else:
+            yield np.empty(0, np.uint64)
 
 
 _random = np.random.default_rng(20240607)
@@ -90,29 +93,29 @@ def bucket_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, size: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable:
         import xxhash
 
-        cache = WordHash()
-        for pdf in batches:
+        def each(batch: pa.RecordBatch) -> dict:
             n, key, keys = [], [], []
-            for text in pdf["text"]:
-                s = shingle_set(text, size, cache)
+            for s in shingle_sets(batch.column("text"), size):
                 n.append(len(s))
                 key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(bucket_keys(s) if len(s) else None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "key": key, "bands": keys})
+            return {"n_shingles": n, "key": key, "bands": keys}
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, key binary, bands array<long>")
+        return each
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return mapped(rows, start, {"n_shingles": "long", "key": "binary", "bands": "array<long>"}, ["doc_id"])
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHash()
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["doc_id"], "shingles": [shingle_set(t, size, cache).tobytes() for t in pdf["text"]]})
+    def start() -> Callable:
+        return lambda batch: {"shingles": [s.tobytes() for s in shingle_sets(batch.column("text"), size)]}
 
-    return docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInPandas(run, "id long, shingles binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+    return mapped(rows.select(F.col("doc_id").alias("id"), "text"), start, {"shingles": "binary"}, ["id"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -317,13 +320,21 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, w
 
 
 def keep_one(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """documents without the near-duplicates of another; of repeated rows with one doc_id one stays.
+    """documents without the near-duplicates of another; of repeated rows with one doc_id the one whose text sorts first.
 
-    Rows with a null doc_id can't be told apart and all stay.
+    (Null sorts first; rows that agree in doc_id and text are told apart by their other columns' hash.) Rows with a
+    null doc_id can't be told apart and all stay.
     """
-    kept = near_duplicates(documents, shingle, percent).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    named = documents.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("__kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(documents.where("doc_id IS NULL"))
+    found = near_duplicates(documents, shingle, percent)
+    kept = found.where("kept").groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count("*").alias("__kept_rows"))
+    kept = stored(kept, f"{shared_dir(documents.sparkSession)}/kept")
+    columns = documents.columns
+    named = documents.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("__kept_id"))
+    once = named.where("__kept_rows = 1").select(*columns)
+    plain = [f.name for f in documents.schema if not isinstance(f.dataType, T.MapType)]
+    first = F.min_by(F.struct(*columns), F.struct("text", F.xxhash64(*plain)))
+    several = named.where("__kept_rows > 1").groupBy("doc_id").agg(first.alias("__kept")).select("__kept.*")
+    return once.unionByName(several).unionByName(documents.where("doc_id IS NULL"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

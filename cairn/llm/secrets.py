@@ -21,15 +21,15 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import tree
-from cairn.llm.common import small_batches, table
+from cairn.llm.common import mapped, small_batches, table, with_text
 
 # Names, prefixes, words.
 NAMES = r"(?:api|app|access|auth|client|consumer|encryption|master|private|secret|session|signing|webhook)[_-]?(?:key|secret|token|id)|passw(?:or)?d|passwd|pwd|passphrase|secret|token|bearer|credentials?"
@@ -192,33 +192,35 @@ def find(documents: DataFrame, path: str = "source") -> DataFrame:
     data = documents.sparkSession.sparkContext.broadcast(forest())
     where = F.col(path).cast("string") if path in documents.columns else F.lit(None).cast("string")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [scan(t, p, data.value) for t, p in zip(pdf["text"], pdf["path"])]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_candidates": [n for n, _ in got], "n_secrets": [len(f) for _, f in got], "secrets": [",".join(f"{k}:{s}:{e}" for s, e, k, _ in f) for _, f in got], "max_score": [max((p for *_, p in f), default=0.0) for _, f in got]})
+    def start() -> Callable:
+        def each(batch: pa.RecordBatch) -> dict:
+            got = [scan(t, p, data.value) for t, p in zip(batch.column("text").to_pylist(), batch.column("path").to_pylist())]
+            return {"n_candidates": [n for n, _ in got], "n_secrets": [len(f) for _, f in got], "secrets": [",".join(f"{k}:{s}:{e}" for s, e, k, _ in f) for _, f in got], "max_score": [max((p for *_, p in f), default=0.0) for _, f in got]}
 
-    return documents.select("doc_id", "text", where.alias("path")).mapInPandas(run, "doc_id long, n_candidates long, n_secrets long, secrets string, max_score double")
+        return each
+
+    return mapped(documents.select("doc_id", "text", where.alias("path")), start, {"n_candidates": "long", "n_secrets": "long", "secrets": "string", "max_score": "double"}, ["doc_id"])
 
 
 def redact(documents: DataFrame, path: str = "source", mask: str = "[SECRET]") -> DataFrame:
-    """documents with every finding replaced by mask; n_chars follows; all rows stay."""
+    """documents with every finding replaced by mask; n_chars (if it is an integer) follows; all rows stay."""
     data = documents.sparkSession.sparkContext.broadcast(forest())
+    where = F.col(path).cast("string") if path in documents.columns else F.lit(None).cast("string")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            text = list(pdf["text"])
-            chars = list(pdf["n_chars"]) if "n_chars" in pdf else None
-            for i, (t, p) in enumerate(zip(text, pdf[path] if path in pdf else [None] * len(text))):
+    def start() -> Callable:
+        def each(batch: pa.RecordBatch) -> dict:
+            out = []
+            for t, p in zip(batch.column("text").to_pylist(), batch.column("__path").to_pylist()):
                 found = scan(t, p, data.value)[1]
                 for start, end, *_ in reversed(found):
                     t = t[:start] + mask + t[end:]
-                if found:
-                    text[i] = t
-                    if chars is not None:
-                        chars[i] = len(t)
-            yield pdf.assign(text=text, **({"n_chars": pd.Series(chars, dtype="Int64", index=pdf.index)} if chars is not None else {}))
+                out.append((t, len(t)) if found else (None, None))
+            return {"__text": [t for t, _ in out], "__n": [n for _, n in out]}
+
+        return each
 
-    return documents.mapInPandas(run, documents.schema)
+    masked = mapped(documents.withColumn("__path", where), start, {"__text": "string", "__n": "long"}, documents.columns)
+    return with_text(masked, documents)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
