@@ -8,8 +8,8 @@ seq), each with its documents' ids and lengths; a segment has about SEGMENT ids,
 least.
 
 Edge cases: null and empty text: only the end id. Repeated doc_ids: each row is a document of
-its own; ties are ordered by text. Null doc_ids come first. Extra columns are ignored. An empty
-table gives no segments.
+its own; ties are ordered by text. Null doc_ids come first. The string of a special token is that token,
+as the library has it. Extra columns are ignored. An empty table gives no segments.
 """
 
 from __future__ import annotations
@@ -19,14 +19,15 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import segments
-from cairn.llm.common import Recent, shared_dir, small_batches, table
+from cairn.llm.common import Recent, mapped, shared_dir, small_batches, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
@@ -91,55 +92,56 @@ class Codes:
 
 
 class Encoder:
-    """Encodes texts with a tokenizers file; pieces seen before come from a bounded cache."""
+    """Encodes texts with a tokenizers file; pieces seen before come from a cache of ``most`` bytes.
 
-    def __init__(self, vocabulary: str, most: int = 1_200_000):
+    Texts that hold a special token's string are encoded whole by the library, which recognises it.
+    """
+
+    def __init__(self, vocabulary: str, most: int = 48 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache = Recent(most)
         size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             size[i] = len(token)  # the byte-level alphabet has a character for each byte
         self.size = size
-        self.marks = {c: self._plain(c).tobytes() for c in ".,"}
 
-    def _plain(self, text: str) -> np.ndarray:
+    def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, new: list[str]) -> None:
-        """Pieces that open with white space are encoded side by side, then told apart by their bytes.
-
-        A full stop or comma after a letter is always a token of its own match, so "word," is learned as
-        "word" and ",".
-        """
-        marked = [x for x in new if x[-1] in ".," and len(x) > 1 and x[-2].isalpha()]
-        plain = {x for x in new if not (x[-1] in ".," and len(x) > 1 and x[-2].isalpha())}
-        plain.update(self.cache.lacks(x[:-1] for x in marked))
-        spaced = [x for x in plain if x[0] in " \t\r\n" and x[-1] not in " \t\r\n"]
-        for x in plain.difference(spaced):
-            self.cache[x] = self._plain(x).tobytes()
+    def _learn(self, new: list[bytes]) -> None:
+        """Pieces that open with a space and end in none are encoded side by side, then told apart by their bytes."""
+        spaced = [x for x in new if x[0] == 32 and x[-1] > 32]
+        for x in set(new).difference(spaced):
+            self.cache[x] = self._ids(x.decode()).tobytes()
         parts = [spaced[k : k + 512] for k in range(0, len(spaced), 512)]
-        for part, got in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)):
-            ids = np.array(got.ids, "<u4")
-            ends = np.cumsum([len(x.encode("utf-8", "surrogatepass")) for x in part])
-            cuts = np.searchsorted(np.cumsum(self.size[ids]), ends) + 1
-            data, at = ids.tobytes(), 0
-            for x, end in zip(part, cuts.tolist()):
-                self.cache[x] = data[4 * at : 4 * end]
-                at = end
-        for x in marked:
-            self.cache[x] = self.cache[x[:-1]] + self.marks[x[-1]]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [segments.split(t or "") for t in texts]
-        # a text with a very long piece, or of one piece, is encoded as it is
-        whole = [len(p) == 1 or max(map(len, p), default=0) > segments.LONGEST for p in split]
+        for k in range(0, len(parts), 16):
+            for part, got in zip(parts[k : k + 16], self.tokenizer.encode_batch_fast([b"".join(p).decode() for p in parts[k : k + 16]], add_special_tokens=False)):
+                ids = np.array(got.ids, "<u4")
+                cuts = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(x) for x in part])) + 1
+                data, at = ids.tobytes(), 0
+                for x, end in zip(part, cuts.tolist()):
+                    self.cache[x] = data[4 * at : 4 * end]
+                    at = end
+
+    def encode(self, text: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        special = np.zeros(len(text), bool)
+        for x in self.special:
+            special |= pc.fill_null(pc.match_substring(text, x), False).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(special), "", text) if special.any() else text
+        distinct, which, at = segments.pieces(plain)
         self.cache.make_room()
-        if new := self.cache.lacks(set().union(*[p for p, w in zip(split, whole) if not w])):
+        distinct = distinct.to_pylist()
+        if new := self.cache.lacks(distinct):
             self._learn(new)
-        return [self._plain(t) if w else np.frombuffer(b"".join(map(self.cache.__getitem__, p)), "<u4") for t, p, w in zip(texts, split, whole)]
+        runs = [self.cache[x] for x in distinct]
+        size = np.array([len(r) for r in runs], np.int64) // 4
+        ids, ends = segments.gather(np.frombuffer(b"".join(runs), "<u4"), np.cumsum(size) - size, size, which)
+        ends = ends[at].tolist()
+        return [self._ids(text[k].as_py()) if special[k] else ids[a:b] for k, (a, b) in enumerate(zip(ends, ends[1:]))]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -155,22 +157,24 @@ def encoder(vocabulary: str) -> Encoder:
 def write(documents: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, segment: int = SEGMENT) -> None:
     """Encodes documents (doc_id, text) and writes their segments in ascending doc_id order."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("docs", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("codes", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from cairn.llm.tokenstore import encoder, pack
 
         make, part, seq, first = encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
         docs, runs, held = [], [], 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal docs, runs, held, seq, first
-            out = pd.DataFrame({"part": [part], "seq": [seq], "first": [first], "n_tokens": [held], "docs": [docs], "lengths": [[len(r) for r in runs]], "codes": [pack(np.concatenate(runs))]})
+            row = {"part": part, "seq": seq, "first": first, "n_tokens": held, "docs": docs, "lengths": [len(r) for r in runs], "codes": pack(np.concatenate(runs))}
             seq, first, docs, runs, held = seq + 1, first + held, [], [], 0
-            return out
+            return pa.RecordBatch.from_pylist([row], schema)
 
-        for pdf in batches:
-            for doc, got in zip(pdf["doc_id"], make.encode(list(pdf["text"]))):
+        for batch in batches:
+            for doc, got in zip(batch.column("doc_id").to_pylist(), make.encode(batch.column("text"))):
                 ids = np.append(got, np.uint32(end))
-                docs.append(None if pd.isna(doc) else int(doc))
+                docs.append(doc)
                 runs.append(ids)
                 held += len(ids)
                 if held >= segment:
@@ -178,8 +182,8 @@ def write(documents: DataFrame, path: str, vocabulary: str = VOCABULARY, end: in
         if docs:
             yield flush()
 
-    rows = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInPandas(run, "part int, seq int, first long, n_tokens long, docs array<long>, lengths array<long>, codes binary").write.mode("overwrite").parquet(path)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows.mapInArrow(run, "part int, seq int, first long, n_tokens long, docs array<long>, lengths array<long>, codes binary").write.mode("overwrite").parquet(path)
 
 
 def starts(spark: SparkSession, path: str) -> dict[int, int]:
@@ -191,25 +195,28 @@ def starts(spark: SparkSession, path: str) -> dict[int, int]:
     return out
 
 
-def read(spark: SparkSession, path: str, schema: str, each: Callable[[object, int, np.ndarray], tuple]) -> DataFrame:
-    """each(doc_id, start, ids) of every document of the files, as rows of schema."""
+def read(spark: SparkSession, path: str, each: Callable[[object, int, np.ndarray], tuple], new: dict[str, str]) -> DataFrame:
+    """each(doc_id, start, ids) of every document of the files, as rows of the columns new (name -> type)."""
     before = starts(spark, path)
-    names = [c.strip().split()[0] for c in schema.split(",")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for s in pdf.itertuples():
-                ids, at, base, rows = Codes(s.codes).all(), 0, before[s.part] + s.first, []
-                for doc, n in zip(s.docs, s.lengths):
-                    rows.append(each(None if pd.isna(doc) else int(doc), int(base + at), ids[at : at + n]))
+
+    def start() -> Callable:
+        def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+            for k in range(len(batch)):
+                s = {c: batch.column(c)[k].as_py() for c in ("part", "first", "docs", "lengths", "codes")}
+                ids, at, base, rows = Codes(s["codes"]).all(), 0, before[s["part"]] + s["first"], []
+                for doc, n in zip(s["docs"], s["lengths"]):
+                    rows.append(each(doc, base + at, ids[at : at + n]))
                     at += n
-                yield pd.DataFrame({c: pd.Series(v, dtype="object") for c, v in zip(names, zip(*rows))})
+                yield dict(zip(new, zip(*rows)))
+
+        return rows_of
 
-    return spark.read.parquet(path).mapInPandas(run, schema)
+    return mapped(spark.read.parquet(path), start, new)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     path = f"{shared_dir(spark)}/tokens"
     write(table(spark, sf_dir, "documents"), path)
-    return read(spark, path, "doc_id long, start long, n_tokens long, ids_crc32 long", lambda doc, start, ids: (doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+    new = {"doc_id": "long", "start": "long", "n_tokens": "long", "ids_crc32": "long"}
+    return read(spark, path, lambda doc, start, ids: (doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())), new)
