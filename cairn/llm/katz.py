@@ -1,55 +1,58 @@
 """A Katz bigram model: Good-Turing discounts, exactly normalised back-off, in partitioned tables.
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased, then one end token; a text's first token
-follows a start mark. With c the training counts,
+follows a start mark. With c the training counts, and d and d1 Good-Turing discounts for counts up to 5 (larger
+counts are kept),
 
     P(w | h) = d(c(h,w)) c(h,w) / c(h)   if c(h,w) > 0
              = alpha(h) P(w)             if c(h) > 0 but c(h,w) = 0
              = P(w)                      if c(h) = 0
     P(w)     = d1(c(w)) c(w) / N, and what is left goes to unknown words
+    alpha(h) = (1 - sum of seen P(w|h)) / (1 - sum of seen P(w))
 
-where d and d1 are Good-Turing discounts for counts up to 5 (counts above lose one part in a million, so
-that every history keeps some mass) and alpha(h) = (1 - sum of seen P(w|h)) / (1 - sum of seen P(w)).
+A history none of whose counts is discounted has c(h) + 1 for c(h), so that mass is left for unseen words; so has N.
 
-Nothing that grows with the corpus visits the driver. Bigrams are grouped per document and dealt by
-the hash of their second word to buckets of a few million; a bucket, one row of the stored table,
-holds its words' bigrams with counts and who used them, so c(w) and c(h,w) are known in place. A second table holds,
-by the hash of the history, the sums that make alpha(h) and the unseen bigrams that ask for it. Very
-frequent words (at most 512, found on a sample, counted exactly) are dealt by the hash of the bigram.
-A document's score is the sum of its parts from all buckets: log P splits into terms known where w is
-known and terms known where h is known.
+The model is two stored tables. ``unigrams`` has a row for each bucket of words (by hash) with their counts; ``bigrams``
+one for each bucket of histories with their successors' counts. A bucket asks the words' buckets
+for its successors' counts once, which gives alpha(h). Each token is then evaluated recursively: its bigram is looked up in
+the history's bucket; if it isn't there, log alpha(h) is added and the word is looked up in its unigram bucket. What
+tokens ask for is grouped per chunk of documents; a task holds one bucket of the model and streams the questions
+past it, so a bigram that every document has costs no memory. Histories that make up over 1 / HOT of the tokens (found exactly, so
+at most HOT) have their successors dealt over all buckets; only their sums visit the driver. Questions are dealt
+in TURNS parts of the buckets, and a part's shuffle is released before the next.
 
 Edge cases: null and empty text is the end token alone. Null doc_id: never held out. Repeated rows are each
 scored and counted. Without training documents every word is unknown and base is log10(1 / 1) = 0. An
-empty table gives no rows. Extra columns are ignored.
+empty table gives no rows. Extra columns are ignored. documents must be a table, or another frame that gives the same rows in
+the same partitions whenever it is read.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import WordHash, ascii_words, drop, release, remainder_py, shared_dir, small_batches, stored, table
-from cairn.llm.neardup import mix
+from cairn.llm import segments
+from cairn.llm.common import ascii_words, drop, release, remainder, shared_dir, small_batches, stored, table
+from cairn.llm.segments import mix
 
 START, END = 1, 2
 K = 5
-#: Taken from counts above K.
-SLIGHT = 1e-6
-HOT = 512
-BUCKET_TOKENS = 1_200_000
-CHUNK_TOKENS = 2_000_000
-#: The buckets are dealt in so many turns, each after the last one's shuffle was released.
-TURNS = 2
+HOT = 1024
+BUCKET_TOKENS, CHUNK_TOKENS, TURNS = 1_000_000, 1_500_000, 4
+#: Partial sums of so many documents and buckets are added up before they are written.
+SUMS = 400_000
 _U = np.uint64
+_ODD = _U(0x9E3779B97F4A7C15)
+_ROWS = "kind int, key long, part long, blob binary"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -68,7 +71,7 @@ def small(a: np.ndarray) -> np.ndarray:
 
 def discounts(n: np.ndarray) -> np.ndarray:
     """d[0..K+1] from n[1..K+1], the numbers of items with each count; d[K+1] is for larger counts."""
-    d = np.full(K + 2, 1 - SLIGHT)
+    d = np.ones(K + 2)
     if n[1] > 0:
         common = (K + 1) * n[K + 1] / n[1]
         for r in range(1, K + 1):
@@ -80,281 +83,438 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return d
 
 
-def grams(text: str | None, cache: WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Distinct (history, word) hashes with counts, and the number of tokens."""
-    words = ascii_words(text)
-    h = np.empty(len(words) + 2, np.uint64)
-    h[0], h[-1] = START, END
-    if words:
-        h[1:-1] = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-    key = mix(h[:-1] * _U(0x9E3779B97F4A7C15) + h[1:])
-    _, first, count = np.unique(key, return_index=True, return_counts=True)
-    return h[first], h[first + 1], count, len(words) + 1
-
-
-def frequent(documents: DataFrame, heldout: int | None, sample: int = 2000) -> tuple[dict[int, int], dict]:
-    """Exact training counts of words that a bounded sample shows to be very frequent, and totals."""
-    some = documents.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("k")).orderBy("k").limit(sample)
-    cache, seen = WordHash(), Counter()
-    for r in some.toLocalIterator():
-        seen.update(map(cache.__getitem__, ascii_words(r["text"])))
-        seen[END] += 1
-    total = sum(seen.values())
-    hot = sorted(w for w, n in seen.most_common(HOT) if n * 2 * HOT >= total)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, mine, known = WordHash(), Counter(), np.array(hot, np.uint64)
-        tokens = train = docs = 0
-        for pdf in batches:
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                words = ascii_words(text)
-                tokens += len(words) + 1
-                if heldout is not None and not pd.isna(doc) and remainder_py(doc, heldout) == 2:
-                    continue
-                train, docs = train + len(words) + 1, docs + 1
-                mine[END] += 1
-                h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-                at = np.searchsorted(known, h).clip(0, max(0, len(known) - 1))
-                if len(known) and len(h):
-                    v, n = np.unique(h[known[at] == h], return_counts=True)
-                    mine.update(dict(zip(v.tolist(), n.tolist())))
-        mine = {w: mine[w] for w in {*hot, END}}
-        rows = [("tokens", 0, tokens), ("train", 0, train), ("docs", 0, docs), *(("word", w - 2**64 if w >= 2**63 else w, n) for w, n in mine.items())]
-        yield pd.DataFrame(rows, columns=["what", "word", "n"])
-
-    got = documents.select("doc_id", "text").mapInPandas(run, "what string, word long, n long").groupBy("what", "word").agg(F.sum("n").alias("n")).collect()
-    totals = {r["what"]: r["n"] for r in got if r["what"] != "word"}
-    return {r["word"] % 2**64: r["n"] for r in got if r["what"] == "word" and (r["word"] % 2**64 in hot or r["word"] == END)}, {"tokens": 0, "train": 0, "docs": 0} | totals
-
-
-def _dealt(documents: DataFrame, hot: list[int], buckets: int, heldout: int | None, turn: int) -> DataFrame:
-    """(bucket, blob): bigrams of chunks of documents by bucket; documents themselves under negative numbers.
-
-    A turn deals every TURNS-th bucket, the first one the documents too.
-    """
+def tally(counts: np.ndarray) -> list[int]:
+    """How many of the counts are 1, 2, ... K+1 (from place 1)."""
+    return np.bincount(np.minimum(counts[counts > 0], K + 2), minlength=K + 3)[: K + 2].tolist()
+
+
+def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' tokens, the history of each, and the number of tokens of each text."""
+    hashes, at = segments.words(text)
+    n = np.diff(at) + 1
+    ends = np.cumsum(n)
+    w = np.empty(len(hashes) + len(n), np.uint64)
+    w[ends - 1] = END
+    inside = np.ones(len(w), bool)
+    inside[ends - 1] = False
+    w[inside] = hashes
+    h = np.concatenate([[START], w[:-1]]).astype(np.uint64)
+    h[ends - n] = START
+    return w, h, n
+
+
+def _pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(h * _ODD + w)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, known = WordHash(), np.array(sorted(hot), np.uint64)
-        row, part = 0, TaskContext.get().partitionId()
-        hs, ws, cs, sizes, uids, docs, tokens = [], [], [], [], [], [], []
-        held = 0
-
-        def flush() -> pd.DataFrame:
-            nonlocal held
-            h, w, c = np.concatenate(hs), np.concatenate(ws), np.concatenate(cs)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            uid = np.array(uids, np.uint64)
-            at = np.searchsorted(known, w).clip(0, max(0, len(known) - 1))
-            is_hot = known[at] == w if len(known) else np.zeros(len(w), bool)
-            bucket = (mix(np.where(is_hot, w ^ (h * _U(0x9E3779B97F4A7C15)), w)) % _U(buckets)).astype(np.int64)
-            order = np.argsort(w, kind="stable")
-            order = order[np.argsort(bucket[order].astype(np.uint32), kind="stable")]
-            ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-            out = []
-            for b, (s, e) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)):
-                if e > s and b % TURNS == turn:
-                    o = order[s:e]
-                    uw, nw = np.unique(w[o], return_counts=True)
-                    uh, ih = np.unique(h[o], return_inverse=True)
-                    out.append((b, pack(uw, small(nw), uh, small(ih), small(doc[o]), uid, small(c[o]))))
-            home = (mix(uid >> _U(1)) % _U(buckets)).astype(np.int64)
-            for d in np.unique(home) if turn == 0 else ():
-                mine = np.flatnonzero(home == d)
-                out.append((-1 - int(d), pickle.dumps(([uids[i] for i in mine], [docs[i] for i in mine], [tokens[i] for i in mine]))))
-            for x in (hs, ws, cs, sizes, uids, docs, tokens):
-                x.clear()
-            held = 0
-            return pd.DataFrame(out, columns=["bucket", "blob"])
-
-        for pdf in batches:
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                doc = None if pd.isna(doc) else int(doc)
-                out_of = heldout is not None and doc is not None and remainder_py(doc, heldout) == 2
-                h, w, c, n = grams(text, cache)
-                hs.append(h)
-                ws.append(w)
-                cs.append(c)
-                sizes.append(len(c))
-                # a row's own number, whose lowest bit says that it is held out
-                uids.append(((part << 36 | row) << 1) | out_of)
-                docs.append(doc)
-                tokens.append(n)
-                row, held = row + 1, held + n
-                if held >= CHUNK_TOKENS:
-                    yield flush()
-        if held:
-            yield flush()
-
-    return documents.select("doc_id", "text").mapInPandas(run, "bucket int, blob binary")
-
-
-def _merged(dealt: DataFrame, hot: dict[int, int]) -> DataFrame:
-    """One row a bucket: its bigrams with counts and users, and the counts of counts."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket, zero = int(key[0]), [0] * (K + 2)
-        if bucket < 0:
-            parts = [pickle.loads(b) for b in pdf["blob"]]
-            whole = pickle.dumps(tuple(sum((list(p[k]) for p in parts), []) for k in range(3)))
-            return pd.DataFrame({"bucket": [bucket], "blob": [whole], "pairs": [zero], "words": [zero], "vocabulary": [0]})
-        w, h, uid, c = [], [], [], []
-        for b in pdf["blob"]:
-            uw, nw, uh, ih, doc, ids, cnt = unpack(b)
-            w.append(np.repeat(uw, nw))
-            h.append(uh[ih])
-            uid.append(ids[doc])
-            c.append(cnt.astype(np.uint32))
-        w, h, uid, c = map(np.concatenate, (w, h, uid, c))
-        order = np.lexsort((h, w))
-        w, h, uid, c = w[order], h[order], uid[order], c[order]
-        new_w = np.concatenate([[True], w[1:] != w[:-1]])
-        new_p = new_w | np.concatenate([[True], h[1:] != h[:-1]])
-        train = np.where(uid & _U(1), 0, c).astype(np.int64)
-        at_w, at_p = np.flatnonzero(new_w), np.flatnonzero(new_p)
-        cw, cp = np.add.reduceat(train, at_w), np.add.reduceat(train, at_p)
-        words = w[at_w]
-        mine = np.array([x not in hot for x in words.tolist()], bool)
-        cw = np.array([hot.get(x, n) for x, n in zip(words.tolist(), cw.tolist())], np.int64)
-        tally = lambda a: np.bincount(np.minimum(a[a > 0], K + 2), minlength=K + 3)[: K + 2].tolist()
-        uh, ih = np.unique(h[at_p], return_inverse=True)
-        uu, iu = np.unique(uid, return_inverse=True)
-        per_word = np.diff(np.append(np.searchsorted(at_p, at_w), len(at_p)))
-        blob = pack(words, cw, small(per_word), uh, small(ih), small(cp), small(np.diff(np.append(at_p, len(w)))), uu, small(iu), small(c))
-        return pd.DataFrame({"bucket": [bucket], "blob": [blob], "pairs": [tally(cp)], "words": [tally(cw[mine])], "vocabulary": [int((cw[mine] > 0).sum())]})
-
-    return dealt.groupBy("bucket").applyInPandas(run, "bucket int, blob binary, pairs array<long>, words array<long>, vocabulary long")
-
-
-def _by(key: np.ndarray, buckets: int, kind: str, *columns: np.ndarray) -> list[tuple[str, int, bytes]]:
-    """Rows (kind, bucket, blob) of columns dealt by key's hash."""
-    home = (mix(key) % _U(buckets)).astype(np.uint32)
-    order = np.argsort(home, kind="stable")
+
+def _dealt(home: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by home, and (home, start, end) of those that have any."""
+    order = np.argsort(home.astype(np.uint32), kind="stable")
     ends = np.cumsum(np.bincount(home, minlength=buckets))
-    return [(kind, b, pack(*[c[order[s:e]] for c in columns])) for b, (s, e) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)) if e > s]
+    return order, [(b, s, e) for b, (s, e) in enumerate(zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist())) if e > s]
+
+
+def _home(w: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(w) % _U(buckets)).astype(np.int64)
+
+
+def _bucket(h: np.ndarray, w: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
+    is_hot = np.isin(h, hot)
+    return _home(np.where(is_hot, h ^ (w * _ODD), h), buckets)
 
 
-def _parts(model: DataFrame, buckets: int, facts: dict) -> DataFrame:
-    """(kind, key, blob): documents' partial sums (d), history sums (h), unseen bigrams (u), documents (m)."""
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kind, key, part, blob = zip(*rows) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.array(part, pa.int64()), pa.array(blob, pa.binary())], ["kind", "key", "part", "blob"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d2, d1, n, unknown = facts["pairs"], facts["words"], max(1, facts["train"]), facts["unknown"]
-        for pdf in batches:
-            for bucket, blob in zip(pdf["bucket"], pdf["blob"]):
-                if bucket < 0:
-                    yield pd.DataFrame([("m", -1 - bucket, blob)], columns=["kind", "key", "blob"])
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+    for b in batches:
+        kind, key, part, blob = (b.column(c) for c in ("kind", "key", "part", "blob"))
+        for i in range(len(b)):
+            yield kind[i].as_py(), key[i].as_py(), part[i].as_py(), blob[i].as_py()
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], trained: bool) -> Iterator[tuple]:
+    """(words, histories, places in uids, uids) of some documents; of training ones only if trained."""
+    held: list[tuple] = []
+    size = 0
+    for b in batches:
+        w, h, n = tokens(b.column("text"))
+        uid = b.column("uid").to_numpy()
+        if trained:
+            keep = ~b.column("held_out").to_numpy(zero_copy_only=False)
+            of = np.repeat(keep, n)
+            w, h, n, uid = w[of], h[of], n[keep], uid[keep]
+        held.append((w, h, n, uid))
+        size += len(w)
+        if size >= CHUNK_TOKENS:
+            yield _joined(held)
+            held, size = [], 0
+    if size:
+        yield _joined(held)
+
+
+def _joined(held: list[tuple]) -> tuple:
+    w, h, n, uid = (np.concatenate(x) for x in zip(*held))
+    return w, h, np.repeat(np.arange(len(n)), n), uid
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    """All rows of a key in one task, in the order of their kinds."""
+    return rows.repartition("key").sortWithinPartitions("key", "kind", "part")
+
+
+def _unigrams(docs: DataFrame, buckets: int) -> DataFrame:
+    """key, blob (words, counts), and the counts of counts, number of words and of tokens."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w, *_ in _chunks(batches, True):
+            u, c = np.unique(w, return_counts=True)
+            order, parts = _dealt(_home(u, buckets), buckets)
+            yield _rows([(0, b, 0, pack(u[order[s:e]], small(c[order[s:e]]))) for b, s, e in parts])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in groupby(_each(batches), lambda r: r[1]):
+            w, c = (np.concatenate(x) for x in zip(*((w, c.astype(np.int64)) for w, c in (unpack(r[3]) for r in rows))))
+            u, i = np.unique(w, return_inverse=True)
+            c = np.bincount(i, c, len(u)).astype(np.int64)
+            yield pa.RecordBatch.from_pylist([{"kind": 0, "key": key, "part": 0, "blob": pack(u, small(c)), "tally": tally(c), "items": len(u), "tokens": int(c.sum())}], schema)
+
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("part", pa.int64()), ("blob", pa.binary()), ("tally", pa.list_(pa.int64())), ("items", pa.int64()), ("tokens", pa.int64())])
+    return _sorted(docs.mapInArrow(deal, _ROWS)).mapInArrow(merge, _ROWS + ", tally array<long>, items long, tokens long")
+
+
+def _frequent(unigrams: DataFrame, least: float) -> dict[int, int]:
+    """The counts of all words with at least ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *_, blob in _each(batches):
+            w, c = unpack(blob)
+            yield pa.RecordBatch.from_arrays([pa.array(w[c >= least].view(np.int64)), pa.array(c[c >= least].astype(np.int64))], ["w", "c"])
+
+    return {r["w"] % 2**64: r["c"] for r in unigrams.select("kind", "key", "part", "blob").mapInArrow(run, "w long, c long").collect()}
+
+
+def _coded(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+    """h (sorted) and w in few bytes."""
+    uh, nh = np.unique(h, return_counts=True)
+    uw, iw = np.unique(w, return_inverse=True)
+    return uh, small(nh), uw, small(iw)
+
+
+def _bigrams(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
+    """key, blob (histories, successors of each, words, the successors, counts), and the counts of counts."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w, h, *_ in _chunks(batches, True):
+            _, first, c = np.unique(_pair(h, w), return_index=True, return_counts=True)
+            order = np.argsort(h[first])
+            h, w, c = h[first[order]], w[first[order]], c[order]
+            order, parts = _dealt(_bucket(h, w, hot, buckets), buckets)
+            yield _rows([(0, b, 0, pack(*_coded(h[o := order[s:e]], w[o]), small(c[o]))) for b, s, e in parts])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in groupby(_each(batches), lambda r: r[1]):
+            got = []
+            for r in rows:
+                uh, nh, uw, iw, c = unpack(r[3])
+                got.append((np.repeat(uh, nh), uw[iw], c.astype(np.int64)))
+            h, w, c = (np.concatenate(x) for x in zip(*got))
+            order = np.lexsort((w, h))
+            h, w, c = h[order], w[order], c[order]
+            at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
+            h, w, c = h[at], w[at], np.add.reduceat(c, at)
+            yield pa.RecordBatch.from_pylist([{"kind": 0, "key": key, "part": 0, "blob": pack(*_coded(h, w), small(c)), "tally": tally(c)}], schema)
+
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("part", pa.int64()), ("blob", pa.binary()), ("tally", pa.list_(pa.int64()))])
+    return _sorted(docs.mapInArrow(deal, _ROWS)).mapInArrow(merge, _ROWS + ", tally array<long>")
+
+
+def _lower(unigrams: DataFrame, bigrams: DataFrame, facts: dict, buckets: int) -> DataFrame:
+    """Kind 1, for each bucket of bigrams and home of its words: the words' counts. Kind 9, for hot histories: partial sums."""
+    plain = lambda df: df.select("kind", "key", "part", "blob")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, key, _, blob in _each(batches):
+            uh, nh, uw, iw, c = unpack(blob)
+            h = np.repeat(uh, nh)
+            order, parts = _dealt(_home(uw, buckets), buckets)
+            place = np.empty(len(uw), np.int64)
+            place[order] = np.arange(len(uw))
+            own = np.flatnonzero(np.isin(h, facts["hot"]))
+            which, of, mass = np.searchsorted(facts["hot"], h[own]), place[iw[own]], facts["pairs"][np.minimum(c[own].astype(np.int64), K + 1)] * c[own]
+            by = np.argsort(of, kind="stable")
+            which, of, mass, rows = which[by], of[by], mass[by], []
+            for b, s, e in parts:
+                x, y = np.searchsorted(of, (s, e))
+                rows.append((1, b, key, pack(uw[order[s:e]], small(which[x:y]), small(of[x:y] - s), mass[x:y])))
+            yield _rows(rows)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in groupby(_each(batches), lambda r: r[1]):
+            w, c, n = None, None, len(facts["hot"])
+            mass, lower = np.zeros(n), np.zeros(n)
+            for kind, _, part, blob in rows:
+                if kind == 0:
+                    w, c = unpack(blob)
                     continue
-                words, cw, per_word, uh, ih, cp, per_pair, uu, iu, c = unpack(blob)
-                cp = cp.astype(np.int64)
-                pw = np.where(cw > 0, d1[np.minimum(cw, K + 1)] * cw / n, unknown)
-                with np.errstate(divide="ignore"):
-                    lw, lc = np.log10(pw), np.where((cw > 0) & (words != END), -np.log10(np.maximum(cw, 1)), 0.0)
-                    base = np.log10(cw + 1.0)
-                word = np.repeat(np.arange(len(words)), per_word)
-                mass = d2[np.minimum(cp, K + 1)] * cp
-                seen = cp > 0
-                with np.errstate(divide="ignore"):
-                    lp = np.where(seen, np.log10(np.maximum(mass, 1e-300)), lw[word])
-                pair = np.repeat(np.arange(len(cp)), per_pair)
-                own, cnt = word[pair], c.astype(np.float64)
-                sums = [np.bincount(iu, cnt * x[own], len(uu)) for x in (base, (cw > 0).astype(np.float64))]
-                score = np.bincount(iu, cnt * (lp[pair] + lc[own]), len(uu))
-                rows = _by(uu >> _U(1), buckets, "d", uu, sums[0], small(sums[1].round().astype(np.int64)), score)
-                hs = [np.bincount(ih[seen], x[seen], len(uh)) for x in (mass, cp.astype(np.float64), pw[word])]
-                has = hs[1] > 0
-                rows += _by(uh[has], buckets, "h", uh[has], hs[0][has], small(hs[1][has].astype(np.int64)), hs[2][has])
-                ask = np.flatnonzero(~seen[pair])
-                if len(ask):
-                    rows += _by(uh[ih[pair[ask]]], buckets, "u", uh[ih[pair[ask]]], uu[iu[ask]], c[ask])
-                yield pd.DataFrame(rows, columns=["kind", "key", "blob"])
-
-    return model.select("bucket", "blob").mapInPandas(run, "kind string, key int, blob binary")
-
-
-def alphas(h: np.ndarray, mass: np.ndarray, count: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(histories, counts, alpha) from partial sums."""
-    u, i = np.unique(h, return_inverse=True)
-    m, c, p = (np.bincount(i, x, len(u)) for x in (mass, count, lower))
-    left, rest = 1 - m / np.maximum(c, 1), 1 - p
-    return u, c, np.where(rest > 1e-12, left / np.maximum(rest, 1e-12), 1.0)
-
-
-def _backed_off(parts: DataFrame, buckets: int) -> DataFrame:
-    """(kind c, key, blob): what unseen bigrams add to their documents."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        of = lambda k: [unpack(b) for b in pdf.loc[pdf["kind"] == k, "blob"]]
-        hist, asked = of("h"), of("u")
-        if not asked:
-            return pd.DataFrame({"kind": pd.Series(dtype=str), "key": pd.Series(dtype="int32"), "blob": pd.Series(dtype=object)})
-        h, uid, c = (np.concatenate([a[k] for a in asked]) for k in range(3))
-        add = np.zeros(len(h))
-        if hist:
-            u, count, alpha = alphas(*[np.concatenate([a[k] for a in hist]).astype(np.uint64 if k == 0 else np.float64) for k in range(4)])
-            at = np.searchsorted(u, h).clip(0, len(u) - 1)
-            # the history's own place took log c(h) off; that was for a seen bigram
-            add = np.where(u[at] == h, np.log10(np.maximum(alpha[at], 1e-300)) + np.log10(np.maximum(count[at], 1)), 0.0) * c
-        uu, iu = np.unique(uid, return_inverse=True)
-        return pd.DataFrame(_by(uu >> _U(1), buckets, "c", uu, np.bincount(iu, add, len(uu))), columns=["kind", "key", "blob"])
-
-    return parts.where("kind IN ('h', 'u')").groupBy("key").applyInPandas(run, "kind string, key int, blob binary")
-
-
-def _scored(parts: DataFrame, facts: dict) -> DataFrame:
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        uids, docs, tokens = [], [], []
-        for b in pdf.loc[pdf["kind"] == "m", "blob"]:
-            x, y, z = pickle.loads(b)
-            uids, docs, tokens = uids + list(x), docs + list(y), tokens + list(z)
-        order = np.argsort(np.array(uids, np.uint64))
-        ids, n = np.array(uids, np.uint64)[order], np.array(tokens, np.int64)[order]
-        base, known, score = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids))
-        for kind, b in zip(pdf["kind"], pdf["blob"]):
-            if kind == "m":
-                continue
-            got = unpack(b)
-            at = np.searchsorted(ids, got[0])
-            if kind == "d":
-                np.add.at(base, at, got[1])
-                np.add.at(known, at, got[2])
-            np.add.at(score, at, got[-1])
-        base -= n * np.log10(facts["train"] + facts["vocabulary"] + 1)
-        # the start mark is every text's first history
-        score -= np.log10(max(1, facts["docs"]))
-        return pd.DataFrame({"doc_id": pd.Series([docs[i] for i in order], dtype="Int64"), "held_out": (ids & _U(1)).astype(bool), "n_tokens": n, "n_known": known.round().astype(np.int64), "train_tokens": facts["train"], "base_score": base, "score": score})
-
-    return parts.groupBy("key").applyInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+                uw, which, of, m = unpack(blob)
+                got = c[np.searchsorted(w, uw)].astype(np.int64)
+                mass += np.bincount(which, m, n)
+                lower += np.bincount(which, _unigram(got, facts)[of], n)
+                yield _rows([(1, part, key, pack(small(got)))])
+            if n:
+                yield _rows([(9, -1, key, pack(mass, lower))])
+
+    return _sorted(plain(unigrams).unionAll(bigrams.select("kind", "key", "part", "blob").mapInArrow(ask, _ROWS))).mapInArrow(answer, _ROWS)
+
+
+def _unigram(c: np.ndarray, facts: dict) -> np.ndarray:
+    """P(w) of words with counts c; of an unknown one for 0."""
+    return np.where(c > 0, facts["words"][np.minimum(c, K + 1)] * c / facts["over"], facts["unknown"])
+
+
+def weights(count: np.ndarray, mass: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What c(h) counts as, and alpha(h), from the sums over the seen successors of h."""
+    over = np.where(count - mass > 1e-9 * count, count, count + 1.0)
+    return over, (1 - mass / over) / np.maximum(1 - lower, 1e-12)
+
+
+class Bucket:
+    """One bucket of bigrams, ready for questions."""
+
+    def __init__(self, blob: bytes, counts: dict[int, np.ndarray], facts: dict, buckets: int):
+        uh, nh, uw, iw, c = unpack(blob)
+        order, parts = _dealt(_home(uw, buckets), buckets)
+        cw = np.empty(len(uw), np.int64)
+        for b, s, e in parts:
+            cw[order[s:e]] = counts[b]
+        c, of = c.astype(np.int64), np.repeat(np.arange(len(uh)), nh)
+        mass, lower = facts["pairs"][np.minimum(c, K + 1)] * c, _unigram(cw, facts)[iw]
+        sums = [np.bincount(of, x, len(uh)) for x in (c, mass, lower)]
+        hot = np.flatnonzero(np.isin(uh, facts["hot"]))
+        which = np.searchsorted(facts["hot"], uh[hot])
+        for x, y in zip(sums, facts["hot_sums"]):
+            x[hot] = y[which]
+        over, alpha = weights(*sums)
+        self.h, self.alpha = uh, np.log10(np.maximum(alpha, 1e-300))
+        key = _pair(uh[of], uw[iw])
+        order = np.argsort(key)
+        self.key, self.logp, self.count = key[order], np.log10(mass / over[of])[order], cw[iw][order]
+
+    def ask(self, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which bigrams are seen, log P or log alpha, and the words' counts (where the bigram is seen)."""
+        key = _pair(h, w)
+        at = np.searchsorted(self.key, key).clip(0, len(self.key) - 1)
+        seen = self.key[at] == key
+        own = np.searchsorted(self.h, h).clip(0, len(self.h) - 1)
+        return seen, np.where(seen, self.logp[at], np.where(self.h[own] == h, self.alpha[own], 0.0)), np.where(seen, self.count[at], 0)
+
+
+def asked_of(bucket: Bucket | None, h: np.ndarray, w: np.ndarray, facts: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket.ask(), also for a bucket without bigrams; a hot history may have none of its successors in the bucket."""
+    seen, log, count = bucket.ask(h, w) if bucket else (np.zeros(len(h), bool), np.zeros(len(h)), np.zeros(len(h), np.int64))
+    hot = np.flatnonzero(~seen & np.isin(h, facts["hot"]))
+    which = np.searchsorted(facts["hot"], h[hot])
+    log[hot] = np.where(facts["hot_sums"][0][which] > 0, np.log10(np.maximum(weights(*facts["hot_sums"])[1], 1e-300))[which], 0.0)
+    return seen, log, count
+
+
+class Sums:
+    """Adds (tokens, known tokens, base, score) up by document, and gives them by the documents' home when there are many."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.size = buckets, [], 0
+
+    def add(self, uid: np.ndarray, *values: np.ndarray) -> None:
+        u, i = np.unique(uid, return_inverse=True)
+        self.held.append((u, *(np.bincount(i, v, len(u)) for v in values)))
+        self.size += len(u)
+        if self.size > SUMS:
+            self._merge()
+
+    def _merge(self) -> None:
+        uid, *values = (np.concatenate(x) for x in zip(*self.held))
+        u, i = np.unique(uid, return_inverse=True)
+        self.held, self.size = [(u, *(np.bincount(i, v, len(u)) for v in values))], len(u)
+
+    def full(self) -> bool:
+        return self.size > SUMS // 2
+
+    def rows(self) -> list[tuple]:
+        if not self.size:
+            return []
+        self._merge()
+        (uid, n, known, base, score), self.held, self.size = self.held[0], [], 0
+        order, parts = _dealt(_home(uid.astype(np.uint64), self.buckets), self.buckets)
+        return [(5, b, 0, pack(uid[o := order[s:e]], small(n[o].round().astype(np.int64)), small(known[o].round().astype(np.int64)), base[o], score[o])) for b, s, e in parts]
+
+
+def _questions(docs: DataFrame, hot: np.ndarray, buckets: int, turn: int) -> DataFrame:
+    """Kind 2: the bigrams of chunks of documents and who has each how often, for the buckets of a turn."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w, h, doc, uid in _chunks(batches, False):
+            bucket = _bucket(h, w, hot, buckets)
+            own = bucket % TURNS == turn
+            w, h, doc = w[own], h[own], doc[own]
+            _, first, which = np.unique(_pair(h, w), return_index=True, return_inverse=True)
+            user, n = np.unique(which * len(uid) + doc, return_counts=True)
+            which, doc = user // len(uid), user % len(uid)
+            users = np.bincount(which, minlength=len(first))
+            begin = np.cumsum(users) - users
+            by = np.argsort(h[first])
+            order, parts = _dealt(bucket[own][first[by]], buckets)
+            rows = []
+            for b, s, e in parts:
+                pair = by[order[s:e]]
+                of, _ = segments.gather(np.arange(len(doc)), begin, users, pair)
+                ids, i = np.unique(doc[of], return_inverse=True)
+                rows.append((2, b, 0, pack(*_coded(h[first[pair]], w[first[pair]]), small(users[pair]), uid[ids], small(i), small(n[of]))))
+            yield _rows(rows)
+
+    return docs.mapInArrow(deal, _ROWS)
+
+
+def _answers(rows: DataFrame, facts: dict, buckets: int) -> DataFrame:
+    """Kind 5: documents' sums; kind 3: the words of unseen bigrams, by their homes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, ask, waiting = Sums(buckets), [], 0
+
+        def unseen() -> list[tuple]:
+            nonlocal ask, waiting
+            if not ask:
+                return []
+            w, uid, n = (np.concatenate(x) for x in zip(*ask))
+            order, parts = _dealt(_home(w, buckets), buckets)
+            ask, waiting = [], 0
+            return [(3, b, 0, pack(w[o := order[s:e]], uid[o], small(n[o]))) for b, s, e in parts]
+
+        for key, group in groupby(_each(batches), lambda r: r[1]):
+            model, counts, bucket = None, {}, None
+            for kind, _, part, blob in group:
+                if kind == 0:
+                    model = blob
+                elif kind == 1:
+                    (counts[part],) = unpack(blob)
+                else:
+                    if model is not None and bucket is None:
+                        bucket = Bucket(model, counts, facts, buckets)
+                    uh, nh, uw, iw, users, ids, i, n = unpack(blob)
+                    h, w = np.repeat(uh, nh), uw[iw]
+                    seen, log, count = asked_of(bucket, h, w, facts)
+                    pair = np.repeat(np.arange(len(h)), users)
+                    uid, n = ids[i], n.astype(np.float64)
+                    known = seen[pair]
+                    sums.add(uid, n, n * known, n * np.where(seen, np.log10(count + 1.0), 0)[pair], n * log[pair])
+                    if not known.all():
+                        ask.append((w[pair[~known]], uid[~known], n[~known].astype(np.int64)))
+                        waiting += len(ask[-1][0])
+                    if sums.full() or waiting > CHUNK_TOKENS // 2:
+                        yield _rows(sums.rows() + unseen())
+        yield _rows(sums.rows() + unseen())
+
+    return _sorted(rows).mapInArrow(run, _ROWS)
+
+
+def _backed_off(rows: DataFrame, facts: dict, buckets: int) -> DataFrame:
+    """Kind 5: what the words of unseen bigrams add to their documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums(buckets)
+        for _, group in groupby(_each(batches), lambda r: r[1]):
+            w, c = np.empty(0, np.uint64), np.empty(0, np.int64)
+            for kind, _, _, blob in group:
+                if kind == 0:
+                    w, c = unpack(blob)
+                    continue
+                asked, uid, n = unpack(blob)
+                at = np.searchsorted(w, asked).clip(0, max(0, len(w) - 1))
+                count = np.where(w[at] == asked, c[at], 0).astype(np.int64) if len(w) else np.zeros(len(asked), np.int64)
+                n = n.astype(np.float64)
+                # the tokens themselves were counted where their bigrams were looked up
+                sums.add(uid, np.zeros(len(n)), n * (count > 0), n * np.log10(count + 1.0), n * np.log10(_unigram(count, facts)))
+                if sums.full():
+                    yield _rows(sums.rows())
+        yield _rows(sums.rows())
+
+    return _sorted(rows).mapInArrow(run, _ROWS)
+
+
+def _totals(parts: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in groupby(_each(batches), lambda r: r[1]):
+            held: list[tuple] = []
+            for *_, blob in group:
+                held.append(unpack(blob))
+                if len(held) > 64:
+                    held = [_added(held)]
+            uid, n, known, base, score = _added(held)
+            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(n.round().astype(np.int64)), pa.array(known.round().astype(np.int64)), pa.array(base), pa.array(score)], ["uid", "n_tokens", "n_known", "base", "score"])
+
+    return _sorted(parts).mapInArrow(run, "uid long, n_tokens long, n_known long, base double, score double")
+
+
+def _added(held: list[tuple]) -> tuple:
+    uid, *values = (np.concatenate(x) for x in zip(*held))
+    u, i = np.unique(uid, return_inverse=True)
+    return (u, *(np.bincount(i, v, len(u)) for v in values))
 
 
 def score(documents: DataFrame, heldout: int | None = 7, where: str | None = None, keep_model: bool = False) -> DataFrame:
     """Trains on the documents that aren't held out (crc32(doc_id) mod heldout is not 2) and scores all.
 
-    With keep_model the bigram tables stay in where.
+    With keep_model the tables unigrams and bigrams stay in where.
     """
     spark = documents.sparkSession
     where = where or shared_dir(spark)
-    hot, totals = frequent(documents, heldout)
-    buckets = max(16, totals["tokens"] // BUCKET_TOKENS)
+    held = remainder(F.col("doc_id"), heldout) == 2 if heldout else F.lit(False)
+    docs = documents.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", held.alias("held_out"))
+    asked = docs.select("uid", "text", "held_out")
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows")).first()
+    buckets = max(16, ((size["bytes"] or 0) // 6 + size["rows"]) // BUCKET_TOKENS)
+    unigrams = stored(_unigrams(asked, buckets), f"{where}/unigrams")
+    at = lambda k: F.coalesce(F.sum(F.get("tally", F.lit(k))), F.lit(0)).alias(f"n{k}")
+    r = unigrams.agg(*map(at, range(K + 2)), F.sum("items").alias("v"), F.sum("tokens").alias("n")).first()
+    train, tallies = r["n"] or 0, np.array([r[k] for k in range(K + 2)], float)
+    frequent = _frequent(unigrams, max(1, train / HOT)) if train else {}
+    hot = np.array(sorted({w for w in frequent if w != END} | {START}), np.uint64)
+    release(spark)
+    bigrams = stored(_bigrams(asked, hot, buckets), f"{where}/bigrams")
+    release(spark)
+    r2 = bigrams.agg(*map(at, range(K + 2))).first()
+    d1 = discounts(tallies)
+    kept = sum(d1[k] * k * tallies[k] for k in range(1, K + 1)) + train - sum(k * tallies[k] for k in range(1, K + 1))
+    over = train if train - kept > 1e-9 * train else train + 1
+    facts = {"hot": hot, "words": d1, "pairs": discounts(np.array([r2[k] for k in range(K + 2)], float)), "over": max(1, over), "unknown": 1 - kept / over if train else 1.0}
+    lower = stored(_lower(unigrams, bigrams, facts, buckets), f"{where}/lower")
+    release(spark)
+    mass, under = np.zeros(len(hot)), np.zeros(len(hot))
+    for row in lower.where("kind = 9").select("blob").toLocalIterator():
+        x, y = unpack(row["blob"])
+        mass, under = mass + x, under + y
+    # each training text has one end token and one start
+    ends = docs.where(~F.col("held_out")).count()
+    facts["hot_sums"] = (np.array([ends if w == START else frequent[int(w)] for w in hot], float), mass, under)
+    plain = lambda df: df.select("kind", "key", "part", "blob")
+    parts: list[DataFrame] = []
     for turn in range(TURNS):
-        part = stored(_merged(_dealt(documents, list(hot), buckets, heldout, turn), hot), f"{where}/model{turn}")
+        own = F.col("key") % TURNS == turn
+        rows = plain(bigrams).where(own).unionAll(plain(lower).where("kind = 1").where(own)).unionAll(_questions(asked, hot, buckets, turn))
+        parts.append(stored(_answers(rows, facts, buckets), f"{where}/answers{turn}"))
         release(spark)
-    model = spark.read.schema(part.schema).parquet(*[f"{where}/model{turn}" for turn in range(TURNS)])
-    at = lambda c, k: F.sum(F.get(c, F.lit(k)))
-    r = model.agg(*[at("pairs", k).alias(f"p{k}") for k in range(K + 2)], *[at("words", k).alias(f"w{k}") for k in range(K + 2)], F.sum("vocabulary").alias("v")).first()
-    pairs, words = ([int(r[f"{x}{k}"] or 0) for k in range(K + 2)] for x in "pw")
-    for n in hot.values():
-        if 0 < n <= K + 1:
-            words[n] += 1
-    facts = totals | {"vocabulary": int(r["v"] or 0) + sum(n > 0 for n in hot.values()), "pairs": discounts(np.array(pairs, float)), "words": discounts(np.array(words, float))}
-    # the mass of unknown words: what discounts take from all counts
-    kept = sum(facts["words"][k] * k * words[k] for k in range(1, K + 1))
-    large = facts["train"] - sum(k * words[k] for k in range(1, K + 1))
-    facts["unknown"] = max(1 - (kept + (1 - SLIGHT) * large) / facts["train"], 1e-12) if facts["train"] else 1.0
-    parts = stored(_parts(model, buckets, facts), f"{where}/parts")
+    answers = spark.read.schema(parts[0].schema).parquet(*[f"{where}/answers{turn}" for turn in range(TURNS)])
     if not keep_model:
-        for turn in range(TURNS):
-            drop(spark, f"{where}/model{turn}")
-    more = stored(_backed_off(parts, buckets), f"{where}/backoff")
-    return _scored(parts.where("kind IN ('d', 'm')").unionByName(more), facts)
+        drop(spark, f"{where}/bigrams")
+        drop(spark, f"{where}/lower")
+    more = stored(_backed_off(plain(unigrams).unionAll(answers.where("kind = 3")), facts, buckets), f"{where}/backoff")
+    release(spark)
+    sums = _totals(answers.where("kind = 5").unionAll(more))
+    found = docs.select("uid", "doc_id", "held_out").join(sums, "uid")
+    base = F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(train + (r["v"] or 0) + 1)))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,16 +540,22 @@ def brute(docs: list[tuple[int, str | None]], heldout: int = 7) -> dict[int, tup
     N, V = sum(uni.values()), len(uni)
     tally = lambda c: np.array([0] + [sum(n == r for n in c.values()) for r in range(1, K + 2)], float)
     d1, d2 = discounts(tally(uni)), discounts(tally(bi))
-    unknown = max(1 - sum(d1[min(n, K + 1)] * n for n in uni.values()) / N, 1e-12)
-    p1 = lambda w: d1[min(uni[w], K + 1)] * uni[w] / N if uni[w] else unknown
+    kept = sum(d1[min(n, K + 1)] * n for n in uni.values())
+    over = N if N - kept > 1e-9 * N else N + 1
+    unknown = 1 - kept / over if N else 1.0
+    p1 = lambda w: d1[min(uni[w], K + 1)] * uni[w] / over if uni[w] else unknown
     follow: dict = {}
     for (h, w), n in bi.items():
         follow.setdefault(h, []).append((w, n))
-    alpha = {h: (1 - sum(d2[min(n, K + 1)] * n for _, n in ws) / hist[h]) / (1 - sum(p1(w) for w, _ in ws)) for h, ws in follow.items()}
+    alpha, denominator = {}, {}
+    for h, ws in follow.items():
+        mass = sum(d2[min(n, K + 1)] * n for _, n in ws)
+        denominator[h] = hist[h] if hist[h] - mass > 1e-9 * hist[h] else hist[h] + 1
+        alpha[h] = (1 - mass / denominator[h]) / (1 - sum(p1(w) for w, _ in ws))
 
     def p(h, w):
         if bi[h, w]:
-            return d2[min(bi[h, w], K + 1)] * bi[h, w] / hist[h]
+            return d2[min(bi[h, w], K + 1)] * bi[h, w] / denominator[h]
         return alpha[h] * p1(w) if h in alpha else p1(w)
 
     out = {}
