@@ -2,99 +2,139 @@
 
 Words are maximal runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z are lower-cased.
 Every 13 consecutive words of a benchmark item form a window; an item of fewer words is one
-window. Each shard (one Arrow batch of documents) is mapped to benchmark word numbers, its runs
-of benchmark words that could hold a window are indexed (suffix array, Burrows-Wheeler
-transform, wavelet matrix, sampled suffix positions), all windows are searched backwards at
-once, located, and merged to removal spans.
+window.
+
+``index`` writes a row for each shard of some SHARD words of whole documents: its vocabulary (sorted word
+hashes), the wavelet matrix of the Burrows-Wheeler transform of all its words, each SAMPLE-th suffix
+position, and where its documents begin; equal texts of a shard are indexed once. ``find`` searches all windows of a
+benchmark backwards in each shard, locates their occurrences, and merges them to removal spans. An index serves any
+number of benchmarks. These are read in blocks of some ``block_bytes`` of text (one item at least), and only
+one block is held and broadcast at a time.
 
 Edge cases: null text has no words; rows with a null item_id or no words take no part as items;
-repeated item ids count once; an empty benchmark leaves all documents clean; extra columns are
-ignored. A benchmark of any size is searched in blocks of at most ``block_bytes`` of text, so
-what is broadcast at a time is bounded.
+repeated item ids count once; an empty benchmark leaves all documents clean; an empty table gives no rows; repeated rows are
+each judged, null doc_ids stay null; extra columns are ignored. A document of any length is in one shard.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from cairn.llm import segments
+from cairn.llm.common import drop, mapped, shared_dir, small_batches, stored, table, with_text
 
 WINDOW = 13
-#: Word bytes stay (A-Z lower-cased), all other ASCII becomes a space.
+SHARD = 1_000_000
+SAMPLE = 16
+#: Occurrences located at a time.
+LOCATED = 1 << 20
+#: Word bytes stay (A-Z lower-cased), all other ASCII parts words.
 _TABLE = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+_BETWEEN = np.array([b == 32 for b in _TABLE])
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+_U = np.uint64
 
 
 def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
 
 
-class WaveletMatrix:
-    """Rank over an integer sequence, for many symbols and positions at once."""
+class Bits:
+    """A bitmap with rank: the ones before each 64 bits are kept."""
 
-    def __init__(self, seq: np.ndarray, sigma: int):
-        self.bits = max(1, int(sigma - 1).bit_length())
-        self.levels, self.zeros = [], []
-        for b in range(self.bits - 1, -1, -1):
-            bit = (seq >> b) & 1
-            self.levels.append(np.concatenate([[0], np.cumsum(bit, dtype=np.int64)]))
-            self.zeros.append(len(seq) - int(self.levels[-1][-1]))
-            seq = np.concatenate([seq[bit == 0], seq[bit == 1]])
+    def __init__(self, data: bytes, size: int):
+        self.words = np.frombuffer(data + bytes(8 - len(data) % 8), "<u8")
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])
+        self.size = size
 
-    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Occurrences of symbol in the first ``at`` places, elementwise."""
-        lo, hi = np.zeros_like(at), at.copy()
-        for k, (ones, zeros) in enumerate(zip(self.levels, self.zeros)):
-            one = ((symbol >> (self.bits - 1 - k)) & 1).astype(bool)
-            lo = np.where(one, zeros + ones[lo], lo - ones[lo])
-            hi = np.where(one, zeros + ones[hi], hi - ones[hi])
-        return hi - lo
+    @staticmethod
+    def packed(bits: np.ndarray) -> bytes:
+        return np.packbits(bits, bitorder="little").tobytes()
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones in the first ``at`` places."""
+        block = at >> 6
+        return self.before[block] + np.bitwise_count(self.words[block] & ((_U(1) << (at & 63).astype(np.uint64)) - _U(1))).astype(np.int64)
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & _U(1) == 1
 
 
 def suffix_array(seq: np.ndarray) -> np.ndarray:
-    """By prefix doubling; a shorter suffix sorts before its extensions."""
+    """By prefix doubling among suffixes that are still alike; a shorter suffix sorts before its extensions."""
     n = len(seq)
-    rank = np.unique(seq, return_inverse=True)[1].astype(np.int64) + 1
+    order = np.argsort(seq, kind="stable")
+    first = np.concatenate([[True], seq[order][1:] != seq[order][:-1]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     step = 1
     while True:
-        second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:] if step < n else 0
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[1], sorted_key[1:] != sorted_key[:-1]]))
-        if new.max(initial=0) == n or step >= n:
+        places = np.flatnonzero(~(first & np.concatenate([first[1:], [True]])))
+        if not len(places):
             return order
-        rank, step = new, step * 2
+        who = order[places]
+        beyond = who + step
+        key = rank[who] * (n + 1) + np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        who, key = who[by], key[by]
+        order[places] = who
+        opens = np.concatenate([[True], key[1:] != key[:-1]])
+        first[places] = opens
+        rank[who] = places[np.maximum.accumulate(np.where(opens, np.arange(len(who)), 0))]
+        step *= 2
+
+
+def build(seq: np.ndarray, sigma: int) -> tuple:
+    """The parts of the FM-index of seq, whose symbols are 1..sigma-1; the end marker 0 is appended."""
+    text = np.concatenate([seq, [0]]).astype(np.int64)
+    sa = suffix_array(text)
+    bwt, levels = text[sa - 1], []
+    for b in range(max(1, int(sigma - 1).bit_length()) - 1, -1, -1):
+        bit = (bwt >> b) & 1
+        levels.append((Bits.packed(bit), len(bwt) - int(bit.sum())))
+        bwt = np.concatenate([bwt[bit == 0], bwt[bit == 1]])
+    marked = sa % SAMPLE == 0
+    return len(text), levels, np.bincount(text, minlength=sigma).astype(np.uint32).tobytes(), Bits.packed(marked), sa[marked].astype(np.uint32).tobytes()
 
 
 class FMIndex:
-    SAMPLE = 8
-
-    def __init__(self, seq: np.ndarray, sigma: int):
-        """seq: symbols 1..sigma-1; the end marker 0 is appended here."""
-        text = np.concatenate([seq, [0]]).astype(np.int64)
-        self.n = len(text)
-        sa = suffix_array(text)
-        self.bwt = text[sa - 1]
-        self.tree = WaveletMatrix(self.bwt, sigma)
-        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
-        self.marked = sa % self.SAMPLE == 0
-        self.marks = np.concatenate([[0], np.cumsum(self.marked)])
-        self.sampled = sa[self.marked]
-
-    def _step(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return self.before[symbol] + self.tree.rank(symbol, at)
+    def __init__(self, parts: tuple):
+        self.n, levels, counts, marked, sampled = parts
+        self.levels = [(Bits(data, self.n), zeros) for data, zeros in levels]
+        self.before = np.concatenate([[0], np.cumsum(np.frombuffer(counts, np.uint32), dtype=np.int64)])
+        self.marked, self.sampled = Bits(marked, self.n), np.frombuffer(sampled, np.uint32)
+
+    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Occurrences of symbol in the first ``at`` places of the transform, elementwise."""
+        lo, hi, top = np.zeros_like(at), at.copy(), len(self.levels) - 1
+        for k, (bits, zeros) in enumerate(self.levels):
+            one = ((symbol >> (top - k)) & 1).astype(bool)
+            l1, h1 = bits.rank(lo), bits.rank(hi)
+            lo, hi = np.where(one, zeros + l1, lo - l1), np.where(one, zeros + h1, hi - h1)
+        return hi - lo
+
+    def symbol(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols at places of the transform, and how often each occurs before its place."""
+        at, start, out = at.copy(), np.zeros_like(at), np.zeros_like(at)
+        for bits, zeros in self.levels:
+            one = bits.get(at)
+            a1, s1 = bits.rank(at), bits.rank(start)
+            at, start = np.where(one, zeros + a1, at - a1), np.where(one, zeros + s1, start - s1)
+            out = 2 * out + one
+        return out, at - start
 
     def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row ranges of all patterns; patterns are right-aligned in the matrix."""
+        """Row ranges of all patterns, backwards; patterns are right-aligned in the matrix."""
         lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
         width = patterns.shape[1]
         for j in range(width - 1, -1, -1):
@@ -102,104 +142,136 @@ class FMIndex:
             if not len(live):
                 break
             c = patterns[live, j]
-            lo[live], hi[live] = self._step(c, lo[live]), self._step(c, hi[live])
+            lo[live], hi[live] = self.before[c] + self.rank(c, lo[live]), self.before[c] + self.rank(c, hi[live])
         return lo, hi
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Text positions of suffix rows: walks back to the nearest sampled position."""
-        rows, steps, out = rows.copy(), np.zeros(len(rows), np.int64), np.full(len(rows), -1, np.int64)
-        open_ = np.arange(len(rows))
-        while len(open_):
-            hit = self.marked[rows[open_]]
-            done = open_[hit]
-            out[done] = self.sampled[self.marks[rows[done]]] + steps[done]
-            open_ = open_[~hit]
-            rows[open_] = self._step(self.bwt[rows[open_]], rows[open_])
-            steps[open_] += 1
+        rows, steps, out, walking = rows.copy(), 0, np.empty(len(rows), np.int64), np.arange(len(rows))
+        while len(walking):
+            here = rows[walking]
+            hit = self.marked.get(here)
+            out[walking[hit]] = self.sampled[self.marked.rank(here[hit])].astype(np.int64) + steps
+            walking, here = walking[~hit], here[~hit]
+            c, before = self.symbol(here)
+            rows[walking] = self.before[c] + before
+            steps += 1
         return out
 
 
+def _shard(hashes: np.ndarray, at: np.ndarray, ids: list) -> dict:
+    """The row of a shard; at: where each document's words begin."""
+    n = np.diff(at)
+    place = np.arange(len(hashes)) - np.repeat(at[:-1], n)
+    some = np.flatnonzero(n)
+    content = np.zeros(len(n), np.uint64)
+    if len(some):
+        content[some] = segments.mix(np.add.reduceat(segments.mix(hashes + place.astype(np.uint64) * _U(0x9E3779B97F4A7C15)), at[:-1][some]) + n[some].astype(np.uint64))
+    # equal texts once; texts without words not at all
+    _, first, same = np.unique(content[some], return_index=True, return_inverse=True)
+    kept = some[first]
+    seq, begin = segments.gather(hashes, at[:-1], n, kept)
+    vocabulary, symbol = np.unique(seq, return_inverse=True)
+    # each document is closed by the separator 1
+    begin = begin + np.arange(len(begin))
+    text = np.ones(begin[-1], np.int64)
+    inside = np.ones(len(text), bool)
+    inside[begin[1:] - 1] = False
+    text[inside] = symbol + 2
+    of = np.full(len(n), -1, np.int64)
+    of[some] = same.reshape(-1)
+    parts = build(text, len(vocabulary) + 2) if len(text) else None
+    blob = zstandard.ZstdCompressor(level=1).compress(pickle.dumps((vocabulary.tobytes(), begin.astype(np.uint32).tobytes(), parts), protocol=5))
+    return {"ids": ids, "n_words": n.tolist(), "text_of": of.tolist(), "fm": blob}
+
+
+def index(documents: DataFrame, where: str, shard: int | None = None) -> DataFrame:
+    """Writes and gives the shards of documents (id, text): part, seq, ids, n_words, text_of (the indexed text of each), fm."""
+    shard = shard or SHARD
+    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("text_of", pa.list_(pa.int64())), ("fm", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, ids, hashes, sizes, held = TaskContext.get().partitionId(), 0, [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal seq, ids, hashes, sizes, held
+            row = {"part": part, "seq": seq} | _shard(np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64), ids)
+            seq, ids, hashes, sizes, held = seq + 1, [], [], [], 0
+            return pa.RecordBatch.from_pylist([row], schema)
+
+        for batch in batches:
+            h, at = segments.words(batch.column("text"), _BETWEEN)
+            ids += batch.column("id").to_pylist()
+            hashes.append(h)
+            sizes.append(np.diff(at))
+            held += len(h)
+            if held >= shard:
+                yield flush()
+        if ids:
+            yield flush()
+
+    rows = documents.select(F.col("id").cast("long").alias("id"), "text")
+    return stored(rows.mapInArrow(run, "part int, seq int, ids array<long>, n_words array<long>, text_of array<long>, fm binary"), where)
+
+
 class Windows:
-    """The windows of one block of benchmark items, as numbers of the block's own vocabulary."""
+    """The windows of one block of benchmark items, as word hashes."""
 
     def __init__(self, items: list[tuple[object, str]], window: int = WINDOW):
-        self.vocab: dict[bytes, int] = {}
-        found: dict[tuple, set[str]] = {}
-        self.ids: list[str] = []
-        index: dict[str, int] = {}
-        for item, text in items:
-            w = [self.vocab.setdefault(x, len(self.vocab) + 2) for x in words(text)]
-            if not w:
-                continue
-            k = index.setdefault(str(item), len(index))
-            for i in range(max(1, len(w) - window + 1)):
-                found.setdefault(tuple(w[i : i + window]), set()).add(k)
-        self.ids = list(index)
-        self.sigma = len(self.vocab) + 2
-        self.lengths = np.array([len(p) for p in found], np.int64)
-        self.patterns = np.zeros((len(found), window), np.int64)
-        for i, p in enumerate(found):
-            self.patterns[i, window - len(p) :] = p
-        self.starts = np.concatenate([[0], np.cumsum([len(x) for x in found.values()], dtype=np.int64)]).astype(np.int64)
+        hashes, at = segments.words(pa.array([t for _, t in items], pa.string()), _BETWEEN)
+        found: dict[bytes, set[int]] = {}
+        names: dict[str, int] = {}
+        for (item, _), a, b in zip(items, at.tolist(), at[1:].tolist()):
+            if b > a:
+                k = names.setdefault(str(item), len(names))
+                for i in range(a, max(a + 1, b - window + 1)):
+                    found.setdefault(hashes[i : min(i + window, b)].tobytes(), set()).add(k)
+        self.names = list(names)
+        self.lengths = np.array([len(x) // 8 for x in found], np.int64)
+        self.patterns = np.zeros((len(found), window), np.uint64)
+        for i, x in enumerate(found):
+            self.patterns[i, window - len(x) // 8 :] = np.frombuffer(x, np.uint64)
+        self.starts = np.concatenate([[0], np.cumsum([len(x) for x in found.values()])]).astype(np.int64)
         self.items = np.array([k for x in found.values() for k in sorted(x)], np.int64)
-        self.shortest = int(self.lengths.min(initial=window))
-
-    def find(self, docs: list[list[bytes]]) -> tuple[np.ndarray, list[list[int]], list[list[str]]]:
-        """For each document: hit words, merged spans of word numbers [start, end, ...], items found."""
-        n = np.array([len(d) for d in docs], np.int64)
-        begins = np.concatenate([[0], np.cumsum(n)])
-        hits, spans, items = np.zeros(len(docs), np.int64), [[] for _ in docs], [[] for _ in docs]
-        total = int(begins[-1])
-        if not total or not len(self.patterns):
-            return hits, spans, items
-        get = self.vocab.get
-        seq = np.fromiter((get(w, 0) for d in docs for w in d), np.int64, total)
-        # runs of benchmark words within a document, long enough for the shortest window
-        known = seq > 0
-        first = np.zeros(total + 1, bool)
-        first[begins[:-1][n > 0]] = True
-        opens = np.flatnonzero(known & (first[:-1] | ~np.concatenate([[False], known[:-1]])))
-        closes = np.flatnonzero(known & (np.concatenate([first[1:-1], [True]]) | ~np.concatenate([known[1:], [False]]))) + 1
-        keep = closes - opens >= self.shortest
-        opens, closes = opens[keep], closes[keep]
-        if not len(opens):
-            return hits, spans, items
-        size = closes - opens + 1  # each run is closed by the separator 1
-        ends = np.cumsum(size)
-        place = np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(opens, size)
-        run = np.where(place < np.repeat(closes, size), seq[np.minimum(place, total - 1)], 1)
-        index = FMIndex(run, self.sigma)
-        lo, hi = index.search(self.patterns, self.lengths)
+
+    def find(self, fm: bytes) -> dict[int, tuple[list[int], list[str]]]:
+        """For each indexed text with occurrences: merged spans of word numbers [start, end, ...], and items."""
+        vocabulary, begin, parts = pickle.loads(zstandard.ZstdDecompressor().decompress(fm))
+        vocabulary, begin = np.frombuffer(vocabulary, np.uint64), np.frombuffer(begin, np.uint32).astype(np.int64)
+        if parts is None or not len(self.patterns):
+            return {}
+        at = np.searchsorted(vocabulary, self.patterns).clip(0, len(vocabulary) - 1)
+        known = vocabulary[at] == self.patterns
+        # all words of a window must be in the vocabulary
+        unused = np.arange(known.shape[1])[None, :] < known.shape[1] - self.lengths[:, None]
+        live = np.flatnonzero((known | unused).all(1))
+        if not len(live):
+            return {}
+        fmi = FMIndex(parts)
+        lo, hi = fmi.search(at[live] + 2, self.lengths[live])
         count = np.maximum(hi - lo, 0)
-        which = np.repeat(np.arange(len(count)), count)
-        if not len(which):
-            return hits, spans, items
-        rows = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + lo[which]
-        at = place[index.locate(rows)]
-        cover = np.zeros(total + 1, np.int64)
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + self.lengths[which], -1)
+        cover = np.zeros(begin[-1] + 1, np.int64)
+        pairs: list[np.ndarray] = []
+        ends = np.cumsum(count)
+        for a in range(0, int(ends[-1]), LOCATED):
+            n = np.arange(a, min(a + LOCATED, int(ends[-1])))
+            which = np.searchsorted(ends, n, side="right")
+            place = fmi.locate(lo[which] + n - (ends[which] - count[which]))
+            np.add.at(cover, place, 1)
+            np.add.at(cover, place + self.lengths[live[which]], -1)
+            doc = np.searchsorted(begin, place, side="right") - 1
+            pairs.append(np.unique(doc * len(self.lengths) + live[which]))
+        if not pairs:
+            return {}
         hit = np.cumsum(cover)[:-1] > 0
-        total_hit = np.concatenate([[0], np.cumsum(hit)])
-        hits = total_hit[begins[1:]] - total_hit[begins[:-1]]
-        doc = np.searchsorted(begins, at, side="right") - 1
-        for d, p in np.unique(np.stack([doc, which], 1), axis=0):
-            items[d] += [self.ids[k] for k in self.items[self.starts[p] : self.starts[p + 1]]]
-        for d in np.flatnonzero(hits):
-            h = np.concatenate([[False], hit[begins[d] : begins[d + 1]], [False]])
-            spans[d] = np.flatnonzero(h[1:] != h[:-1]).tolist()
-        return hits, spans, items
-
-
-def merged(a: list[int], b: list[int]) -> list[int]:
-    """The union of two lists of disjoint spans [start, end, start, end, ...]."""
-    out: list[int] = []
-    for s, e in sorted([*zip(a[::2], a[1::2]), *zip(b[::2], b[1::2])]):
-        if out and s <= out[-1]:
-            out[-1] = max(out[-1], e)
-        else:
-            out += [s, e]
-    return out
+        out: dict[int, tuple[list[int], set[str]]] = {}
+        for x in np.unique(np.concatenate(pairs)).tolist():
+            d, w = divmod(x, len(self.lengths))
+            if d not in out:
+                h = np.concatenate([[False], hit[begin[d] : begin[d + 1]], [False]])
+                out[d] = (np.flatnonzero(h[1:] != h[:-1]).tolist(), set())
+            out[d][1].update(self.names[k] for k in self.items[self.starts[w] : self.starts[w + 1]].tolist())
+        return {d: (spans, sorted(items)) for d, (spans, items) in out.items()}
 
 
 def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[object, str]]]:
@@ -214,34 +286,48 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[object
         yield block
 
 
-def find_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 8 << 20, prefix: str = "") -> DataFrame:
-    """documents with n_words, hit_spans (merged word spans, flat) and hit_items (sorted ids as text).
-
-    Columns of these names (after prefix) are replaced.
-    """
-    spark = documents.sparkSession
-    n, spans, items = (prefix + c for c in ("n_words", "hit_spans", "hit_items"))
-    df = documents.drop(n, spans, items).withColumns({n: F.lit(0).cast("long"), spans: F.array().cast("array<long>"), items: F.array().cast("array<string>")})
-    found = list(blocks(benchmark, block_bytes)) or [[]]
-    for block in found:
+def find(shards: DataFrame, benchmark: DataFrame, where: str, window: int = WINDOW, block_bytes: int = 8 << 20) -> DataFrame:
+    """id, n_words, hit_spans (merged word spans, flat), hit_items (sorted ids as text) of every indexed document."""
+    spark = shards.sparkSession
+    found: list[DataFrame] = []
+    for k, block in enumerate(blocks(benchmark, block_bytes)):
         data = spark.sparkContext.broadcast(block)
 
-        def search(batches: Iterator[pd.DataFrame], data=data) -> Iterator[pd.DataFrame]:
+        def start(data=data) -> Callable:
             windows = Windows(data.value, window)
-            for pdf in batches:
-                docs = [words(t) for t in pdf["text"]]
-                _, more, ids = windows.find(docs)
-                pdf[n] = [len(d) for d in docs]
-                pdf[spans] = [merged(list(a), b) if b else a for a, b in zip(pdf[spans], more)]
-                pdf[items] = [sorted({*a, *b}) if b else a for a, b in zip(pdf[items], ids)]
-                yield pdf
 
-        df = df.mapInPandas(search, df.schema)
-    return df
+            def each(batch: pa.RecordBatch) -> Iterator[dict]:
+                for i in range(len(batch)):
+                    got = windows.find(batch.column("fm")[i].as_py())
+                    docs = [(d, got[t]) for d, t in enumerate(batch.column("text_of")[i].as_py()) if t in got]
+                    yield {"part": [batch.column("part")[i].as_py()] * len(docs), "seq": [batch.column("seq")[i].as_py()] * len(docs), "at": [d for d, _ in docs], "hit_spans": [s for _, (s, _) in docs], "hit_items": [x for _, (_, x) in docs]}
+
+            return each
+
+        found.append(stored(mapped(shards.select("part", "seq", "text_of", "fm"), start, {"part": "int", "seq": "int", "at": "long", "hit_spans": "array<long>", "hit_items": "array<string>"}), f"{where}/hits{k}"))
+        data.destroy()
+    docs = shards.select("part", "seq", F.posexplode(F.arrays_zip("ids", "n_words")).alias("at", "d")).select("part", "seq", F.col("at").cast("long").alias("at"), F.col("d.ids").alias("id"), F.col("d.n_words").alias("n_words"))
+    none = {"hit_spans": F.array().cast("array<long>"), "hit_items": F.array().cast("array<string>")}
+    if not found:
+        return docs.select("id", "n_words", *[v.alias(c) for c, v in none.items()])
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.unionByName(more)
+    if len(found) > 1:
+        hits = hits.groupBy("part", "seq", "at").agg(_merged(F.flatten(F.collect_list("hit_spans"))).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"))
+    return docs.join(hits, ["part", "seq", "at"], "left").select("id", "n_words", *[F.coalesce(c, v).alias(c) for c, v in none.items()])
+
+
+def _merged(flat: Column) -> Column:
+    """The union of spans [start, end, start, end, ...]."""
+    n = (F.size(flat) / 2).cast("int")
+    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.get(flat, 2 * k).alias("s"), F.get(flat, 2 * k + 1).alias("e"))))
+    step = lambda acc, x: F.when((F.size(acc) > 0) & (x["s"] <= F.element_at(acc, -1)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.greatest(F.element_at(acc, -1), x["e"])))).otherwise(F.concat(acc, F.array(x["s"], x["e"])))
+    return F.aggregate(pairs, F.array().cast("array<long>"), step)
 
 
 def digest(df: DataFrame) -> DataFrame:
-    """n_hit, n_items, items_sha256 and contaminated from find_spans()'s columns."""
+    """n_hit, n_items, items_sha256 and contaminated from find()'s columns."""
     hit = F.aggregate(F.transform("hit_spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
     return df.withColumn("n_hit", hit).withColumns({"n_items": F.size("hit_items").cast("long"), "items_sha256": F.sha2(F.array_join("hit_items", ","), 256), "contaminated": (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))})
 
@@ -256,30 +342,39 @@ def cut(text: str, spans: list[int]) -> str:
     return "".join(out) + text[at:]
 
 
-def remove_spans(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Cuts every found benchmark passage from the texts; n_chars follows. Documents left without words go."""
-    columns, spans = documents.columns, "__cut_hit_spans"
-    spotted = find_spans(documents, benchmark, prefix="__cut_")
+def remove_spans(documents: DataFrame, benchmark: DataFrame, where: str | None = None) -> DataFrame:
+    """Cuts every found benchmark passage from the texts; n_chars follows. Documents left without words by that go.
+
+    documents must be a table, or another frame that gives the same rows in the same partitions whenever it is read.
+    """
+    spark = documents.sparkSession
+    where = where or shared_dir(spark)
+    numbered = documents.withColumn("__row", F.monotonically_increasing_id())
+    shards = index(numbered.select(F.col("__row").alias("id"), "text"), f"{where}/index")
+    hits = stored(find(shards, benchmark, where).where(F.size("hit_spans") > 0).select(F.col("id").alias("__row"), F.col("hit_spans").alias("__spans")), f"{where}/spans")
+    drop(spark, f"{where}/index")
+
+    def start() -> Callable:
+        def each(batch: pa.RecordBatch) -> tuple[dict, list[bool]]:
+            out, keep = [], []
+            for t, s in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist()):
+                new = cut(t, s) if s else None
+                out.append(new)
+                keep.append(new is None or bool(words(new)))
+            return {"__text": out, "__n": [None if t is None else len(t) for t in out]}, keep
 
-    def edit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            hit = pdf[spans].map(len) > 0
-            if hit.any():
-                pdf.loc[hit, "text"] = [cut(t, list(s)) for t, s in zip(pdf.loc[hit, "text"], pdf.loc[hit, spans])]
-                if "n_chars" in columns:
-                    pdf.loc[hit, "n_chars"] = [len(t) for t in pdf.loc[hit, "text"]]
-                pdf = pdf[~hit | pdf["text"].map(lambda t: bool(words(t)))]
-            yield pdf[columns]
+        return each
 
-    return spotted.mapInPandas(edit, documents.schema)
+    edited = mapped(numbered.join(hits, "__row", "left"), start, {"__text": "string", "__n": "long"}, documents.columns)
+    return with_text(edited, documents)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cairn.llm.common import table
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find_spans(docs, table(spark, sf_dir, "benchmark")).drop("text")
-    return digest(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    small_batches(spark)
+    where = shared_dir(spark)
+    shards = index(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), f"{where}/index")
+    found = digest(find(shards, table(spark, sf_dir, "benchmark"), where))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def brute(docs: list[tuple[int, str | None]], items: list[tuple[object, str | None]], window: int = WINDOW) -> list[tuple]:

@@ -6,11 +6,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import ann, bpe, decontaminate, html, katz, langid, neardup, pii, secrets, tokenstore
-from cairn.llm.common import small_batches, table
+from cairn.llm import ann, bpe, decontaminate, html, katz, langid, neardup, pii, secrets, segments, tokenstore
+from cairn.llm.common import ascii_words, small_batches, table
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -50,18 +51,48 @@ def test_decontaminate_matches_brute_force(spark, docs):
     assert all(got[w[0]] == w for w in decontaminate.brute(docs, items))
 
 
-def test_decontaminate_short_items_ties_and_blocks(spark):
+def test_decontaminate_short_items_ties_and_blocks(spark, tmp_path):
     r = random.Random(1)
     docs = [(i, " ".join(r.choice("abcd") for _ in range(r.randint(0, 80)))) for i in range(60)]
     items = [(i, " ".join(r.choice("abcd") for _ in range(r.choice([0, 1, 3, 5, 13, 15])))) for i in range(12)] + [(3, "b b"), (None, "a")]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
     want = decontaminate.brute(docs, items)
-    for block in (1, 1 << 20):
-        got = {x[0]: tuple(x) for x in decontaminate.digest(decontaminate.find_spans(d, b, block_bytes=block)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()}
+    for block, size in ((1, 50), (1 << 20, 1 << 20)):
+        shards = decontaminate.index(d.select(d.doc_id.alias("id"), "text"), f"file://{tmp_path}/{block}/index", shard=size)
+        found = decontaminate.digest(decontaminate.find(shards, b, f"file://{tmp_path}/{block}", block_bytes=block))
+        got = {x[0]: tuple(x) for x in found.select("id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()}
         assert [got[w[0]] for w in want] == want
 
 
+def test_decontaminate_edges(spark, odd, empty, tmp_path):
+    """Null, empty and long texts, repeated rows, an empty benchmark, an empty table, clashing columns."""
+    b = spark.createDataFrame([(1, "plain words here"), (1, "plain words here"), (2, "the cat the cat"), (None, "x"), (3, None)], "item_id long, text string").withColumn("id", F.lit(3))
+    ids = lambda df: df.select(df.doc_id.alias("id"), "text")
+    shards = decontaminate.index(ids(odd.union(odd)), f"file://{tmp_path}/odd")
+    got = sorted((r.id, r.n_words, r.n_hit, r.n_items) for r in decontaminate.digest(decontaminate.find(shards, b, f"file://{tmp_path}/a")).collect())
+    want = {d: w for d, *w in decontaminate.brute([(d, t if d != 7 else None) for d, t, *_ in ODD], [(1, "plain words here"), (2, "the cat the cat")])}
+    want[7] = [40_001, 40_000, 1]
+    assert got == sorted((d, *want[d][:3]) for d, *_ in [*ODD, *ODD])
+    nothing = b.where("item_id > 9")
+    assert all(r.hit_items == [] for r in decontaminate.find(shards, nothing, f"file://{tmp_path}/b").collect())
+    none = decontaminate.index(ids(empty), f"file://{tmp_path}/none")
+    assert decontaminate.find(none, b, f"file://{tmp_path}/c").count() == 0 and decontaminate.remove_spans(empty, b).count() == 0
+
+
+def test_fm_index_counts_and_locates():
+    r = np.random.default_rng(2)
+    for n, sigma in ((1, 3), (200, 4), (3000, 700)):
+        seq = r.integers(1, sigma, n)
+        fm = decontaminate.FMIndex(decontaminate.build(seq, sigma))
+        for size in (1, 2, 5):
+            for i in r.integers(0, max(1, n - size), 20):
+                p = seq[i : i + size]
+                lo, hi = fm.search(p[None, :], np.array([len(p)]))
+                want = [k for k in range(n - len(p) + 1) if (seq[k : k + len(p)] == p).all()]
+                assert sorted(fm.locate(np.arange(lo[0], hi[0])).tolist()) == want
+
+
 def test_decontaminate_cuts_passages(spark, odd):
     item = " ".join(f"w{i}" for i in range(20))
     d = spark.createDataFrame([(1, f"Before, {item.upper()}; after.", 9), (2, item, 9), (3, "clean text", 10)], "doc_id long, text string, n_chars long")
@@ -162,13 +193,12 @@ def test_token_store_edges(spark, odd, empty, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenstore.VOCABULARY)
-    t.encode_special_tokens = True
     path = f"file://{tmp_path}/t"
     tokenstore.write(odd, path, segment=100)
-    got = {r[0]: r[1] for r in tokenstore.read(spark, path, "doc_id long, ids array<long>", lambda d, s, ids: (d, ids.tolist())).collect()}
+    got = {r[0]: r[1] for r in tokenstore.read(spark, path, lambda d, s, ids: (d, ids.tolist()), {"doc_id": "long", "ids": "array<long>"}).collect()}
     assert got == {d: t.encode(x or "", add_special_tokens=False).ids + [2] for d, x, *_ in ODD}
     tokenstore.write(empty, path)
-    assert tokenstore.read(spark, path, "doc_id long", lambda d, s, ids: (d,)).count() == 0
+    assert tokenstore.read(spark, path, lambda d, s, ids: (d,), {"doc_id": "long"}).count() == 0
 
 
 def test_codes_give_any_token():
@@ -205,8 +235,66 @@ def test_bpe_edges(spark, odd, empty):
 
 def test_bpe_heap_and_query_agree():
     r, c = random.Random(2), bpe.coder(bpe.RANKS, __import__("public_tokenizers").PATTERN)
-    words = ["".join(r.choice("etaoinsh ü") for _ in range(r.randint(1, 40))).encode() for _ in range(300)]
-    assert c.contract(words) == [np.array(c.by_heap(w), "<u4").tobytes() for w in words]
+    words = {"".join(r.choice("etaoinsh ü") for _ in range(r.choice([1, 5, 40, 300, 1000]))).encode() for _ in range(200)}
+    got, whole = c.contract(list(words)), lambda w: [c.ranks[w]] if w in c.ranks else c.by_heap(w)
+    assert {w: np.frombuffer(x, "<u4").tolist() for w, x in got.items()} == {w: whole(w) for w in words}
+
+
+def test_pieces_are_cut_where_the_pattern_cuts():
+    """Random texts of letters, marks and all kinds of white space, encoded by the piece and whole."""
+    enc, r = _tiktoken(), random.Random(1)
+    signs = ["a", "B", "'", "s", " ", " ", "\n", "\t", "é", "×", "÷", "ß", "—", "\u3000", "\xa0", "1", "%", ".", ",", "語", "😀", "<", "\x1c", "\x85", "re", "'s", "\r"]
+    texts = [None, "", *("".join(r.choice(signs) for _ in range(r.randint(0, 30))) for _ in range(3000))]
+    distinct, which, at = segments.pieces(pa.array(texts))
+    ids = [enc.encode_ordinary(p.decode()) for p in distinct.to_pylist()]
+    for k, t in enumerate(texts):
+        assert [i for w in which[at[k] : at[k + 1]] for i in ids[w]] == enc.encode_ordinary(t or "")
+
+
+def test_word_hashes_tell_words_apart():
+    r = random.Random(3)
+    texts = [None, "", " \t", *("".join(r.choice(["a", "B", "b", " ", "\x0b", "é", "\u3000", "x" * 70]) for _ in range(r.randint(0, 40))) for _ in range(2000))]
+    hashes, at = segments.words(pa.array(texts))
+    seen: dict = {}
+    for k, t in enumerate(texts):
+        for word, h in zip(ascii_words(t), hashes[at[k] : at[k + 1]].tolist(), strict=True):
+            assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+LARGE = 2**53 + 1
+
+
+def test_a_null_among_large_ids_changes_none(spark, tmp_path):
+    """Every operator keeps ids beyond the integers that a double holds, beside a null id."""
+    d = spark.createDataFrame([(LARGE, "some plain words to read", "en", "s", 24), (None, "some other words", "en", "s", 16)], SCHEMA)
+    ids = lambda df, c="doc_id": sorted((r[0] for r in df.select(c).collect()), key=str)
+    both = sorted([LARGE, None], key=str)
+    assert ids(secrets.find(d)) == ids(secrets.redact(d)) == both
+    assert ids(bpe.digests(d)) == ids(bpe.encode(d)) == ids(bpe.digests(d, keep=True)) == both
+    assert ids(langid.predict(d, langid.fit(d))) == ids(langid.keep_known(d, langid.fit(d), 0)) == both
+    assert ids(neardup.near_duplicates(d)) == ids(neardup.keep_one(d)) == both and ids(neardup.near_duplicates(d).where("kept"), "component_id") == [LARGE]
+    assert ids(pii.find(d)) == both
+    assert ids(html.extract(d.selectExpr("doc_id AS page_id", "source AS url", "text AS html")), "page_id") == both
+    assert ids(katz.score(d)) == both
+    items = spark.createDataFrame([(1, "plain words")], "item_id long, text string")
+    shards = decontaminate.index(d.select(d.doc_id.alias("id"), "text"), f"file://{tmp_path}/index")
+    assert ids(decontaminate.find(shards, items, f"file://{tmp_path}"), "id") == both and ids(decontaminate.remove_spans(d, items)) == both
+
+
+def test_token_store_keeps_ids_and_special_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenstore.VOCABULARY)
+    texts = ["x <|endoftext|> y", "  <|endoftext|><|endoftext|>z ", "plain text", None]
+    d = spark.createDataFrame([(LARGE, texts[0]), (LARGE + 1, texts[1]), (LARGE + 2, texts[2]), (None, None)], "doc_id long, text string")
+    tokenstore.write(d, path := f"file://{tmp_path}/s")
+    got = {r[0]: r[1] for r in tokenstore.read(spark, path, lambda d, s, ids: (d, ids.tolist()), {"doc_id": "long", "ids": "array<long>"}).collect()}
+    assert got == {i: t.encode(x or "", add_special_tokens=False).ids + [2] for i, x in zip([LARGE, LARGE + 1, LARGE + 2, None], texts)}
+
+
+def test_signs_are_no_letters():
+    assert langid.letter_words("² ½ ① ٣ _ 12") == [] and langid.letter_words("a²b Ünï") == ["a", "b", "ünï"]
 
 
 def test_language_accuracy_on_held_out(spark):
@@ -309,7 +397,7 @@ def test_katz_edges(spark, odd, empty):
 
 
 def test_katz_is_normalised():
-    """For a seen history the probabilities of all words and of the unknown one sum to 1."""
+    """For a seen history the probabilities of all words and of the unknown one sum to 1, discounted or not."""
     from collections import Counter
 
     r = random.Random(4)
@@ -319,11 +407,24 @@ def test_katz_is_normalised():
     bi = Counter(p for t in toks for p in zip([b"<s>", *t], t))
     d1, d2 = (katz.discounts(np.array([0] + [sum(n == k for n in c.values()) for k in range(1, 7)], float)) for c in (uni, bi))
     p1 = {w: d1[min(n, 6)] * n / sum(uni.values()) for w, n in uni.items()}
-    follow = {w: n for (h, w), n in bi.items() if h == b"a"}
-    c = sum(follow.values())
-    _, _, alpha = katz.alphas(np.array([7], np.uint64), np.array([sum(d2[min(n, 6)] * n for n in follow.values())]), np.array([float(c)]), np.array([sum(p1[w] for w in follow)]))
-    unseen = sum(p for w, p in p1.items() if w not in follow) + 1 - sum(p1.values())
-    assert sum(d2[min(n, 6)] * n / c for n in follow.values()) + alpha[0] * unseen == pytest.approx(1)
+    seen = {w: n for (h, w), n in bi.items() if h == b"a"}
+    for follow in (seen, dict.fromkeys(seen, 9)):
+        mass = np.array([sum(d2[min(n, 6)] * n for n in follow.values())])
+        over, alpha = katz.weights(np.array([float(sum(follow.values()))]), mass, np.array([sum(p1[w] for w in follow)]))
+        unseen = sum(p for w, p in p1.items() if w not in follow) + 1 - sum(p1.values())
+        assert mass[0] / over[0] + alpha[0] * unseen == pytest.approx(1) and alpha[0] > 0
+
+
+def test_katz_histories_with_large_counts_and_hot_ones(spark, monkeypatch):
+    """Histories whose only successor is frequent, very frequent pairs, many chunks and buckets."""
+    monkeypatch.setattr(katz, "CHUNK_TOKENS", 300)
+    monkeypatch.setattr(katz, "SUMS", 40)
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 100)
+    r = random.Random(9)
+    rows = [(i, " ".join(["the hot pair"] * 5 + [r.choice(["x y", "u v w", "q", "z"]) for _ in range(r.randint(0, 9))] + [f"n{r.randrange(300)}"])) for i in range(200)]
+    got = {x[0]: tuple(x)[1:] for x in katz.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(5).cache()).collect()}
+    for d, w in katz.brute(rows).items():
+        assert got[d][:4] == w[:4] and got[d][4:] == pytest.approx(w[4:], rel=1e-9)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav>
