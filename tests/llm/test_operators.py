@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -441,6 +442,56 @@ def test_main_text(spark):
     assert [(r.page_id, r.n_chars) for r in rows] == [(1, len(html.main_text(PAGE))), (2, 0)]
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head><title>x</title><body><p>Hello there world</p>", "Hello there world"),
+        ("<html><head><meta charset=x><p>Hello <b>there</b></p>", "Hello there"),
+        ("<h1>T</h1><p>Hi there.</p>", "T Hi there."),
+        ("<p>one</p><p>two three</p>", "one two three"),
+        ("<p title=it's>Hello it's me</p><p>two 'x'</p>", "Hello it's me two 'x'"),
+        ('<article><p>One</p><section class="related-work"><p>Two words</p></section></article>', "One Two words"),
+        ('<article><p>One</p><section class="related-links"><p>Two words</p></section></article>', "One"),
+        ("<p>Before text</p><button>Menu<p>After text</p>", "Before text After text"),
+        ("<p>Before text</p><select><option>x<option>y<p>After text</p>", "Before text After text"),
+        ("<title>x<p>After text</p>", "After text"),
+        ("<svg><path d=x><p>After text</p>", "After text"),
+        ("<p>a</p><button>x<p>mid</p><button>y</button><p>b</p>", "a mid b"),
+        ('<p a="x>Text here<p>more', "Text here more"),
+        ("<p>x <3 y > z</p>", "x <3 y > z"),
+        ("text <b", "text"),
+        ("<p>&lt;b&gt; &amp;amp; &#x41;&nbsp;&nbsp;B</p>", "<b> &amp; A B"),
+        ('<p class="comments">no</p><p>yes it is</p>', "yes it is"),
+    ],
+)
+def test_main_text_of_odd_pages(page, want):
+    assert html.main_text(page) == want
+
+
+def test_main_text_takes_linear_time():
+    for part in ("<p title=it's>x ", "<a b='c ", "<svg> ", "<button> x", "<a ", '<p a="x> ', "<!-- ", "<script>"):
+        began = time.process_time()
+        html.main_text(part * 20_000)
+        assert time.process_time() - began < 2, part
+
+
+def test_main_text_tree_looks_at_links_and_neighbours():
+    used = lambda n: {html.FEATURES[n[0]]} | used(n[2]) | used(n[3]) if len(n) > 1 else set()
+    assert {"words", "links", "links_before", "links_after"} <= used(html.model())
+    assert all((html.tree.share(html.model(), r[:-1]) > 0.5) == bool(r[-1]) for r in html.LABELLED)
+    text, link = "<p>a few words here</p>", "<p><a href=x>a few words here</a></p>"
+    assert html.main_text(link + text + link) == "" and html.main_text(text + text + link) == "a few words here a few words here"
+
+
+def test_main_text_edges(spark):
+    """An empty table, repeated rows, nulls in any column, a very long page, columns with clashing names."""
+    schema = "page_id long, url string, html string, text string, n_chars string"
+    rows = [(1, "u", "<p>x y</p>", "t", "n"), (1, "u", "<p>x y</p>", "t", "n"), (None, None, None, None, None), (LARGE, "v", "<p>" + "word " * 200_000, None, None)]
+    got = sorted((r.page_id or 0, r.url or "", r.n_chars) for r in html.extract(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(0, "", 0), (1, "u", 3), (1, "u", 3), (LARGE, "v", 999_999)]
+    assert html.extract(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_main_text_of_the_tables(spark):
     """All of an article's words, and none from around it."""
     import re
