@@ -62,6 +62,7 @@ LABELLED = [
     (6, 0.0, 50, 0.0, 80, 0.0, 0, 0, 0, 0, 1), (8, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1, 0, 1), (3, 0.0, 40, 0.0, 60, 0.0, 0, 0, 1, 0, 1), (200, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (30, 0.2, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 1),
     (1, 0.0, 0, 0.0, 2, 0.0, 0, 0, 1, 0, 1), (2, 0.0, 1, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 0, 0.0, 4, 0.0, 0, 0, 0, 0, 1), (4, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (20, 0.3, 2, 0.0, 3, 0.0, 0, 0, 0, 0, 1),
     (4, 0.0, 1, 1.0, 0, 0.0, 0, 0, 0, 0, 1), (4, 0.0, 2, 1.0, 5, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 3, 1.0, 2, 0.0, 0, 0, 1, 0, 1), (9, 0.0, 1, 1.0, 3, 0.0, 0, 0, 0, 0, 1),
+    (4, 0.0, 9, 0.0, 2, 1.0, 0, 0, 0, 0, 1), (2, 0.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (3, 0.0, 5, 0.0, 1, 1.0, 0, 0, 1, 0, 1), (1, 0.0, 6, 0.0, 4, 1.0, 0, 0, 0, 0, 1), (4, 0.0, 4, 0.0, 4, 1.0, 0, 0, 0, 0, 1),
     (3, 0.0, 1, 1.0, 9, 0.0, 0, 0, 1, 0, 1), (6, 0.0, 1, 1.0, 8, 0.1, 0, 0, 0, 0, 1), (5, 0.0, 9, 0.0, 2, 1.0, 0, 0, 0, 0, 1), (7, 0.4, 20, 0.0, 15, 0.0, 0, 0, 0, 0, 1), (35, 0.4, 50, 0.0, 3, 0.9, 0, 0, 0, 0, 1),
     # a list of links, and what stands among them
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0), (2, 1.0, 0, 0.0, 60, 0.0, 0, 0, 0, 0, 0), (3, 1.0, 50, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (12, 0.8, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (25, 0.7, 60, 0.0, 9, 0.0, 0, 0, 0, 0, 0), (3, 0.7, 40, 0.0, 50, 0.0, 0, 0, 0, 0, 0),
