@@ -107,6 +107,18 @@ def _pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(h * _ODD + w)
 
 
+def _among(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of x are in known, which is sorted."""
+    return known[np.searchsorted(known, x).clip(0, len(known) - 1)] == x
+
+
+def _alike(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal keys together, and where each key begins in it."""
+    order = np.argsort(key)
+    key = key[order]
+    return order, np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+
+
 def _dealt(home: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """An order by home, and (home, start, end) of those that have any."""
     order = np.argsort(home.astype(np.uint32), kind="stable")
@@ -119,7 +131,7 @@ def _home(w: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _bucket(h: np.ndarray, w: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    is_hot = np.isin(h, hot)
+    is_hot = _among(hot, h)
     return _home(np.where(is_hot, h ^ (w * _ODD), h), buckets)
 
 
@@ -208,7 +220,8 @@ def _bigrams(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w, h, *_ in _chunks(batches, True):
-            _, first, c = np.unique(_pair(h, w), return_index=True, return_counts=True)
+            order, at = _alike(_pair(h, w))
+            first, c = order[at], np.diff(np.append(at, len(order)))
             order = np.argsort(h[first])
             h, w, c = h[first[order]], w[first[order]], c[order]
             order, parts = _dealt(_bucket(h, w, hot, buckets), buckets)
@@ -242,7 +255,7 @@ def _lower(unigrams: DataFrame, bigrams: DataFrame, facts: dict, buckets: int) -
             order, parts = _dealt(_home(uw, buckets), buckets)
             place = np.empty(len(uw), np.int64)
             place[order] = np.arange(len(uw))
-            own = np.flatnonzero(np.isin(h, facts["hot"]))
+            own = np.flatnonzero(_among(facts["hot"], h))
             which, of, mass = np.searchsorted(facts["hot"], h[own]), place[iw[own]], facts["pairs"][np.minimum(c[own].astype(np.int64), K + 1)] * c[own]
             by = np.argsort(of, kind="stable")
             which, of, mass, rows = which[by], of[by], mass[by], []
@@ -293,7 +306,7 @@ class Bucket:
         c, of = c.astype(np.int64), np.repeat(np.arange(len(uh)), nh)
         mass, lower = facts["pairs"][np.minimum(c, K + 1)] * c, _unigram(cw, facts)[iw]
         sums = [np.bincount(of, x, len(uh)) for x in (c, mass, lower)]
-        hot = np.flatnonzero(np.isin(uh, facts["hot"]))
+        hot = np.flatnonzero(_among(facts["hot"], uh))
         which = np.searchsorted(facts["hot"], uh[hot])
         for x, y in zip(sums, facts["hot_sums"]):
             x[hot] = y[which]
@@ -315,7 +328,7 @@ class Bucket:
 def asked_of(bucket: Bucket | None, h: np.ndarray, w: np.ndarray, facts: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket.ask(), also for a bucket without bigrams; a hot history may have none of its successors in the bucket."""
     seen, log, count = bucket.ask(h, w) if bucket else (np.zeros(len(h), bool), np.zeros(len(h)), np.zeros(len(h), np.int64))
-    hot = np.flatnonzero(~seen & np.isin(h, facts["hot"]))
+    hot = np.flatnonzero(~seen & _among(facts["hot"], h))
     which = np.searchsorted(facts["hot"], h[hot])
     log[hot] = np.where(facts["hot_sums"][0][which] > 0, np.log10(np.maximum(weights(*facts["hot_sums"])[1], 1e-300))[which], 0.0)
     return seen, log, count
@@ -359,8 +372,9 @@ def _questions(docs: DataFrame, hot: np.ndarray, buckets: int, turn: int) -> Dat
             bucket = _bucket(h, w, hot, buckets)
             own = bucket % TURNS == turn
             w, h, doc = w[own], h[own], doc[own]
-            _, first, which = np.unique(_pair(h, w), return_index=True, return_inverse=True)
-            user, n = np.unique(which * len(uid) + doc, return_counts=True)
+            order, at = _alike(_pair(h, w))
+            first = order[at]
+            user, n = np.unique(np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order)))) * len(uid) + doc[order], return_counts=True)
             which, doc = user // len(uid), user % len(uid)
             users = np.bincount(which, minlength=len(first))
             begin = np.cumsum(users) - users

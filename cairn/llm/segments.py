@@ -84,9 +84,9 @@ def gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, which: np.ndar
     return flat[np.arange(ends[-1]) + np.repeat(begin[which] - ends[:-1], n)], ends
 
 
-#: A random number for each byte at each of the first places of a word.
+#: A random number for each byte at each of the first places of a word; the last one, for bytes between words, is 0.
 _PLACES = 64
-_RANDOM = mix(np.arange(_PLACES * 256, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(0x632BE59BD9B4E019))
+_RANDOM = np.append(mix(np.arange(_PLACES * 256, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(0x632BE59BD9B4E019)), _U(0))
 
 
 def words(text: pa.Array, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
@@ -95,21 +95,42 @@ def words(text: pa.Array, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.
     A word's hash mixes the sum of a random number for each (place, byte) and the length.
     """
     data, at = raw(text)
+    out, n, doc = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    while doc < len(at) - 1:
+        # texts of some BLOCK bytes at a time, which stay in the processor's cache
+        to = max(doc + 1, int(np.searchsorted(at, at[doc] + BLOCK, "right")) - 1)
+        h, begin = _words(data[at[doc] : at[to]], at[doc : to + 1] - at[doc], between)
+        out.append(h)
+        n.append(np.diff(begin))
+        doc = to
+    return np.concatenate(out), np.cumsum(np.concatenate(n))
+
+
+BLOCK = 1 << 18
+
+
+def _words(data: np.ndarray, at: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     space = between[data]
-    # a text's first byte opens a word, whatever ends the text before
-    opens = ~space
+    # a text's first byte opens a word, whatever ends the text before; its last one closes one
+    opens, closes = ~space, ~space
     opens[1:] &= space[:-1]
-    first = at[:-1][np.diff(at) > 0]
-    opens[first] = ~space[first]
+    closes[:-1] &= space[1:]
+    some = np.diff(at) > 0
+    first, last = at[:-1][some], at[1:][some] - 1
+    opens[first], closes[last] = ~space[first], ~space[last]
     begin = np.flatnonzero(opens)
     if not len(begin):
         return np.empty(0, np.uint64), np.zeros(len(at), np.int64)
-    kept = np.flatnonzero(~space)
-    start = np.searchsorted(kept, begin)
-    size = np.diff(np.append(start, len(kept)))
-    place = np.arange(len(kept)) - np.repeat(start, size)
-    low = _LOWER[data[kept]]
-    value = _RANDOM[np.minimum(place, _PLACES - 1) * 256 + low]
-    far = np.flatnonzero(place >= _PLACES)
-    value[far] = mix(place[far].astype(np.uint64) * _U(256) + low[far] + _U(0x8EBC6AF09C88C6E3))
-    return mix(np.add.reduceat(value, start) + size.astype(np.uint64) * _U(0xD6E8FEB86659FD93)), np.searchsorted(begin, at)
+    size = np.flatnonzero(closes) - begin + 1
+    place = np.arange(len(data), dtype=np.int32)
+    place[begin[0] :] -= np.repeat(begin.astype(np.int32), np.diff(np.append(begin, len(data))))
+    low = _LOWER[data]
+    slot = np.minimum(place, _PLACES - 1)
+    slot *= 256
+    slot += low
+    slot[space] = len(_RANDOM) - 1
+    value = _RANDOM[slot]
+    if size.max() > _PLACES:
+        far = np.flatnonzero((place >= _PLACES) & ~space)
+        value[far] = mix(place[far].astype(np.uint64) * _U(256) + low[far] + _U(0x8EBC6AF09C88C6E3))
+    return mix(np.add.reduceat(value, begin) + size.astype(np.uint64) * _U(0xD6E8FEB86659FD93)), np.searchsorted(begin, at)
