@@ -12,23 +12,22 @@ block, with all ties, are reranked by the exact distance in double precision. Qu
 stated set and go over all rows in blocks of at most ``query_block``; only such a block is broadcast.
 The codebook is trained on at most ``sample`` rows, those with the smallest hash of their vec_id.
 
-Edge cases: vectors that are null, zero, of another length than most of the sample, or have null or
-non-finite components take no part, nor do rows without vec_id. Repeated vec_ids: a query
-counts once; rows with the query's own vec_id are not its candidates. Ties go to the smaller vec_id.
+Edge cases: vectors that are null, zero, empty, or have null or non-finite components take no part, nor do rows
+without vec_id. Vectors of each length have an index of their own, and only those of a query's length are its candidates.
+Repeated vec_ids: a query counts once, with the shortest and then smallest of its vectors; rows with its own vec_id are not its candidates. Ties go to the smaller vec_id.
 With fewer candidates than k all are returned. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import shared_dir, stored, table
+from cairn.llm.common import mapped, shared_dir, small_batches, stored, table
 
 WORDS = 16
 BLOCK_ROWS = 32_768
@@ -113,24 +112,32 @@ def _usable(column: str) -> Column:
     return F.col(column).isNotNull() & (F.size(column) > 0) & finite & F.exists(column, lambda v: v != 0)
 
 
-def index(vectors: DataFrame, where: str, sample: int = 20_000) -> tuple[DataFrame, Codebook | None, int]:
-    """Codes of every usable row (id, vector, code), the codebook, and the vectors' length."""
-    rows = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")).where("id IS NOT NULL").where(_usable("v"))
-    key = F.xxhash64("id")
-    some = rows.select("id", "v", key.alias("k")).orderBy("k", "id").limit(sample).collect()
-    if not some:
-        return rows.withColumn("code", F.lit(b"")), None, 0
-    dim = Counter(len(r["v"]) for r in some).most_common(1)[0][0]
-    book = train(np.array([r["v"] for r in some if len(r["v"]) == dim], np.float64))
+def usable(vectors: DataFrame) -> DataFrame:
+    """(id, v, n) of the vectors that take part; n is the length."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"))
+    return rows.where("id IS NOT NULL").where(_usable("v")).withColumn("n", F.size("v"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                code = packed(book.codes(lift(np.stack(pdf["v"]))))
-                yield pdf.assign(code=[c.tobytes() for c in code])
 
-    coded = rows.where(F.size("v") == dim).mapInPandas(run, f"id long, v {rows.schema['v'].dataType.simpleString()}, code binary")
-    return stored(coded, where), book, dim
+def lengths(rows: DataFrame) -> list[int]:
+    """The lengths of the vectors, which are only near to others of their own length."""
+    return sorted(r[0] for r in rows.select("n").distinct().collect())
+
+
+def index(rows: DataFrame, dim: int, where: str, sample: int = 20_000) -> tuple[DataFrame, Codebook]:
+    """Codes of all usable rows of a length (id, vector, code), and the codebook."""
+    rows = rows.where(F.col("n") == dim).select("id", "v")
+    some = rows.select("id", "v", F.xxhash64("id").alias("k")).orderBy("k", "id").limit(sample).collect()
+    book = train(np.array([r["v"] for r in some], np.float64))
+
+    def start() -> Callable:
+        def each(batch: pa.RecordBatch) -> dict:
+            v = batch.column("v")
+            x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), dim)
+            return {"code": [c.tobytes() for c in packed(book.codes(lift(x)))] if len(batch) else []}
+
+        return each
+
+    return stored(mapped(rows, start, {"code": "binary"}, ["id", "v"]), where), book
 
 
 def scan(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, tables: np.ndarray, k: int, candidates: int) -> tuple[list, list, list]:
@@ -159,51 +166,57 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, candidates: int
     """query_id, rank, vec_id, score of each query's k nearest; queries and vectors have vec_id, embedding."""
     spark = vectors.sparkSession
     where = where or shared_dir(spark)
-    coded, book, dim = index(vectors, f"{where}/codes", sample)
     schema = "query_id long, vec_id long, score double"
-    if book is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    asked = queries.where("vec_id IS NOT NULL").where(_usable("embedding")).where(F.size("embedding") == dim)
-    asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-
-    def one(block: list) -> None:
-        data = spark.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = data.value
-            lifted = np.pad(np.concatenate([q, np.ones((len(q), 1))], 1), ((0, 0), (0, -(dim + 1) % 4)))
-            tables = book.tables(lifted)
-            held: list[pd.DataFrame] = []
-
-            def flush() -> pd.DataFrame:
-                pdf = pd.concat(held)
-                held.clear()
-                codes = np.frombuffer(b"".join(pdf["code"]), np.uint8).reshape(len(pdf), -1)
-                return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), scan(pdf["id"].to_numpy(np.int64), np.stack(pdf["v"]), codes, ids, q, tables, k, candidates))))
-
-            for pdf in batches:
-                held.append(pdf)
-                if sum(map(len, held)) >= BLOCK_ROWS:
-                    yield flush()
-            if sum(map(len, held)):
-                yield flush()
-
-        coded.mapInPandas(run, schema).write.mode("append").parquet(f"{where}/near")
-
     spark.createDataFrame([], schema).write.parquet(f"{where}/near")  # there may be no query
-    block: list = []
-    for r in asked.toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == query_block:
-            one(block)
-            block = []
-    if block:
-        one(block)
+    rows = usable(vectors)
+    asked = usable(queries).groupBy("id", "n").agg(F.min("v").alias("v"))
+    # a query counts once, whatever vectors stand under its id
+    asked = stored(asked.groupBy("id").agg(F.min(F.struct("n", "v")).alias("q")).select("id", "q.n", "q.v"), f"{where}/queries")
+    for dim in lengths(asked):
+        coded, book = index(rows, dim, f"{where}/codes{dim}", sample)
+        block: list = []
+        for r in asked.where(F.col("n") == dim).select("id", "v").toLocalIterator():
+            block.append((r[0], r[1]))
+            if len(block) == query_block:
+                _search(coded, book, block, dim, k, candidates).write.mode("append").parquet(f"{where}/near")
+                block = []
+        if block:
+            _search(coded, book, block, dim, k, candidates).write.mode("append").parquet(f"{where}/near")
     near = spark.read.schema(schema).parquet(f"{where}/near").distinct()
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _search(coded: DataFrame, book: Codebook, block: list, dim: int, k: int, candidates: int) -> DataFrame:
+    """The k nearest rows of each block of rows for each query of the block."""
+    data = coded.sparkSession.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)))
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = data.value
+        lifted = np.pad(np.concatenate([q, np.ones((len(q), 1))], 1), ((0, 0), (0, -(dim + 1) % 4)))
+        tables, held, n = book.tables(lifted), [], 0
+
+        def flush() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            x = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), dim)
+            codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(rows), -1)
+            return pa.RecordBatch.from_pydict(dict(zip(schema.names, scan(rows["id"].to_numpy(), x, codes, ids, q, tables, k, candidates))), schema)
+
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= BLOCK_ROWS:
+                yield flush()
+                n = 0
+        if n:
+            yield flush()
+
+    return coded.mapInArrow(run, "query_id long, vec_id long, score double")
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     vectors = table(spark, sf_dir, "embeddings")
     return search(vectors, vectors.where("vec_id % 100 = 0"))

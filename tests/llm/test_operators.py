@@ -536,6 +536,29 @@ def test_nearest_recall_and_scores(spark):
     assert hit / n >= 0.95
 
 
+def test_nearest_recall_with_few_candidates(spark):
+    """12,000 vectors without any clusters, of which the scan hands on 100 for each query."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(12_000, 64)).astype(np.float32)
+    v = spark.createDataFrame([(i, row) for i, row in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = ann.search(v, v.where("vec_id % 300 = 0"), candidates=100).collect()
+    hit = 0
+    for q in range(0, 12_000, 300):
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(set(np.argsort(d)[:10].tolist()) & {g.vec_id for g in got if g.query_id == q})
+    assert len(got) == 400 and hit / 400 >= 0.9
+
+
+def test_nearest_repeated_queries_lengths_and_clashing_columns(spark):
+    schema = "vec_id long, embedding array<double>, id string, v int, score string, rank int"
+    rows = [(0, [1.0, 0.0], "a", 1, "s", 7), (0, [0.0, 9.0], "a", 1, "s", 7), (1, [0.5, 0.0], "a", 1, "s", 7), (1, [2.0, 0.0], "a", 1, "s", 7), (2, [1.0, 0.0, 0.0], "a", 1, "s", 7), (3, [1.0, 0.0, 1.0], "b", 2, None, None), (100, [0.0, 0.0, 2.0], "c", 3, None, None), (LARGE, [0.0, 8.0], "c", 3, None, None), (200, [3.0], "c", 3, None, None)]
+    v = spark.createDataFrame(rows, schema)
+    got = [tuple(r) for r in ann.search(v, v.where("vec_id % 100 = 0"), k=2).orderBy("query_id", "rank").collect()]
+    # query 0 stands for its smaller vector, [0, 9]
+    assert [(q, r, i) for q, r, i, _ in got] == [(0, 1, LARGE), (0, 2, 1), (100, 1, 3), (100, 2, 2)] and got[0][3] == 1.0
+
+
 def test_nearest_edges(spark):
     schema = "vec_id long, embedding array<float>, label int"
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.0, 0.0], 1), (3, None, 1), (4, [float("nan"), 1.0], 1), (5, [0.5, None], 1), (6, [2.0, 0.0], 1), (None, [1.0, 1.0], 1), (100, [0.0, 1.0], 1), (7, [1.0], 1), (8, [1.0, 0.0], 1)]
