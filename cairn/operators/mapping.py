@@ -27,7 +27,7 @@ class Mapping:
     def current(self) -> DataFrame:
         if self.changes is None:
             return self.df.select(self.key, self.value)
-        kept = self.df.select(self.key, self.value).join(self.changes.select(self.key), self.key, "left_anti")
+        kept = _without(self.df.select(self.key, self.value), self.changes, self.key)
         return kept.unionByName(self.changes.where(~F.col("removed")).select(self.key, self.value))
 
     def pairs(self) -> DataFrame:
@@ -50,7 +50,7 @@ class Mapping:
     def _stage(self, changes: DataFrame) -> Mapping:
         new = changes.select(self.key, self.value, "removed")
         if self.changes is not None:
-            new = self.changes.join(new.select(self.key), self.key, "left_anti").unionByName(new)
+            new = _without(self.changes, new, self.key).unionByName(new)
         return Mapping(self.df, self.key, self.value, new)
 
     def replace(self, pairs: DataFrame) -> Mapping:
@@ -63,7 +63,7 @@ class Mapping:
     def update_with(self, other: DataFrame, merge: Callable[[Column, Column], Column]) -> Mapping:
         """Sets each key of other to merge(old, new), or to new where the key is new."""
         old = self.current().select(F.col(self.key).alias("_k"), F.struct(F.col(self.value).alias("v")).alias("_old"))
-        joined = other.select(self.key, self.value).join(old, F.col(self.key) == F.col("_k"), "left")
+        joined = other.select(self.key, self.value).join(old, F.col(self.key).eqNullSafe(F.col("_k")), "left")
         merged = F.when(F.col("_old").isNull(), F.col(self.value)).otherwise(merge(F.col("_old")["v"], F.col(self.value)))
         return self._stage(joined.select(self.key, merged.alias(self.value), F.lit(False).alias("removed")))
 
@@ -88,6 +88,11 @@ class Mapping:
         return both.agg(F.coalesce(F.bool_and(ok), F.lit(True)).alias("equal"))
 
 
+def _without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """rows whose key isn't among gone's; a null key equals a null key."""
+    return rows.join(gone.select(F.col(key).alias("_gone")), F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def cogroup(left: DataFrame, right: DataFrame, key: str, left_agg: Column, right_agg: Column, left_zero: Column, right_zero: Column) -> DataFrame:
     """A full outer group join: both sides are aggregated before they meet.
 
@@ -95,5 +100,7 @@ def cogroup(left: DataFrame, right: DataFrame, key: str, left_agg: Column, right
     """
     a, b = left.groupBy(key).agg(left_agg), right.groupBy(key).agg(right_agg)
     ln, rn = a.columns[1], b.columns[1]
-    joined = a.join(b, key, "full_outer")
-    return joined.select(key, F.coalesce(F.col(ln), left_zero).alias(ln), F.coalesce(F.col(rn), right_zero).alias(rn))
+    b = b.withColumnRenamed(key, "_other")
+    # a key's aggregate is never null as a whole, so a side that is missing is told by its marker
+    joined = a.withColumn("_a", F.lit(True)).join(b.withColumn("_b", F.lit(True)), F.col(key).eqNullSafe(F.col("_other")), "full_outer")
+    return joined.select(F.when(F.col("_a").isNotNull(), F.col(key)).otherwise(F.col("_other")).alias(key), F.coalesce(F.col(ln), left_zero).alias(ln), F.coalesce(F.col(rn), right_zero).alias(rn))

@@ -56,6 +56,12 @@ class Series:
     def of_option(spark: SparkSession, value, type_: str) -> Series:
         return Series.of_list(spark, [] if value is None else [value], type_)
 
+    @staticmethod
+    def of_hashtbl(spark: SparkSession, table: dict, key_type: str, value_type: str) -> Series:
+        """A table's (key, value) pairs, in the order in which they were put in."""
+        rows = [(k, tuple(kv)) for k, kv in enumerate(table.items())]
+        return Series(spark.createDataFrame(rows, f"{POS} long, item struct<_1: {key_type}, _2: {value_type}>"), "item")
+
     @staticmethod
     def range(spark: SparkSession, low: int, high: int) -> Series:
         """low..high, both included; empty when low > high."""
@@ -213,7 +219,8 @@ class Series:
     def interpose(self, sep: Column) -> Series:
         """sep between neighbours: before each item but the first."""
         out = self.before_each(sep)
-        return Series(out.df.orderBy(out.pos).offset(1), out.item, out.pos)
+        least = F.broadcast(self.df.agg(F.min(self.pos).alias("_least")))  # one row
+        return self._with(out.df.join(least, (F.col(out.pos)["_inner"] > 0) | (F.col(out.pos)["_outer"] > F.col("_least"))).drop("_least"))
 
     def cons(self, value: Column) -> Series:
         return self._joined([(0, self._one(value)), (1, self)])
@@ -242,10 +249,25 @@ class Series:
             out = df if out is None else out.unionByName(df)
         return self._with(out)
 
-    def rolling(self, aggregate: Callable[[Column], Column], out: str = "rolled", partition_by: list[str] | None = None) -> Series:
-        """A running aggregate, an output per input. By key it is a plain window; a whole series of sums goes by prefix()."""
-        w = Window.partitionBy(*(partition_by or [])).orderBy(self.pos).rowsBetween(Window.unboundedPreceding, 0)
-        return Series(self.df.withColumn(out, aggregate(self.x).over(w)), out, self.pos)
+    def rolling(self, aggregate: Callable[[Column], Column], out: str = "rolled", partition_by: list[str] | None = None, plus: Callable[[Column, Column], Column] | None = None) -> Series:
+        """A running aggregate, an output per input. By key it is a plain window.
+
+        A whole series needs ``plus``, which joins the aggregates of consecutive parts: each range of positions has a
+        window of its own, and what the ranges before come to (one row each) is joined on.
+        """
+        if partition_by:
+            w = Window.partitionBy(*partition_by).orderBy(self.pos).rowsBetween(Window.unboundedPreceding, 0)
+            return Series(self.df.withColumn(out, aggregate(self.x).over(w)), out, self.pos)
+        if plus is None:
+            raise ValueError("rolling over a whole series needs plus")
+        rows = self._ranged()
+        own = Window.partitionBy(PART).orderBy(self.pos).rowsBetween(Window.unboundedPreceding, 0)
+        parts = rows.groupBy(PART).agg(F.struct(aggregate(self.x).alias("v")).alias("_s"))
+        listed = F.collect_list("_s").over(Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+        before = parts.select(PART, F.when(F.size(listed) > 0, F.aggregate(F.slice(listed, 2, 1 << 20), F.get(listed, F.lit(0)), lambda a, b: F.struct(plus(a["v"], b["v"]).alias("v")))).alias("_before"))
+        got = aggregate(self.x).over(own)
+        joined = rows.withColumn("_own", got).join(F.broadcast(before), PART)
+        return Series(joined.withColumn(out, F.when(F.col("_before").isNull(), F.col("_own")).otherwise(plus(F.col("_before")["v"], F.col("_own")))).drop("_own", "_before", PART), out, self.pos)
 
     def rolling_sum(self, f: Fn = lambda x: x, out: str = "rolled") -> Series:
         return Series(self._prefix(f(self.x), out), out, self.pos)
@@ -296,7 +318,22 @@ class Series:
     # -- results --------------------------------------------------------------
     def reduce(self, reducer, *names: str) -> DataFrame:
         """One row with the reducer's result."""
-        return self.df.agg(reducer.over_rows(self.x, F.col(self.pos)).alias(names[0] if names else "result"))
+        return self._aggregated([], self.x, reducer, names[0] if names else "result")
+
+    def _aggregated(self, keys: list[Column], value: Column, reducer, out: str) -> DataFrame:
+        """The reducer's result for each combination of keys (aliased)."""
+        rows = self.df.select(*keys, value.alias("_v"), F.col(self.pos).alias(POS))
+        names = rows.columns[: len(keys)]
+        if reducer.nested is not None:
+            key, of, inner = reducer.nested
+            x = reducer.before(F.col("_v"))
+            parts = Series(rows.select(*names, key(x).alias("_k"), of(x).alias("_v"), POS), "_v")
+            held = parts._aggregated([F.col(c) for c in (*names, "_k")], F.col("_v"), inner, "_r")
+            entries = F.array_sort(F.collect_list(F.struct(F.col("_k").alias("key"), F.col("_r").alias("value"))))
+            return held.groupBy(*names).agg(reducer.finish(F.map_from_entries(entries)).alias(out))
+        if reducer.chunked:
+            return _in_chunks(rows, names, reducer, out)
+        return rows.groupBy(*names).agg(reducer.over_rows(F.col("_v"), F.col(POS)).alias(out))
 
     def length(self) -> DataFrame:
         return self.df.agg(F.count("*").alias("length"))
@@ -325,8 +362,7 @@ class Series:
         from cairn.operators.mapping import Mapping
 
         k, v = names
-        rows = self.df.select(key(self.x).alias(k), value(self.x).alias("_v"), F.col(self.pos).alias(POS))
-        return Mapping(rows.groupBy(k).agg(reducer.over_rows(F.col("_v"), F.col(POS)).alias(v)), k, v)
+        return Mapping(self._aggregated([key(self.x).alias(k)], value(self.x), reducer, v), k, v)
 
     def partition(self, p: Fn):
         from cairn.functions.reducer import bag
@@ -339,11 +375,11 @@ class Series:
         A key's best row is found by a partial aggregate, the cut by a bounded take-ordered.
         """
         rest = F.struct(value(self.x).alias("_value"), F.col(self.pos).alias("_p"), self.x.alias("_item"))
+        # the smallest position of each (key, value) is found before the shuffle by key, as few rows tie
         rows = self.df.select(key(self.x).alias("_key"), rest.alias("_row"))
-        # among equal values of a key the earliest stays
-        best = rows.groupBy("_key").agg(F.max(F.col("_row")["_value"]).alias("_value"), F.max_by("_row", F.col("_row")["_value"]).alias("_row"))
-        first = rows.join(best.select("_key", "_value"), "_key").where(F.col("_row")["_value"] == F.col("_value")).groupBy("_key").agg(F.min_by("_row", F.col("_row")["_p"]).alias("_row"))
-        return first.select("_row.*").orderBy(F.col("_value").desc(), F.col("_p")).limit(n).select(F.col("_item").alias(self.item), F.col("_value").alias("value"))
+        firsts = rows.groupBy("_key", F.col("_row")["_value"].alias("_value")).agg(F.min_by("_row", F.col("_row")["_p"]).alias("_row"))
+        best = firsts.groupBy("_key").agg(F.max_by("_row", "_value").alias("_row"))
+        return best.select("_row.*").orderBy(F.col("_value").desc(), F.col("_p")).limit(n).select(F.col("_item").alias(self.item), F.col("_value").alias("value"))
 
     def equal(self, other: Series) -> DataFrame:
         """Whether both series have equal items in the same order."""
@@ -360,3 +396,35 @@ class Series:
 
     def cross_product(self, other: Series, left: str = "left", right: str = "right") -> DataFrame:
         return self.df.select(self.x.alias(left)).crossJoin(other.df.select(other.x.alias(right)))
+
+    # -- sets and bags --------------------------------------------------------
+    def bag_difference(self, other: Series) -> DataFrame:
+        """Items of this series, each as often as it is here more than in other (column item)."""
+        return self.df.select(self.x.alias("item")).exceptAll(other.df.select(other.x.alias("item")))
+
+    def set_difference(self, other: Series) -> DataFrame:
+        """The distinct items of this series that aren't in other (column item)."""
+        return self.df.select(self.x.alias("item")).subtract(other.df.select(other.x.alias("item")))
+
+    def weights(self, retracted: Series | None = None) -> DataFrame:
+        """(item, weight): how often each item is here, less how often it was retracted; items of weight 0 vanish."""
+        signed = self.df.select(self.x.alias("item"), F.lit(1).alias("_sign"))
+        if retracted is not None:
+            signed = signed.unionAll(retracted.df.select(retracted.x.alias("item"), F.lit(-1).alias("_sign")))
+        return signed.groupBy("item").agg(F.sum("_sign").alias("weight")).where("weight <> 0")
+
+
+def _in_chunks(rows: DataFrame, names: list[str], reducer, out: str) -> DataFrame:
+    """Folds (keys, _v, _pos) in chunks of consecutive rows, then the chunks' results, level by level.
+
+    Rows are sorted by key and position over ranges; a chunk is at most 4096 of them, so no task
+    collects a whole group. A group's results are joined in the order of its chunks.
+    """
+    order = [*names, POS]
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    items = lambda x, by: F.transform(F.array_sort(F.collect_list(F.struct(F.col(by).alias("p"), x.alias("x")))), lambda s: s["x"])
+    level = placed.groupBy(*names, F.shiftright("_at", 12).alias("_at")).agg(reducer.array(items(reducer.before(F.col("_v")), POS)).alias("_v"))
+    for bits in (12, 9):
+        level = level.groupBy(*names, F.shiftright("_at", bits).alias("_up")).agg(F.aggregate(items(F.col("_v"), "_at"), reducer.seed, reducer.plus).alias("_v")).withColumnRenamed("_up", "_at")
+    done = level.groupBy(*names).agg(F.aggregate(items(F.col("_v"), "_at"), reducer.seed, reducer.plus).alias("_v"))
+    return done.select(*names, reducer.finish(F.col("_v")).alias(out))
