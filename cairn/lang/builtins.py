@@ -59,10 +59,22 @@ def _quotient(a: int, b: int) -> int:
     return q if (a < 0) == (b < 0) else -q
 
 
-ADD = _num("+", lambda a, b: a + b, lambda a, b: a + b)
+def _int64(f: Callable[[int, int], int]) -> Callable[[int, int], int]:
+    """Integers have 64 bits, as in plans; what doesn't fit is an error."""
+
+    def run(a, b):
+        c = f(a, b)
+        if not -(2**63) <= c < 2**63:
+            raise OverflowError(f"{c} is no 64-bit integer")
+        return c
+
+    return run
+
+
+ADD = _num("+", _int64(lambda a, b: a + b), lambda a, b: a + b)
 BUILTINS["add"] = BUILTINS["+"]
-_num("-", lambda a, b: a - b, lambda a, b: a - b)
-MULT = _num("*", lambda a, b: a * b, lambda a, b: a * b)
+_num("-", _int64(lambda a, b: a - b), lambda a, b: a - b)
+MULT = _num("*", _int64(lambda a, b: a * b), lambda a, b: a * b)
 BUILTINS["mult"] = BUILTINS["*"]
 _num("/", _quotient, lambda a, b: F.call_function("div", a, b))
 _num("mod", lambda a, b: a - b * _quotient(a, b), lambda a, b: a % b)
@@ -274,13 +286,29 @@ def _push2(plus):
 define("monoid", "a -> (a -> a -> a) -> Reducer(a,a,a)", 2)(lambda zero, plus: Red(zero, _push2(plus)))
 define("monoid_with_maximum", "a -> (a -> a -> a) -> a -> Reducer(a,a,a)", 3)(lambda zero, plus, top: Red(zero, _push2(plus), full=lambda s: s == top))
 define("monoid_with_maximum_check", "a -> (a -> a -> a) -> (a -> Bool) -> Reducer(a,a,a)", 3)(lambda zero, plus, top: Red(zero, _push2(plus), full=top))
-define("mapping", "(a -> b) -> Reducer(b,s,c) -> Reducer(a,s,c)", 2)(lambda f, r: Red(r.seed, lambda s, x: r.push(s, f(x)), r.term, r.full))
-define("project", "(c -> d) -> Reducer(a,s,c) -> Reducer(a,s,d)", 2)(lambda f, r: Red(r.seed, r.push, lambda s: f(r.term(s)), r.full))
+def _if_known(r: Red, make: Callable):
+    """A function that gives what make gives for the reducer as aggregates, or None where it has none."""
+
+    def later():
+        known = _known(r)
+        return None if known is None else make(known if r.known is not None else known.project(_col(r.term)))
+
+    return later
+
+
+@define("mapping", "(a -> b) -> Reducer(b,s,c) -> Reducer(a,s,c)", 2)
+def mapping(f, r):
+    return Red(r.seed, lambda s, x: r.push(s, f(x)), r.term, r.full, _if_known(r, lambda k: k.mapping(_col(f))))
+
+
+@define("project", "(c -> d) -> Reducer(a,s,c) -> Reducer(a,s,d)", 2)
+def project(f, r):
+    return Red(r.seed, r.push, lambda s: f(r.term(s)), r.full, _if_known(r, lambda k: k.project(_col(f))))
 
 
 @define("filtering", "(a -> Bool) -> Reducer(a,s,c) -> Reducer(a,s,c)", 2)
 def filtering(p, r):
-    return Red(r.seed, lambda s, x: if_then_else(p(x), lambda _: r.push(s, x), lambda _: s), r.term, r.full)
+    return Red(r.seed, lambda s, x: if_then_else(p(x), lambda _: r.push(s, x), lambda _: s), r.term, r.full, _if_known(r, lambda k: k.filtering(_col(p))))
 
 
 def _fold(r: Red, xs):
@@ -306,7 +334,7 @@ def flat_mapping(f, r):
             return F.aggregate(to_column(items), to_column(s), lambda a, y: to_column(r.push(a, y)))
         return _fold(Red(s, r.push, full=r.full), items)
 
-    return Red(r.seed, push, r.term, r.full)
+    return Red(r.seed, push, r.term, r.full, _if_known(r, lambda k: k.flat_mapping(_col(f))))
 
 
 @define("unnesting", "(a -> [b]) -> Reducer((b, a),s,c) -> Reducer(a,s,c)", 2)
@@ -320,7 +348,7 @@ define("union_reducer", "Reducer(a,s,c) -> Reducer([a],s,c)")(lambda r: flat_map
 @define("product_reducer", "Reducer(a,b,c) -> Reducer(d,e,f) -> Reducer((a, d),(b, e),(c, f))", 2)
 def product_reducer(r, q):
     part = lambda p, k: p[f"_{k + 1}"] if is_column(p) else p[k]
-    return Red((r.seed, q.seed), lambda s, x: (r.push(part(s, 0), part(x, 0)), q.push(part(s, 1), part(x, 1))), lambda s: (r.term(part(s, 0)), q.term(part(s, 1))), lambda s: r.full(part(s, 0)) is True and q.full(part(s, 1)) is True)
+    return Red((r.seed, q.seed), lambda s, x: (r.push(part(s, 0), part(x, 0)), q.push(part(s, 1), part(x, 1))), lambda s: (r.term(part(s, 0)), q.term(part(s, 1))), lambda s: r.full(part(s, 0)) is True and q.full(part(s, 1)) is True, _if_known(r, lambda k: _if_known(q, lambda m: R.product(k, m))()))
 
 
 @define("group_reducer", "(a -> k) -> (a -> v) -> Reducer(v,s,w) -> Reducer(a,{k -> s},{k -> w})", 3)
@@ -349,32 +377,38 @@ def top(key, value, n):
         at = next((i for i, y in enumerate(items) if value(x) > value(y)), len(items))
         return seq([*items[:at], x, *items[at:]][:n])
 
-    return Red(seq(()), push)
+    def of_table(xs: Series):
+        rows = xs.top(_col(key), _col(value), n)
+        return seq([from_spark(r[0]) for r in rows.select(xs.item).collect()])
+
+    return Red(seq(()), push, table=of_table)
+
 
+def _ends(take: str) -> Callable[[Series], Seq]:
+    return lambda xs: seq([from_spark(r[0]) for r in getattr(xs, take)().df.select(xs.item).collect()])
 
-constant("first", "Reducer(a,[a],[a])", Red(seq(()), lambda s, x: s if any(True for _ in s) else seq((x,)), full=lambda s: any(True for _ in s)))
-constant("last", "Reducer(a,[a],[a])", Red(seq(()), lambda _, x: seq((x,))))
-define("first_or", "a -> Reducer(a,(Bool, a),a)")(lambda d: Red((False, d), lambda s, x: s if s[0] else (True, x), lambda s: s[1], lambda s: s[0]))
-define("last_or", "a -> Reducer(a,a,a)")(lambda d: Red(d, lambda _, x: x))
+
+constant("first", "Reducer(a,[a],[a])", Red(seq(()), lambda s, x: s if any(True for _ in s) else seq((x,)), full=lambda s: any(True for _ in s), table=_ends("take_first")))
+constant("last", "Reducer(a,[a],[a])", Red(seq(()), lambda _, x: seq((x,)), table=_ends("take_last")))
+define("first_or", "a -> Reducer(a,(Bool, a),a)")(lambda d: Red((False, d), lambda s, x: s if s[0] else (True, x), lambda s: s[1], lambda s: s[0], lambda: R.first_or(to_column(d))))
+define("last_or", "a -> Reducer(a,a,a)")(lambda d: Red(d, lambda _, x: x, known=lambda: R.last_or(to_column(d))))
 
 
 @define("reduce", "Reducer(a,s,c) -> [a] -> c", 2)
 def reduce(r, xs):
     """Over a table the fold runs inside the plan: one row, whose value is fetched."""
     if isinstance(xs, Series):
+        if r.table is not None:
+            return r.table(xs)
         known = _known(r)
         red = known or R.fold(to_column(r.seed), lambda s, x: to_column(r.push(s, x)))
-        got = xs.df.agg(red.over_rows(xs.x, F.col(xs.pos)).alias("v")).first()["v"]
-        return r.term(got) if known else _from_row(got, r)
+        got = from_spark(xs.reduce(red, "v").first()["v"])
+        return got if known is not None and r.known is not None else r.term(got)
     if is_column(xs):
         return to_column(r.term(_fold_column(r, xs)))
     return r.term(_fold(r, xs))
 
 
-def _from_row(got, r):
-    return r.term(from_spark(got))
-
-
 def from_spark(x):
     """A fetched value as a value of the language."""
     if hasattr(x, "asDict"):
@@ -386,7 +420,9 @@ def from_spark(x):
 
 
 def _known(r: Red):
-    """The built-in aggregate of a reducer that adds integers, recognised by what it does to a probe column."""
+    """The reducer as aggregates of columns; one that adds integers is recognised by what it does to a probe column."""
+    if r.known is not None:
+        return r.known()
     if isinstance(r.seed, int) and not isinstance(r.seed, bool) and r.seed == 0:
         s, x = F.col("_s"), F.col("_x")
         try:
@@ -400,10 +436,12 @@ def _known(r: Red):
 @define("rolling", "Reducer(a,s,c) -> [a] -> [c]", 2)
 def rolling(r, xs):
     if isinstance(xs, Series):
-        if _known(r) is not None:
-            s = xs.rolling_sum()
-            return Series(s.df.select(s.pos, F.col("rolled").cast("bigint").alias(xs.item)), xs.item, s.pos)
-        raise ValueError("rolling over a table takes a sum; other folds need a key")
+        known = _known(r)
+        if known is None or known.plus is None or known.chunked:
+            raise ValueError("rolling over a table takes a reducer with an aggregate, such as sum, count or and_reducer")
+        s = xs.rolling(lambda x: known.rows(known.before(x), F.col(xs.pos), None), "rolled", None, known.plus)
+        finish = known.finish if r.known is not None else (lambda c: to_column(r.term(known.finish(c))))
+        return Series(s.df.select(s.pos, finish(F.col("rolled")).alias(xs.item)), xs.item, s.pos)
     if is_column(xs):
         all_ = F.aggregate(xs, F.array(to_column(r.seed)), lambda acc, x: F.array_append(acc, to_column(r.push(F.element_at(acc, -1), x))))
         return F.transform(A.drop(all_, 1), _col(r.term))
@@ -420,7 +458,7 @@ def rolling(r, xs):
 @define("group", "(a -> k) -> (a -> v) -> Reducer(v,s,w) -> [a] -> {k -> w}", 4)
 def group(key, value, r, xs):
     if isinstance(xs, Series):
-        red = _known(r) or R.fold(to_column(r.seed), lambda s, x: to_column(r.push(s, x)), lambda s: to_column(r.term(s)))
+        red = _if_known(r, lambda k: k)() or R.fold(to_column(r.seed), lambda s, x: to_column(r.push(s, x)), lambda s: to_column(r.term(s)))
         return xs.group(_col(key), _col(value), red)
     return reduce(group_reducer(key, value, r), xs)
 

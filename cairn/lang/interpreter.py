@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.lang import parser as P
-from cairn.lang.builtins import BUILTINS, from_spark
+from cairn.lang.builtins import BUILTINS, curry, flat_map, from_spark, map_
 from cairn.lang.infer import UnknownValue, infer, read_type
 from cairn.lang.types import BOOL, INT, STRING, UNIT, Record, Scheme, Type, TypeProblem, is_data, list_of, pair, show_scheme
 from cairn.lang.values import UNIT as UNIT_VALUE
@@ -139,14 +139,34 @@ def sources(spark: SparkSession) -> dict[str, tuple[str, Any]]:
             ("pairs_within_range", lambda low: lambda high: pairs(kv.pairs_within_range(low, high))),
         ))
 
+    def kyoto_encoded_as(decode, shape, path: str) -> Rec:
+        """The same with decoded values: none or one for each pair."""
+        store, read = kyoto(path), decode(shape)
+        each = lambda xs: map_(lambda p: map_(lambda v: (_part(p, 0), v), read(_part(p, 1))), xs)
+        return Rec((
+            ("keys", store.get("keys")),
+            ("pairs", each(store.get("pairs"))),
+            ("values", lambda k: flat_map(read, store.get("values")(k))),
+            ("pairs_with_prefix", lambda p: each(store.get("pairs_with_prefix")(p))),
+            ("pairs_within_range", lambda low: lambda high: each(store.get("pairs_within_range")(low)(high))),
+        ))
+
+    store = "{ keys: [String], pairs: [%s], values: String -> [%s], pairs_with_prefix: String -> [%s], pairs_within_range: String -> String -> [%s] }"
+    of = lambda pair, v: store % (pair, v, pair, pair)
     return {
         "files": ("String -> [String]", lambda p: series(files.files(spark, p), F.col("path"))),
         "file_lines": ("String -> [String]", lambda p: series(files.file_lines(spark, p), F.col("value"))),
+        "file_words": ("String -> [String]", lambda p: series(files.words(files.file_lines(spark, p)), F.col("word"))),
         "file_chunks": ("String -> [String]", lambda p: series(files.file_chunks(spark, p), F.decode("chunk", "UTF-8"))),
-        "kyoto": ("String -> { keys: [String], pairs: [(String, String)], values: String -> [String], pairs_with_prefix: String -> [(String, String)], pairs_within_range: String -> String -> [(String, String)] }", kyoto),
+        "kyoto": (f"String -> {of('(String, String)', 'String')}", kyoto),
+        "kyoto_encoded_as": (f"(s -> String -> [a]) -> s -> String -> {of('[(String, a)]', 'a')}", curry(3, kyoto_encoded_as)),
     }
 
 
+def _part(pair, k: int):
+    return pair[f"_{k + 1}"] if is_column(pair) else pair[k]
+
+
 def fetched(v):
     """The first items of a series as values; other values as they are."""
     if isinstance(v, Series):

@@ -51,12 +51,17 @@ class Seq:
 
 @dataclass(frozen=True)
 class Red:
-    """A reducer; full says that no further item can change the result."""
+    """A reducer; full says that no further item can change the result.
+
+    known() is the same reducer as aggregates of columns (or None); table takes a series to the result where that is better than an aggregate.
+    """
 
     seed: Any
     push: Callable[[Any, Any], Any]
     term: Callable[[Any], Any] = lambda s: s
     full: Callable[[Any], bool] = lambda s: False
+    known: Callable[[], Any] | None = None
+    table: Callable[[Series], Any] | None = None
 
 
 @dataclass(frozen=True)
