@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from itertools import batched
 from types import GeneratorType
 
 import pyarrow as pa
@@ -74,12 +75,13 @@ def _arrow(kind: str) -> pa.DataType:
     return pa.list_(_arrow(kind[6:-1])) if kind.startswith("array<") else _ARROW[kind]
 
 
-def mapped(df: DataFrame, start: Callable[[], Callable], new: dict[str, str], keep: Sequence[str] = ()) -> DataFrame:
+def mapped(df: DataFrame, start: Callable[[], Callable], new: dict[str, str], keep: Sequence[str] = (), together: int = 1) -> DataFrame:
     """Columns ``keep`` of df as they are, and new ones (name -> type) computed from Arrow batches.
 
     start() is called once in each task; what it returns takes a batch and gives the new columns as lists
     or arrays, or (columns, mask) where only some rows stay; columns then have values for all rows. Without kept
-    columns a batch may give any number of rows, or a generator of such columns. Kept columns never
+    columns a batch may give any number of rows, or a generator of such columns. With ``together`` over 1 the function takes
+    a list of up to so many batches and gives a list. Kept columns never
     become Python or NumPy values, so a null among integers changes nothing.
     """
     kinds = {n: _arrow(k) for n, k in new.items()}
@@ -93,6 +95,11 @@ def mapped(df: DataFrame, start: Callable[[], Callable], new: dict[str, str], ke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = start()
+        if together > 1:
+            for held in batched(batches, together):
+                for batch, part in zip(held, each(held)):
+                    yield rows(batch, part)
+            return
         for batch in batches:
             got = each(batch)
             for part in got if isinstance(got, GeneratorType) else (got,):

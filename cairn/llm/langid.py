@@ -23,9 +23,9 @@ repeated ones too.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.common import mapped, remainder, small_batches, table
+from cairn.llm.segments import mix
 
 BUCKETS = 1 << 16
 #: Pieces that train a model, the same number for each label.
@@ -40,28 +41,88 @@ PIECES = 40_000
 UNKNOWN = "und"
 #: Signs that Python's \\w has beside letters, digits and the underscore, such as \u00b2 and \u00bd.
 _SIGNS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_SIGNS}]{{1,40}}")
+#: A longer run of letters is several words.
+LONGEST = 40
+_WORD = re.compile(rf"[^\W\d_{_SIGNS}]{{1,{LONGEST}}}")
+#: Batches judged side by side.
+TOGETHER = 3
+_U = np.uint64
 
 
 def letter_words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def features(word: str) -> list[int]:
-    """Buckets of the word's prefixes, suffixes, n-grams and itself, over its UTF-8 bytes with borders."""
-    w = f"<{word}>".encode("utf-8", "surrogatepass")
-    n, crc, mask = len(w), zlib.crc32, BUCKETS - 1
-    out = [crc(w[:k], 1) & mask for k in (2, 3, 4) if k < n]
-    out += [crc(w[-k:], 2) & mask for k in (2, 3, 4) if k < n]
-    out += [crc(w[i : i + k], 3) & mask for k in (2, 3) for i in range(n - k + 1)]
-    out.append(crc(w, 4) & mask)
-    return out
-
-
 def _table(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All features of words in a row, and where each word's begin."""
-    lists = [features(w) for w in words]
-    return np.array([f for x in lists for f in x], np.int64), np.cumsum([0] + [len(x) for x in lists[:-1]])
+    """The buckets of all words' features, and whose each is (ascending).
+
+    Features are a word's prefixes and suffixes of two to four bytes, its n-grams of two and three, and the word itself, over its
+    UTF-8 bytes between borders.
+    """
+    framed = [f"<{w}>".encode("utf-8", "surrogatepass") for w in words]
+    n = np.array([len(x) for x in framed], np.int64)
+    data = np.frombuffer(b"".join(framed) + bytes(4), np.uint8).astype(np.uint64)
+    begin = np.cumsum(n) - n
+    word = np.repeat(np.arange(len(n)), n)
+    left = np.repeat(begin + n, n) - np.arange(len(word))  # bytes from here to the word's end
+    code, codes = np.zeros(len(word), np.uint64), {}
+    for k in range(4):
+        code = code | data[k : k + len(word)] << _U(8 * k)
+        codes[k + 1] = code
+    found, owner = [], []
+
+    def add(values: np.ndarray, of: np.ndarray, kind: int) -> None:
+        found.append((mix(values + (_U(kind) << _U(40))) & _U(BUCKETS - 1)).astype(np.int64))
+        owner.append(of)
+
+    for k in (2, 3, 4):
+        some = np.flatnonzero(n > k)
+        add(codes[k][begin[some]], some, k)
+        add(codes[k][begin[some] + n[some] - k], some, 8 + k)
+        if k < 4:
+            at = np.flatnonzero(left >= k)
+            add(codes[k][at], word[at], 16 + k)
+    place = np.arange(len(word)) - begin[word]
+    if len(n):
+        add(np.add.reduceat(mix(data[: len(word)] + (place.astype(np.uint64) << _U(8))), begin), np.arange(len(n)), 32)
+    flat, of = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (found, owner))
+    by = np.argsort(of, kind="stable")
+    return flat[by], of[by]
+
+
+def _scores(weights: np.ndarray, flat: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The sum of the weights of each word's features."""
+    begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    return np.add.reduceat(weights[flat], begin, axis=0)
+
+
+@cache
+def _letters() -> np.ndarray:
+    """For each code point, whether it is a letter."""
+    return np.fromiter((c.isalpha() for c in map(chr, range(0x110000))), bool, 0x110000)
+
+
+def words_of(texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What letter_words() gives of each text, all at once.
+
+    The lower-cased texts in a row, where each word begins in it and its length, its hash, and where each text's words begin.
+    """
+    low = [(t or "").lower() for t in texts]
+    joined = "\n".join(low)
+    ends = np.cumsum([len(t) + 1 for t in low])
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters()[points]
+    edge = np.diff(np.concatenate([[False], letter, [False]]).astype(np.int8))
+    begin, size = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - np.flatnonzero(edge == 1)
+    parts = -(-size // LONGEST)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin, size = np.repeat(begin, parts) + nth * LONGEST, np.minimum(np.repeat(size, parts) - nth * LONGEST, LONGEST)
+    if not len(begin):
+        return joined, begin, size, np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    first = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(first, size)
+    hashes = mix(np.add.reduceat(mix(points[np.repeat(begin, size) + place].astype(np.uint64) | (place.astype(np.uint64) << _U(24))), first) + size.astype(np.uint64))
+    return joined, begin, size, hashes, np.concatenate([[0], np.searchsorted(begin, ends)])
 
 
 def forward_backward(emission: np.ndarray, transition: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,56 +152,68 @@ class Model:
     labels: list[str]
     weights: np.ndarray  # (BUCKETS, L)
     transition: np.ndarray  # log scores (L, L)
-    cache: dict[str, int] = field(default_factory=dict)
+    #: Hashes of words seen (ascending), the row of each in ``rows``, and their emissions.
+    seen: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    place: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
     rows: np.ndarray | None = None
-    most: int = 600_000
-
-    def _learn(self, new: list[str]) -> None:
-        if not new:
-            return
-        flat, at = _table(new)
-        e = np.add.reduceat(self.weights[flat], at, axis=0)
-        e = np.exp(e - e.max(1, keepdims=True)).astype(np.float32).clip(1e-6)
-        base = len(self.cache)
-        if self.rows is None or base + len(new) > len(self.rows):
-            grown = np.ones((max(2 * base, base + len(new), 1024), e.shape[1]), np.float32)
-            if base:
-                grown[:base] = self.rows[:base]
-            self.rows = grown
-        self.rows[base : base + len(new)] = e
-        self.cache.update(zip(new, range(base, base + len(new))))
+    most: int = 400_000
+
+    def _emissions(self, words: list[str]) -> np.ndarray:
+        out = [np.empty((0, len(self.labels)), np.float32)]
+        for k in range(0, len(words), 20_000):
+            e = _scores(self.weights, *_table(words[k : k + 20_000]))
+            out.append(np.exp(e - e.max(1, keepdims=True)).astype(np.float32).clip(1e-6))
+        return np.concatenate(out)
+
+    def _numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each word, and where each text's words begin."""
+        joined, begin, size, hashes, at = words_of(texts)
+        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        known = np.isin(distinct, self.seen, assume_unique=True)
+        if not known.all():
+            new = first[~known]
+            made = self._emissions([joined[b : b + n] for b, n in zip(begin[new].tolist(), size[new].tolist())])
+            place = np.arange(len(self.seen), len(self.seen) + len(new), dtype=np.int32)
+            self.rows = made if self.rows is None else np.concatenate([self.rows, made])
+            seen, place = np.concatenate([self.seen, distinct[~known]]), np.concatenate([self.place, place])
+            order = np.argsort(seen)
+            self.seen, self.place = seen[order], place[order]
+        return self.place[np.searchsorted(self.seen, distinct)][which.reshape(-1)] if len(distinct) else np.empty(0, np.int32), at
 
     def shares(self, texts: list[str | None]) -> np.ndarray:
         """Mean label probabilities of each text's words; zeros without words."""
-        return self.judged(texts)[0]
-
-    def judged(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """shares, and the mean over each text's words of their largest probability; zeros without words."""
-        docs = [letter_words(t) for t in texts]
-        if len(self.cache) > self.most:
-            self.cache, self.rows = {}, None
-        self._learn(list({w for d in docs for w in d if w not in self.cache}))
-        out, sure = np.zeros((len(docs), len(self.labels))), np.zeros(len(docs))
-        length = np.array([len(d) for d in docs], np.int64)
+        return self.judged([texts])[0][0]
+
+    def judged(self, parts: list[list[str | None]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each list of texts, shares and the mean over each text's words of their largest probability; zeros without words.
+
+        Texts of all lists that are of similar length go through forward-backward side by side.
+        """
+        if len(self.seen) > self.most:
+            self.seen, self.place, self.rows = np.empty(0, np.uint64), np.empty(0, np.int32), None
+        numbers, at = zip(*[self._numbers(p) for p in parts])
+        begin = np.concatenate([a[:-1] + sum(len(n) for n in numbers[:k]) for k, a in enumerate(at)])
+        length, numbers = np.concatenate([np.diff(a) for a in at]), np.concatenate(numbers)
+        out, sure = np.zeros((len(length), len(self.labels))), np.zeros(len(length))
         order = np.argsort(length, kind="stable")
         order = order[length[order] > 0]
         a = np.exp(self.transition - self.transition.max()).astype(np.float32)
-        start, at = np.full(len(self.labels), 1 / len(self.labels), np.float32), 0
-        while at < len(order):
-            # texts of similar length together, at most twice as long as the first and a million words in all
-            first, end = length[order[at]], at + 1
-            while end < len(order) and length[order[end]] <= max(64, 2 * first) and (end - at + 1) * length[order[end]] <= 1_000_000:
+        start, k = np.full(len(self.labels), 1 / len(self.labels), np.float32), 0
+        while k < len(order):
+            # texts of similar length together, at most twice as long as the first and half a million words in all
+            first, end = length[order[k]], k + 1
+            while end < len(order) and length[order[end]] <= max(64, 2 * first) and (end - k + 1) * length[order[end]] <= 500_000:
                 end += 1
-            group = order[at:end]
+            group, k = order[k:end], end
             T = int(length[group[-1]])
             e = np.ones((T, len(group), len(self.labels)), np.float32)
-            for k, d in enumerate(group):
-                e[: length[d], k] = self.rows[np.fromiter(map(self.cache.__getitem__, docs[d]), np.int64, length[d])]
+            for j, d in enumerate(group):
+                e[: length[d], j] = self.rows[numbers[begin[d] : begin[d] + length[d]]]
             marginal = forward_backward(e, a, start, length[group])[0]
             out[group] = marginal.sum(0, dtype=np.float64) / length[group][:, None]
             sure[group] = marginal.max(2).sum(0, dtype=np.float64) / length[group]
-            at = end
-        return out, sure
+        cuts = np.cumsum([len(p) for p in parts])[:-1]
+        return list(zip(np.split(out, cuts), np.split(sure, cuts)))
 
 
 def train(rows: list[tuple[str, str]], stretch: int = 40, steps: int = 40, seed: int = 5) -> Model:
@@ -174,8 +247,7 @@ def train(rows: list[tuple[str, str]], stretch: int = 40, steps: int = 40, seed:
             y += [pieces[p][1]] * len(pieces[p][0])
         ids[: len(w), k] = [index.setdefault(x, len(index)) for x in w]
         gold[: len(w), k], length[k] = y, len(w)
-    flat, at = _table(list(index))
-    owner = np.repeat(np.arange(len(index)), np.diff(np.append(at, len(flat))))
+    flat, owner = _table(list(index))
     live = np.arange(T)[:, None] < length[None, :]
     truth = np.eye(L)[gold] * live[:, :, None]
     truth_pairs = np.zeros((L, L))
@@ -185,7 +257,7 @@ def train(rows: list[tuple[str, str]], stretch: int = 40, steps: int = 40, seed:
     start, words = np.full(L, 1 / L), live.sum()
     gold_at = np.stack([np.bincount(ids[live], truth[:, :, k][live], len(index)) for k in range(L)], 1)
     for step in range(1, steps + 1):
-        score = np.add.reduceat(weights[flat], at, axis=0)
+        score = _scores(weights, flat, owner)
         score = np.exp(score - score.max(1, keepdims=True)).clip(1e-6)
         e = np.where(live[:, :, None], score[ids], 1)
         marginal, pairs, _ = forward_backward(e, np.exp(transition), start, length)
@@ -218,17 +290,19 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
         labels, weights, transition = data.value
         held = Model(labels, weights, transition)
 
-        def each(batch: pa.RecordBatch) -> dict:
+        def each(batches: list[pa.RecordBatch]) -> list[dict]:
             if not labels:
-                return {"lang_pred": [UNKNOWN] * len(batch), "lang_score": [0.0] * len(batch)}
-            share = held.shares(batch.column("text").to_pylist())
-            best = share.argmax(1)
-            score = share[np.arange(len(share)), best]
-            return {"lang_pred": [labels[b] if s > 0 else UNKNOWN for b, s in zip(best, score)], "lang_score": score.clip(0, 1)}
+                return [{"lang_pred": [UNKNOWN] * len(b), "lang_score": [0.0] * len(b)} for b in batches]
+            out = []
+            for share, _ in held.judged([b.column("text").to_pylist() for b in batches]):
+                best = share.argmax(1)
+                score = share[np.arange(len(share)), best]
+                out.append({"lang_pred": [labels[b] if s > 0 else UNKNOWN for b, s in zip(best, score)], "lang_score": score.clip(0, 1)})
+            return out
 
         return each
 
-    return mapped(rows, start, {"lang_pred": "string", "lang_score": "double"}, rows.columns)
+    return mapped(rows, start, {"lang_pred": "string", "lang_score": "double"}, rows.columns, TOGETHER)
 
 
 def keep_known(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -244,13 +318,12 @@ def keep_known(documents: DataFrame, model: Model, least: float = 0.5) -> DataFr
     def start() -> Callable:
         held = Model(*data.value)
 
-        def each(batch: pa.RecordBatch) -> tuple[dict, np.ndarray]:
-            sure = held.judged(batch.column("text").to_pylist())[1]
-            return {}, (sure > 0) & (sure >= least)
+        def each(batches: list[pa.RecordBatch]) -> list[tuple[dict, np.ndarray]]:
+            return [({}, (sure > 0) & (sure >= least)) for _, sure in held.judged([b.column("text").to_pylist() for b in batches])]
 
         return each
 
-    return mapped(documents, start, {}, documents.columns)
+    return mapped(documents, start, {}, documents.columns, TOGETHER)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

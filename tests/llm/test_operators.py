@@ -294,6 +294,15 @@ def test_token_store_keeps_ids_and_special_tokens(spark, tmp_path):
     assert got == {i: t.encode(x or "", add_special_tokens=False).ids + [2] for i, x in zip([LARGE, LARGE + 1, LARGE + 2, None], texts)}
 
 
+def test_words_of_many_texts_are_those_of_each():
+    r = random.Random(8)
+    texts = [None, "", *("".join(r.choice(["a", "B", "é", "İ", "ǅ", " ", "2", "²", "_", "\n", "語", "x" * 45, "\u0301"]) for _ in range(r.randint(0, 30))) for _ in range(500))]
+    joined, begin, size, hashes, at = langid.words_of(texts)
+    got = [joined[b : b + n] for b, n in zip(begin, size)]
+    assert [got[a:b] for a, b in zip(at, at[1:])] == [langid.letter_words(t) for t in texts]
+    assert len({*zip(got, hashes.tolist())}) == len(set(got)) == len(set(hashes.tolist()))
+
+
 def test_signs_are_no_letters():
     assert langid.letter_words("² ½ ① ٣ _ 12") == [] and langid.letter_words("a²b Ünï") == ["a", "b", "ünï"]
 
