@@ -1,10 +1,10 @@
 """Schema-driven codecs: shapes to Spark types, strict JSON, a binary-safe text format, equality.
 
 A shape is one of ``Int Float Bool String Unit``, ``ListOf(shape)``, ``TupleOf(shapes)``,
-``RecordOf(fields)``, ``MapOf(key, value)`` or ``SumOf(cases)``. Decoding gives an array with the value, or an empty one for
+``RecordOf(fields)``, ``MapOf(value, key)`` or ``SumOf(cases)``. Decoding gives an array with the value, or an empty one for
 text that is not JSON, has a wrong type or lacks a field: such rows vanish when it is exploded.
-Extra fields are ignored. Numbers and booleans may also be written as strings; field names may be unquoted
-at the top level of records. Tuples are JSON arrays of exactly their arity; units are null.
+Extra fields are ignored, of fields with one name the first counts. Numbers and booleans may also be written as strings; field
+names may be unquoted. Tuples are JSON arrays of exactly their arity; units are null.
 """
 
 from __future__ import annotations
@@ -59,6 +59,8 @@ class RecordOf(Shape):
 
 @dataclass(frozen=True)
 class MapOf(Shape):
+    """MapOf(value, key): from an object, or from a list of (key, value) pairs."""
+
     value: Shape
     key: Shape = String
 
@@ -84,13 +86,52 @@ def tuple_of(*items: Shape) -> TupleOf:
     return TupleOf(items)
 
 
-_BARE = r"([{,]\s*)([A-Za-z_][A-Za-z0-9_]*)\s*:"
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Strings, a bare word and the colon after it, other words, and single signs.
+_PIECE = r'"(?:[^"\\]|\\.)*+"|[A-Za-z_][A-Za-z0-9_]*+\s*+:|[A-Za-z_][A-Za-z0-9_]*+|[0-9.eE+-]++|\s++|(?s).'
+_NAMED = r'^([A-Za-z_][A-Za-z0-9_]*)\s*:$'
+
+
+def _repaired(text: Column) -> Column:
+    """text with bare field names quoted, and of fields with one name only the first.
+
+    Only outside of strings. Pieces are gone through in order: ``path`` has the number of each open object or list, a name is
+    the text of its object's number and the name, and ``skip`` is the depth at which a repeated field is being left out.
+    """
+    quoted = F.transform(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0)), lambda p: F.when(p.rlike(_NAMED), F.array(F.concat(F.lit('"'), F.regexp_extract(p, _NAMED, 1), F.lit('"')), F.lit(":"))).otherwise(F.array(p)))
+    pieces = F.filter(F.flatten(quoted), lambda p: ~p.rlike(r"^\s*$"))
+    pairs = F.zip_with(pieces, F.concat(F.slice(pieces, 2, 1 << 30), F.array(F.lit(""))), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+    def step(s: Column, x: Column) -> Column:
+        p, depth = x["p"], F.size(s["path"])
+        opens, closes = p.isin("{", "["), p.isin("}", "]")
+        name = F.concat(F.element_at(F.concat(F.array(F.lit(0)), s["path"]), -1).cast("string"), F.lit("/"), p)
+        is_name = (x["q"] == ":") & p.startswith('"')
+        # a left-out field ends at the comma or the bracket of its own object
+        done = (s["skip"] >= 0) & (((p == ",") & (depth == s["skip"])) | (closes & (depth == s["skip"])))
+        repeated = is_name & (s["skip"] < 0) & F.array_contains(s["names"], name)
+        leaves_out = repeated | ((s["skip"] >= 0) & ~done)
+        kept = F.when(repeated & (F.element_at(s["out"], -1) == ","), F.slice(s["out"], 1, F.size(s["out"]) - 1)).when(leaves_out, s["out"]).otherwise(F.array_append(s["out"], p))
+        return F.struct(
+            kept.alias("out"),
+            F.when(opens, F.array_append(s["path"], s["next"])).when(closes & (depth > 0), F.slice(s["path"], 1, depth - 1)).otherwise(s["path"]).alias("path"),
+            F.when(opens, s["next"] + 1).otherwise(s["next"]).alias("next"),
+            F.when(is_name & ~leaves_out, F.array_append(s["names"], name)).otherwise(s["names"]).alias("names"),
+            F.when(repeated, depth).when(done, F.lit(-1)).otherwise(s["skip"]).alias("skip"),
+        )
+
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("out"), F.array().cast("array<int>").alias("path"), F.lit(1).alias("next"), none.alias("names"), F.lit(-1).alias("skip"))
+    return F.aggregate(pairs, start, step, lambda s: F.array_join(s["out"], ""))
 
 
 def _parse(text: Column) -> Column:
-    """A variant; unquoted field names are quoted where plain parsing fails."""
-    quoted = F.regexp_replace(text, _BARE, '$1"$2":')
-    return F.coalesce(F.try_parse_json(text), F.try_parse_json(quoted))
+    """A variant; a text that plain parsing refuses is repaired and tried again."""
+    return F.coalesce(F.try_parse_json(text), F.try_parse_json(_repaired(text)))
 
 
 def _kind(v: Column) -> Column:
@@ -103,18 +144,18 @@ def _get(v: Column, path: str, type_: str = "variant") -> Column:
 
 def _atom(v: Column, shape: Atom) -> Column:
     """The value, or null if v is not of this type."""
-    kind = _kind(v)
-    text = _get(v, "$", "string")
-    if shape.name == "String":
-        return F.when(kind == "STRING", text)
-    if shape.name == "Int":
-        ok = (kind == "BIGINT") | ((kind == "STRING") & text.rlike(r"^[+-]?[0-9]+$"))
-        return F.when(ok, text.try_cast("bigint"))
-    if shape.name == "Float":
-        ok = kind.startswith("DECIMAL") | kind.isin("DOUBLE", "BIGINT") | (kind == "STRING")
-        return F.when(ok, text.try_cast("double"))
-    ok = (kind == "BOOLEAN") | ((kind == "STRING") & text.isin("true", "false"))
-    return F.when(ok, text.try_cast("boolean"))
+
+    def of(x: Column) -> Column:
+        kind, text = x["kind"], x["text"]
+        if shape.name == "String":
+            return F.when(kind == "STRING", text)
+        if shape.name == "Int":
+            return F.when((kind == "BIGINT") | ((kind == "STRING") & text.rlike(r"^[+-]?[0-9]+$")), text.try_cast("bigint"))
+        if shape.name == "Float":
+            return F.when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "BIGINT", "STRING"), text.try_cast("double"))
+        return F.when((kind == "BOOLEAN") | ((kind == "STRING") & text.isin("true", "false")), text.try_cast("boolean"))
+
+    return _let(F.struct(_kind(v).alias("kind"), _get(v, "$", "string").alias("text")), of)
 
 
 def _decode(v: Column, shape: Shape) -> Column:
@@ -123,50 +164,67 @@ def _decode(v: Column, shape: Shape) -> Column:
     if isinstance(shape, Atom):
         if shape.name == "Unit":
             return F.when(F.is_variant_null(v), F.array(F.lit(None).cast("string"))).otherwise(none)
-        x = _atom(v, shape)
-        return F.when(x.isNotNull(), F.array(x)).otherwise(none)
+        return F.filter(F.array(_atom(v, shape)), lambda x: x.isNotNull())
     if isinstance(shape, ListOf):
         items = _get(v, "$", "array<variant>")
         got = F.transform(items, lambda x: _decode(x, shape.item))
-        ok = items.isNotNull() & F.forall(got, lambda g: F.size(g) == 1)
-        return F.when(ok, F.array(F.transform(got, lambda g: g[0]))).otherwise(none)
+        return _let(got, lambda g: F.when(g.isNotNull() & F.forall(g, lambda x: F.size(x) == 1), F.array(F.flatten(g))).otherwise(none))
     if isinstance(shape, TupleOf):
-        items = _get(v, "$", "array<variant>")
-        parts = [_decode(F.get(items, F.lit(k)), s) for k, s in enumerate(shape.items)]
-        ok = items.isNotNull() & (F.size(items) == len(parts))
-        return _all(ok, parts, [f"_{k + 1}" for k in range(len(parts))], none)
+        return _let(_get(v, "$", "array<variant>"), lambda items: _all(items.isNotNull() & (F.size(items) == len(shape.items)), [_decode(F.get(items, F.lit(k)), s) for k, s in enumerate(shape.items)], [f"_{k + 1}" for k in range(len(shape.items))], none))
     if isinstance(shape, RecordOf):
-        is_object = _kind(v).startswith("OBJECT")
-        parts = [_decode(_get(v, f"$.{n}"), s) for n, s in shape.fields]
-        return _all(is_object, parts, [n for n, _ in shape.fields], none)
+        return _all(_kind(v).startswith("OBJECT"), [_decode(_get(v, f"$['{n}']"), s) for n, s in shape.fields], [n for n, _ in shape.fields], none)
     if isinstance(shape, MapOf):
-        entries = F.map_entries(_get(v, "$", "map<string,variant>"))
-        got = F.transform(entries, lambda e: F.struct(e["key"].alias("k"), _decode(e["value"], shape.value).alias("g")))
-        ok = _kind(v).startswith("OBJECT") & F.forall(got, lambda e: F.size(e["g"]) == 1)
-        pairs = F.transform(got, lambda e: F.struct(e["k"].cast(shape.key.data_type()).alias("key"), e["g"][0].alias("value")))
-        return F.when(ok, F.array(F.map_from_entries(pairs))).otherwise(none)
+        entry = F.struct
+        from_object = F.transform(F.map_entries(_get(v, "$", "map<string,variant>")), lambda e: entry(F.filter(F.array(e["key"].try_cast(shape.key.data_type())), lambda k: k.isNotNull()).alias("k"), _decode(e["value"], shape.value).alias("g")))
+        # or a list of pairs; of equal keys the first counts
+        from_list = F.transform(_get(v, "$", "array<variant>"), lambda e: entry(_decode(_get(e, "$[0]"), shape.key).alias("k"), _decode(_get(e, "$[1]"), shape.value).alias("g")))
+
+        def of(got: Column) -> Column:
+            ok = got.isNotNull() & F.forall(got, lambda e: (F.size(e["k"]) == 1) & (F.size(e["g"]) == 1))
+            pairs = F.transform(got, lambda e: F.struct(F.get(e["k"], F.lit(0)).alias("key"), F.get(e["g"], F.lit(0)).alias("value")))
+            keys = F.transform(pairs, lambda p: p["key"])
+            first = F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
+            return F.when(ok, F.array(F.map_from_entries(first))).otherwise(none)
+
+        return _let(F.when(_kind(v).startswith("OBJECT"), from_object).otherwise(from_list), of)
     if isinstance(shape, SumOf):
         # ["Tag", payload]
         tag = _get(v, "$[0]", "string")
         out = none
         for name, s in shape.cases:
-            got = _decode(_get(v, "$[1]"), s)
-            made = F.struct(tag.alias("tag"), *[(got[0] if n == name else F.lit(None).cast(q.data_type())).alias(n) for n, q in shape.cases])
-            out = F.when((tag == name) & (F.size(got) == 1), F.array(made)).otherwise(out)
+            out = F.when(tag == name, _let(_decode(_get(v, "$[1]"), s), _case(shape, name, tag, none))).otherwise(out)
         return out
     raise TypeError(shape)
 
 
+def _case(shape: SumOf, name: str, tag: Column, none: Column):
+    """The payload's array to an array of the tagged value."""
+
+    def of(got: Column) -> Column:
+        payloads = [(F.get(got, F.lit(0)) if n == name else F.lit(None).cast(q.data_type())).alias(n) for n, q in shape.cases]
+        return F.when(F.size(got) == 1, F.array(F.struct(tag.alias("tag"), *payloads))).otherwise(none)
+
+    return of
+
+
 def _all(ok: Column, parts: list[Column], names: list[str], none: Column) -> Column:
-    for p in parts:
-        ok = ok & (F.size(p) == 1)
-    return F.when(ok, F.array(F.struct(*[p[0].alias(n) for p, n in zip(parts, names)]))).otherwise(none)
+    """The record of all parts (each computed once), if every one is there."""
+    if not parts:
+        return F.when(ok, F.array(F.struct())).otherwise(none)
+
+    def of(x: Column) -> Column:
+        good = ok
+        for n in names:
+            good = good & (F.size(x[n]) == 1)
+        return F.when(good, F.array(F.struct(*[F.get(x[n], F.lit(0)).alias(n) for n in names]))).otherwise(none)
+
+    return _let(F.struct(*[p.alias(n) for p, n in zip(parts, names)]), of)
 
 
 def json_decode(shape: Shape, text: Column) -> Column:
-    """An array with the decoded value, empty if the text doesn't have the shape."""
-    v = _parse(text)
-    return F.when(v.isNotNull(), _decode(v, shape)).otherwise(F.array().cast(T.ArrayType(shape.data_type())))
+    """An array with the decoded value, empty if the text doesn't have the shape. The text is parsed once."""
+    none = F.array().cast(T.ArrayType(shape.data_type()))
+    return _let(_parse(text), lambda v: F.when(v.isNotNull(), _decode(v, shape)).otherwise(none))
 
 
 def json_encode(shape: Shape, value: Column) -> Column:

@@ -126,13 +126,16 @@ def sources(spark: SparkSession) -> dict[str, tuple[str, Any]]:
         # the order of a scan: files by name, lines by place
         return Series(df.select(F.monotonically_increasing_id().alias("_pos"), item.alias("item")), "item")
 
+    def by_key(df: DataFrame, item) -> Series:
+        return Series(df.select(F.col("k").alias("_pos"), item.alias("item")), "item")
+
     def pairs(df: DataFrame) -> Series:
-        return series(df, F.struct(F.col("k").alias("_1"), F.col("v").alias("_2")))
+        return by_key(df, F.struct(F.col("k").alias("_1"), F.col("v").alias("_2")))
 
     def kyoto(path: str) -> Rec:
         kv = KeyValue(spark, path)
         return Rec((
-            ("keys", series(kv.keys(), F.col("k"))),
+            ("keys", by_key(kv.keys(), F.col("k"))),
             ("pairs", pairs(kv.pairs())),
             ("values", lambda k: series(kv.get(k), F.col("v"))),
             ("pairs_with_prefix", lambda p: pairs(kv.pairs_with_prefix(p))),

@@ -348,6 +348,6 @@ for _name in ("json", "marshal"):
 value("no_encoding", "{ encode: a -> a, decode: b -> b }", Rec((("encode", lambda x: x), ("decode", lambda x: x))))
 
 
-@name("encoding", "a with { encode: Shape(b) -> c, decode: Shape(b) -> d, ... } -> Shape(b) -> { encode: c, decode: d }", 2)
+@name("encoding", "a with { encode: Shape(b) -> c, decode: Shape(b) -> d } -> Shape(b) -> { encode: c, decode: d }", 2)
 def encoding(codec: Rec, shape):
     return Rec(tuple((side, codec.get(side)(shape)) for side in ("encode", "decode")))

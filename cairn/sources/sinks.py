@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Batch = Callable[[DataFrame, int], None]
@@ -57,6 +57,32 @@ def kafka_options(servers: str, topic: str, partition: int | None = None, per_tr
     return out | ({"subscribe": topic} if partition is None else {"assign": f'{{"{topic}":[{partition}]}}'})
 
 
+def kafka_stream(spark: SparkSession, servers: str, topic: str, partition: int | None = None, per_trigger: int = 16384, start: str = "earliest") -> DataFrame:
+    """A topic as a stream of (key, value, partition, offset); a restarted query goes on behind the last offset of its checkpoint.
+
+    A step takes what has come since the last one, at most per_trigger messages.
+    """
+    rows = spark.readStream.format("kafka").options(**kafka_options(servers, topic, partition, per_trigger, start)).load()
+    return rows.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "partition", "offset")
+
+
+def kafka_sink(servers: str, topic: str, value: Column, key: Column | None = None, partition: int | None = None) -> Batch:
+    """Appends each batch to a topic: to a partition, by key, or in turn."""
+
+    def write(df: DataFrame, _: int) -> None:
+        rows = kafka_rows(df, value, key)
+        rows = rows if partition is None else rows.withColumn("partition", F.lit(partition))
+        rows.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+
+    return write
+
+
+def topic_stream(spark: SparkSession, path: str, partition: int | None = None, per_trigger: int = 1000) -> DataFrame:
+    """A folder topic (see topic_logger) as a stream of (value, partition, batch); restarts go on behind the checkpoint."""
+    rows = spark.readStream.schema("value string, batch int, partition int").option("maxFilesPerTrigger", per_trigger).parquet(path)
+    return rows if partition is None else rows.where(F.col("partition") == partition)
+
+
 def kafka_rows(df: DataFrame, value: Column, key: Column | None = None) -> DataFrame:
     """Rows for Spark's Kafka sink; with a key its partitioner deals them."""
     return df.select(*([key.cast("string").alias("key")] if key is not None else []), value.cast("string").alias("value"))

@@ -23,6 +23,66 @@ def test_language_sources(spark, tmp_path):
     assert s.run("(encoding json :Int).decode \"12\"") == ["[12]"]
 
 
+def test_language_reads_encoded_stores_and_words(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one two\nthree 4\n")
+    KeyValue(spark, f"{tmp_path}/kv").write(spark.createDataFrame([("a", "1"), ("ab", "x"), ("b", "3")], "k string, v string"))
+    s = Session(stdlib=True, spark=spark)
+    assert s.run(f'file_words "{tmp_path}/a.txt"') == ['["one", "two", "three"]']
+    store = f'kyoto_encoded_as json.decode :Int "{tmp_path}/kv"'
+    assert s.run(f'({store}).pairs, ({store}).values "b", ({store}).pairs_with_prefix "a"') == ['[[("a", 1)], [], [("b", 3)]]', "[3]", '[[("a", 1)], []]']
+
+
+def test_key_value_updates_touch_their_buckets_and_batches_count_once(spark, tmp_path):
+    kv = KeyValue(spark, f"file://{tmp_path}/kv", "long")
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v long")
+    got = lambda: {r.k: r.v for r in kv.pairs().collect()}
+    assert got() == {}
+    add = lambda old, new: old + new
+    kv.fold_in(rows(("a", 1), ("b", 2)), add, 0)
+    kv.fold_in(rows(("a", 1), ("b", 2)), add, 0)
+    assert got() == {"a": 1, "b": 2}
+    kv.fold_in(rows(("a", 5), ("c", 7)), add, 1)
+    assert got() == {"a": 6, "b": 2, "c": 7} and [r.v for r in kv.get("a").collect()] == [6] and kv.get("z").count() == 0
+    kv.update(spark.createDataFrame([("a", None, True), ("d", 4, False)], "k string, v long, removed boolean"))
+    assert got() == {"b": 2, "c": 7, "d": 4}
+    assert sorted(r.k for r in kv.pairs_within_range("b", "c").collect()) == ["b", "c"]
+    held = kv._current()
+    assert held["batch"] == 1 and len(set(held["buckets"].values())) > 1  # b's bucket is still the first version's
+    kv.write(rows(("q", 1)))
+    assert got() == {"q": 1}
+
+
+def test_paths_of_a_store_are_read_back(spark):
+    from cairn.sources.keyvalue import loaded_struct, stored_struct
+
+    df = spark.createDataFrame([(1, "Ann", "x"), (2, "Bob", "y")], "id long, name string, tag string")
+    entry = lambda path, v: F.struct(F.array(*map(F.lit, path)).alias("path"), v.alias("value"))
+    stored = stored_struct(df, F.col("id"), F.array(entry(["name"], F.col("name")), entry(["tags", "0"], F.col("tag"))))
+    assert sorted(map(tuple, loaded_struct(stored, ["name", "tags/0"]).collect())) == [("1", "Ann", "x"), ("2", "Bob", "y")]
+
+
+def test_topics_go_on_behind_the_last_batch(spark, tmp_path):
+    topic, seen = f"{tmp_path}/topic", []
+    write = sinks.topic_logger(topic, F.col("value"))
+    rows = lambda *v: spark.createDataFrame([(x,) for x in v], "value string")
+
+    def drain():
+        q = sinks.topic_stream(spark, topic).writeStream.foreachBatch(lambda df, _: seen.extend(r.value for r in df.collect())).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    write(rows("a", "b"), 0)
+    drain()
+    assert sorted(seen) == ["a", "b"]
+    write(rows("c"), 1)
+    drain()
+    assert sorted(seen) == ["a", "b", "c"]
+
+
+def test_kafka_options():
+    got = sinks.kafka_options("h:1", "t", partition=2)
+    assert got["assign"] == '{"t":[2]}' and "subscribe" not in got and sinks.kafka_options("h:1", "t")["subscribe"] == "t"
+
+
 def test_key_paths(spark):
     row = spark.range(1).select(F.array(F.lit("a"), F.lit("0")).alias("p"))
     of = lambda c: row.select(c.alias("c")).first()[0]

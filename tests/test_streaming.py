@@ -103,6 +103,20 @@ def test_key_value(spark, tmp_path):
     assert of(typed.decoded()) == [("a", 1), ("ab", 2), ("c", 4)]
 
 
+def test_json_outside_of_the_standard(spark):
+    """Repeated fields, unquoted names, strings that look like either, mappings from pairs."""
+
+    def decoded(shape, *texts):
+        d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+        return [[x.asDict() if hasattr(x, "asDict") else x for x in r[0]] for r in d.select(C.json_decode(shape, F.col("t")), "i").orderBy("i").collect()]
+
+    k, a = C.record(k=C.Int), C.record(a=C.String)
+    assert decoded(k, '{"k":1,"k":2}', "{k:1}", '{"j":{"k":3},"k":1}', '{"k":1,"j":{"a":1,"a":2},"k":[2,{"k":3}],"j":4}', '{"k":[1]}', "{") == [[{"k": 1}]] * 4 + [[], []]
+    assert decoded(a, '{a:"x, b: y"}', '{ a : "q\\"x:", "b" : 2}', '{a:"x",a:"y"}', '{"a":"1","b":{"a":"2"}}') == [[{"a": v}] for v in ("x, b: y", 'q"x:', "x", "1")]
+    assert decoded(C.MapOf(C.Int), '{"a":1,"b":2}', '[["a",1],["b",2],["a",3]]', '{"a":"x"}', "{}", "[]") == [[{"a": 1, "b": 2}], [{"a": 1, "b": 2}], [], [{}], [{}]]
+    assert decoded(C.MapOf(C.String, C.Int), '{"1":"x"}', '[[1,"x"],[2,"y"]]', '{"z":"x"}') == [[{1: "x"}], [{1: "x", 2: "y"}], []]
+
+
 def test_codecs(spark):
     shape = C.parse_shape("{ x: Int, y: (String, Bool), z: [Int] }")
     good = '{"x":"12","y":["a","true"],"z":[1,2],"more":0}'
