@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import mapped, shared_dir, small_batches, stored, table
+from cairn.llm.common import mapped, shared_dir, small_batches, stored, table, tidy
 
 WORDS = 16
 BLOCK_ROWS = 32_768
@@ -192,6 +192,7 @@ def _search(coded: DataFrame, book: Codebook, block: list, dim: int, k: int, can
     data = coded.sparkSession.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = data.value
         lifted = np.pad(np.concatenate([q, np.ones((len(q), 1))], 1), ((0, 0), (0, -(dim + 1) % 4)))

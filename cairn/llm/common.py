@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from functools import wraps
 from itertools import batched
 from types import GeneratorType
 
@@ -62,7 +65,7 @@ def slots(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 
 
-def small_batches(spark: SparkSession, records: int = 2000, size: str = "8m") -> None:
+def small_batches(spark: SparkSession, records: int = 2000, size: str = "4m") -> None:
     """Bounds what a Python worker holds at a time, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
@@ -75,6 +78,22 @@ def _arrow(kind: str) -> pa.DataType:
     return pa.list_(_arrow(kind[6:-1])) if kind.startswith("array<") else _ARROW[kind]
 
 
+def tidy(run: Callable) -> Callable:
+    """A function of a task's batches that hands memory back to the system when it ends, as workers live on."""
+
+    @wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return task
+
+
 def mapped(df: DataFrame, start: Callable[[], Callable], new: dict[str, str], keep: Sequence[str] = (), together: int = 1) -> DataFrame:
     """Columns ``keep`` of df as they are, and new ones (name -> type) computed from Arrow batches.
 
@@ -93,6 +112,7 @@ def mapped(df: DataFrame, start: Callable[[], Callable], new: dict[str, str], ke
         out = pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, [*keep, *kinds])
         return out if mask is None else out.filter(pa.array(mask, pa.bool_()))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = start()
         if together > 1:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import segments
-from cairn.llm.common import drop, mapped, shared_dir, small_batches, stored, table, with_text
+from cairn.llm.common import drop, mapped, shared_dir, small_batches, stored, table, tidy, with_text
 
 WINDOW = 13
 SHARD = 1_000_000
@@ -190,6 +190,7 @@ def index(documents: DataFrame, where: str, shard: int | None = None) -> DataFra
     shard = shard or SHARD
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("text_of", pa.list_(pa.int64())), ("fm", pa.binary())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, ids, hashes, sizes, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 

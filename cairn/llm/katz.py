@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import segments
-from cairn.llm.common import ascii_words, drop, release, remainder, shared_dir, small_batches, stored, table
+from cairn.llm.common import ascii_words, drop, release, remainder, shared_dir, small_batches, stored, table, tidy
 from cairn.llm.segments import mix
 
 START, END = 1, 2
@@ -180,12 +180,14 @@ def _sorted(rows: DataFrame) -> DataFrame:
 def _unigrams(docs: DataFrame, buckets: int) -> DataFrame:
     """key, blob (words, counts), and the counts of counts, number of words and of tokens."""
 
+    @tidy
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w, *_ in _chunks(batches, True):
             u, c = np.unique(w, return_counts=True)
             order, parts = _dealt(_home(u, buckets), buckets)
             yield _rows([(0, b, 0, pack(u[order[s:e]], small(c[order[s:e]]))) for b, s, e in parts])
 
+    @tidy
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in groupby(_each(batches), lambda r: r[1]):
             w, c = (np.concatenate(x) for x in zip(*((w, c.astype(np.int64)) for w, c in (unpack(r[3]) for r in rows))))
@@ -200,6 +202,7 @@ def _unigrams(docs: DataFrame, buckets: int) -> DataFrame:
 def _frequent(unigrams: DataFrame, least: float) -> dict[int, int]:
     """The counts of all words with at least ``least``."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for *_, blob in _each(batches):
             w, c = unpack(blob)
@@ -218,6 +221,7 @@ def _coded(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
 def _bigrams(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     """key, blob (histories, successors of each, words, the successors, counts), and the counts of counts."""
 
+    @tidy
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w, h, *_ in _chunks(batches, True):
             order, at = _alike(_pair(h, w))
@@ -227,6 +231,7 @@ def _bigrams(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             order, parts = _dealt(_bucket(h, w, hot, buckets), buckets)
             yield _rows([(0, b, 0, pack(*_coded(h[o := order[s:e]], w[o]), small(c[o]))) for b, s, e in parts])
 
+    @tidy
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in groupby(_each(batches), lambda r: r[1]):
             got = []
@@ -248,6 +253,7 @@ def _lower(unigrams: DataFrame, bigrams: DataFrame, facts: dict, buckets: int) -
     """Kind 1, for each bucket of bigrams and home of its words: the words' counts. Kind 9, for hot histories: partial sums."""
     plain = lambda df: df.select("kind", "key", "part", "blob")
 
+    @tidy
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, key, _, blob in _each(batches):
             uh, nh, uw, iw, c = unpack(blob)
@@ -264,6 +270,7 @@ def _lower(unigrams: DataFrame, bigrams: DataFrame, facts: dict, buckets: int) -
                 rows.append((1, b, key, pack(uw[order[s:e]], small(which[x:y]), small(of[x:y] - s), mass[x:y])))
             yield _rows(rows)
 
+    @tidy
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in groupby(_each(batches), lambda r: r[1]):
             w, c, n = None, None, len(facts["hot"])
@@ -367,6 +374,7 @@ class Sums:
 def _questions(docs: DataFrame, hot: np.ndarray, buckets: int, turn: int) -> DataFrame:
     """Kind 2: the bigrams of chunks of documents and who has each how often, for the buckets of a turn."""
 
+    @tidy
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w, h, doc, uid in _chunks(batches, False):
             bucket = _bucket(h, w, hot, buckets)
@@ -394,6 +402,7 @@ def _questions(docs: DataFrame, hot: np.ndarray, buckets: int, turn: int) -> Dat
 def _answers(rows: DataFrame, facts: dict, buckets: int) -> DataFrame:
     """Kind 5: documents' sums; kind 3: the words of unseen bigrams, by their homes."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, ask, waiting = Sums(buckets), [], 0
 
@@ -436,6 +445,7 @@ def _answers(rows: DataFrame, facts: dict, buckets: int) -> DataFrame:
 def _backed_off(rows: DataFrame, facts: dict, buckets: int) -> DataFrame:
     """Kind 5: what the words of unseen bigrams add to their documents."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums(buckets)
         for _, group in groupby(_each(batches), lambda r: r[1]):
@@ -458,6 +468,7 @@ def _backed_off(rows: DataFrame, facts: dict, buckets: int) -> DataFrame:
 
 
 def _totals(parts: DataFrame) -> DataFrame:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in groupby(_each(batches), lambda r: r[1]):
             held: list[tuple] = []

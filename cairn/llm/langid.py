@@ -44,8 +44,9 @@ _SIGNS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.i
 #: A longer run of letters is several words.
 LONGEST = 40
 _WORD = re.compile(rf"[^\W\d_{_SIGNS}]{{1,{LONGEST}}}")
-#: Batches judged side by side.
-TOGETHER = 3
+#: Characters whose words are looked up together, and batches judged side by side.
+SLICE = 1 << 20
+TOGETHER = 5
 _U = np.uint64
 
 
@@ -167,6 +168,15 @@ class Model:
 
     def _numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The row of each word, and where each text's words begin."""
+        # some SLICE characters at a time
+        ends = np.cumsum([len(t) if t else 0 for t in texts])
+        cuts = np.searchsorted(ends, np.arange(SLICE, (int(ends[-1]) if len(ends) else 0) + SLICE, SLICE)).tolist()
+        got = [self._numbered(texts[a:b]) for a, b in zip([0, *cuts], [*cuts, len(texts)]) if b > a]
+        if not got:
+            return np.empty(0, np.int32), np.zeros(1, np.int64)
+        return np.concatenate([n for n, _ in got]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(a) for _, a in got]))])
+
+    def _numbered(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         joined, begin, size, hashes, at = words_of(texts)
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         known = np.isin(distinct, self.seen, assume_unique=True)

@@ -121,22 +121,24 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) whose full sets are similar enough."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def start() -> Callable:
+        def each(batch: pa.RecordBatch) -> tuple[dict, list[bool]]:
             good = []
-            for x, y in zip(pdf["sa"], pdf["sb"]):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("sa"), batch.column("sb")):
+                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 small, large = sorted((len(a), len(b)))
                 if 100 * small < percent * large or not large:
                     good.append(False)
                     continue
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 good.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pdf.loc[good, ["a", "b"]]
+            return {}, good
+
+        return each
 
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
+    return mapped(both.select("a", "b", "sa", "sb"), start, {}, ["a", "b"])
 
 
 def components(nodes: DataFrame, links: DataFrame, where: str) -> DataFrame:

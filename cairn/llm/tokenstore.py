@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import segments
-from cairn.llm.common import Recent, mapped, shared_dir, small_batches, table
+from cairn.llm.common import Recent, mapped, shared_dir, small_batches, table, tidy
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
@@ -159,6 +159,7 @@ def write(documents: DataFrame, path: str, vocabulary: str = VOCABULARY, end: in
 
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("docs", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("codes", pa.binary())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from cairn.llm.tokenstore import encoder, pack
 
@@ -215,7 +216,7 @@ def read(spark: SparkSession, path: str, each: Callable[[object, int, np.ndarray
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, size="8m")
     path = f"{shared_dir(spark)}/tokens"
     write(table(spark, sf_dir, "documents"), path)
     new = {"doc_id": "long", "start": "long", "n_tokens": "long", "ids_crc32": "long"}
