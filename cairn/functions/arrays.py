@@ -98,9 +98,9 @@ def windows_of(xs: Column, n: int) -> Column:
 
 
 def power_set(xs: Column) -> Column:
-    """All subsets; the empty one first."""
-    empty = F.slice(xs, 1, 0)
-    return F.aggregate(xs, F.array(empty), lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.array_append(s, x))))
+    """All sets of the items; an item that a set already has adds nothing to it."""
+    none = F.array(F.slice(xs, 1, 0))
+    return F.aggregate(xs, none, lambda sets, x: F.concat(sets, F.transform(sets, lambda s: F.when(F.exists(s, lambda y: y.eqNullSafe(x)), s).otherwise(F.array_append(s, x)))))
 
 
 def cross_product(xs: Column, ys: Column) -> Column:

@@ -39,6 +39,8 @@ class Reducer:
     push: Plus | None = None
     #: Whether no further item can change a state.
     full: Fn | None = None
+    #: The aggregate as a window function over at least one row, unfinished.
+    running: Fn | None = None
     #: (key, value, reducer) of a nested grouping, whose unfinished result is a map.
     nested: tuple[Fn, Fn, Reducer] | None = None
 
@@ -70,6 +72,7 @@ class Reducer:
             rows=lambda x, pos, keep=None: rows(before(x), pos, _and(keep, F.coalesce(p(x), F.lit(False)))),
             array=lambda xs: array(F.transform(F.filter(xs, p), before)),
             before=lambda x: x,
+            running=None,
             push=None if push is None else lambda s, x: F.when(F.coalesce(p(x), F.lit(False)), push(s, before(x))).otherwise(s),
             nested=None,
         )
@@ -87,6 +90,7 @@ class Reducer:
             rows=rows,
             array=lambda xs: array(F.flatten(F.transform(xs, inner))),
             before=lambda x: x,
+            running=None,
             push=None if push is None else lambda s, x: F.aggregate(inner(x), s, push),
             nested=None,
         )
@@ -157,8 +161,8 @@ def hash_reducer(key: Fn, value: Fn, r: Reducer) -> Reducer:
     return group(key, value, r)
 
 
-def _known(rows, array, join, plus: Plus, seed: Column, push: Plus) -> Reducer:
-    return Reducer(rows=rows, array=array, join=join, plus=plus, seed=seed, push=push)
+def _known(rows, array, join, plus: Plus, seed: Column, push: Plus, running: Fn) -> Reducer:
+    return Reducer(rows=rows, array=array, join=join, plus=plus, seed=seed, push=push, running=running)
 
 
 _INT = "bigint"
@@ -167,7 +171,7 @@ _INT = "bigint"
 def sum_() -> Reducer:
     add = lambda a, x: a + x
     total = lambda x, _, keep=None: _zero(F.sum(_if(keep, x)), 0)
-    return _known(total, lambda xs: F.aggregate(xs, F.lit(0).cast(_INT), add), total, add, F.lit(0).cast(_INT), add)
+    return _known(total, lambda xs: F.aggregate(xs, F.lit(0).cast(_INT), add), total, add, F.lit(0).cast(_INT), add, F.sum)
 
 
 def product_() -> Reducer:
@@ -177,19 +181,19 @@ def product_() -> Reducer:
 
 def count() -> Reducer:
     add = lambda a, b: a + b
-    return _known(lambda x, _, keep=None: F.count(F.lit(1)) if keep is None else F.count_if(keep), lambda xs: F.size(xs).cast(_INT), lambda n, _, keep=None: _zero(F.sum(_if(keep, n)), 0), add, F.lit(0).cast(_INT), lambda s, _: s + 1)
+    return _known(lambda x, _, keep=None: F.count(F.lit(1)) if keep is None else F.count_if(keep), lambda xs: F.size(xs).cast(_INT), lambda n, _, keep=None: _zero(F.sum(_if(keep, n)), 0), add, F.lit(0).cast(_INT), lambda s, _: s + 1, lambda x: F.count(F.lit(1)))
 
 
 def and_() -> Reducer:
     both = lambda a, b: a & b
     all_ = lambda x, _, keep=None: _zero(F.bool_and(_if(keep, x)), True)
-    return _known(all_, lambda xs: F.forall(xs, lambda x: x), all_, both, F.lit(True), both)
+    return _known(all_, lambda xs: F.forall(xs, lambda x: x), all_, both, F.lit(True), both, F.bool_and)
 
 
 def or_() -> Reducer:
     either = lambda a, b: a | b
     some = lambda x, _, keep=None: _zero(F.bool_or(_if(keep, x)), False)
-    return _known(some, lambda xs: F.exists(xs, lambda x: x), some, either, F.lit(False), either)
+    return _known(some, lambda xs: F.exists(xs, lambda x: x), some, either, F.lit(False), either, F.bool_or)
 
 
 def first() -> Reducer:
@@ -232,12 +236,12 @@ def set_union() -> Reducer:
 
 def maximum() -> Reducer:
     top = lambda x, _, keep=None: F.max(_if(keep, x))
-    return Reducer(top, F.array_max, join=top, plus=lambda a, b: F.greatest(a, b))
+    return Reducer(top, F.array_max, join=top, plus=lambda a, b: F.greatest(a, b), running=F.max)
 
 
 def minimum() -> Reducer:
     least = lambda x, _, keep=None: F.min(_if(keep, x))
-    return Reducer(least, F.array_min, join=least, plus=lambda a, b: F.least(a, b))
+    return Reducer(least, F.array_min, join=least, plus=lambda a, b: F.least(a, b), running=F.min)
 
 
 def text(separator: str = "") -> Reducer:

@@ -437,9 +437,9 @@ def _known(r: Red):
 def rolling(r, xs):
     if isinstance(xs, Series):
         known = _known(r)
-        if known is None or known.plus is None or known.chunked:
+        if known is None or known.plus is None or known.running is None:
             raise ValueError("rolling over a table takes a reducer with an aggregate, such as sum, count or and_reducer")
-        s = xs.rolling(lambda x: known.rows(known.before(x), F.col(xs.pos), None), "rolled", None, known.plus)
+        s = xs.rolling(lambda x: known.running(known.before(x)), "rolled", None, known.plus)
         finish = known.finish if r.known is not None else (lambda c: to_column(r.term(known.finish(c))))
         return Series(s.df.select(s.pos, finish(F.col("rolled")).alias(xs.item)), xs.item, s.pos)
     if is_column(xs):

@@ -78,7 +78,7 @@ class Session:
 
     def table(self, name: str, df: DataFrame, pos: str) -> None:
         """Makes a table's rows, in the order of pos, a sequence of records of the language."""
-        rows = df.select(F.col(pos).alias("_pos"), F.struct(*[F.col(f.name).cast("bigint") if f.dataType in (T.IntegerType(), T.ShortType()) else F.col(f.name) for f in df.schema if language_type(f.dataType) is not None]).alias("item"))
+        rows = df.select(F.col(pos).alias("_pos"), F.struct(*[F.col(f.name).cast("bigint").alias(f.name) if f.dataType in (T.IntegerType(), T.ShortType()) else F.col(f.name) for f in df.schema if language_type(f.dataType) is not None]).alias("item"))
         t: Type = UNIT
         for f in df.schema:
             own = language_type(f.dataType)

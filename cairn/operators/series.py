@@ -244,8 +244,12 @@ class Series:
 
     def _joined(self, parts: list[tuple[int, Series]]) -> Series:
         out = None
-        for k, s in parts:
-            df = s.df.select(F.struct(F.lit(k).alias("_k"), F.col(s.pos).alias("_p")).alias(self.pos), F.col(s.item).alias(self.item))
+        kinds = [s.df.schema[s.pos].dataType for _, s in parts]
+        alike = all(k == kinds[0] for k in kinds)
+        for n, (k, s) in enumerate(parts):
+            # positions of different types have a place each; only a part's own is compared
+            own = [F.col(s.pos).alias("_p")] if alike else [(F.col(s.pos) if n == m else F.lit(None).cast(kind)).alias(f"_p{m}") for m, kind in enumerate(kinds)]
+            df = s.df.select(F.struct(F.lit(k).alias("_k"), *own).alias(self.pos), F.col(s.item).alias(self.item))
             out = df if out is None else out.unionByName(df)
         return self._with(out)
 

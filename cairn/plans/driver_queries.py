@@ -40,6 +40,15 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def events(spark: SparkSession, sf: str, item: str = "event_type") -> Series:
     return Series.of(read(spark, sf, "events"), item, "event_id")
 
@@ -49,12 +58,14 @@ def events(spark: SparkSession, sf: str, item: str = "event_type") -> Series:
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice * (1 - l_discount) AS revenue FROM lineitem")
 def map_revenue(spark, sf):
-    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+    df = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.struct("l_extendedprice", "l_discount").alias("revenue"))
+    return Series(df, "revenue", "l_orderkey").map(lambda x: x["l_extendedprice"] * (1 - x["l_discount"])).df
 
 
-@query("SELECT l_orderkey, l_shipdate, l_quantity FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01' AND l_quantity > 20")
+@query("SELECT l_orderkey, l_shipdate, l_quantity FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01' AND l_quantity > 20")
 def filter_ship(spark, sf):
-    return read(spark, sf, "lineitem").where("l_shipdate < TIMESTAMP '1995-01-01' AND l_quantity > 20").select("l_orderkey", "l_shipdate", "l_quantity")
+    s = Series(read(spark, sf, "lineitem").select("l_orderkey", "l_shipdate", "l_quantity"), "l_shipdate", "l_orderkey")
+    return s.filter(lambda x: x < F.lit("1998-01-01").cast("timestamp")).filter(lambda x: F.col("l_quantity") > 20).df
 
 
 @query("SELECT l_orderkey, l_returnflag FROM lineitem WHERE NOT (l_returnflag = 'R')")
@@ -71,8 +82,8 @@ def filter_map_discount(spark, sf):
 
 @query("SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-zA-Z]+')) AS w FROM documents) GROUP BY w")
 def flat_map_words(spark, sf):
-    words = read(spark, sf, "documents").select(F.explode(A.string_words(F.col("text"))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n"))
+    words = Series.of(read(spark, sf, "documents"), "text", "doc_id").flat_map(A.string_words)
+    return words.group(lambda x: x, lambda x: x, R.count(), ("word", "n")).pairs()
 
 
 @query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS piece FROM part")
@@ -95,7 +106,9 @@ def string_extract_words(spark, sf):
 
 @query("SELECT o_orderkey, len(list_filter([1,2,3,4], lambda x: x <= o_orderkey % 5)) AS kept FROM orders")
 def nested_filter(spark, sf):
-    xs = F.filter(F.array(*map(F.lit, (1, 2, 3, 4))), lambda x: x <= F.col("o_orderkey") % 5)
+    from cairn.lang.builtins import filter_
+
+    xs = filter_(lambda x: x <= F.col("o_orderkey") % 5, F.array(*map(F.lit, (1, 2, 3, 4))))
     return read(spark, sf, "orders").select("o_orderkey", F.size(xs).cast("long").alias("kept"))
 
 
@@ -198,7 +211,9 @@ def window_of_3(spark, sf):
 
 @query("SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-zA-Z]+')) AS w FROM documents) GROUP BY w ORDER BY n DESC, w LIMIT 10")
 def top_words(spark, sf):
-    return flat_map_words(spark, sf).orderBy(F.col("n").desc(), "word").limit(10)
+    counts = flat_map_words(spark, sf)
+    s = Series(counts.select(F.col("word").alias("_pos"), F.struct("word", "n").alias("item")), "item")
+    return s.top(lambda x: x["word"], lambda x: x["n"], 10).select("item.*")
 
 
 @query("""SELECT o_custkey AS cust, value FROM (SELECT o_custkey, o_orderkey, o_totalprice AS value, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders)
@@ -274,7 +289,8 @@ def length(spark, sf):
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL")
 def group_count(spark, sf):
-    return read(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+    df = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("_pos"), F.struct("l_returnflag", "l_linestatus").alias("item"))
+    return Series(df, "item").group(lambda x: x, lambda x: x["l_linestatus"], R.count(), ("key", "n")).pairs().select("key.*", "n")
 
 
 @query("SELECT o_custkey AS key, sum(o_orderkey)::BIGINT AS value FROM orders GROUP BY 1")
@@ -296,7 +312,9 @@ def group_set(spark, sf):
 
 @query("SELECT o_orderkey % 3 AS key, count(*) AS n, min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders GROUP BY 1")
 def partition_by_mod(spark, sf):
-    return read(spark, sf, "orders").groupBy((F.col("o_orderkey") % 3).alias("key")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
+    parts = Series.of(read(spark, sf, "orders"), "o_orderkey", "o_orderkey").partition(lambda x: x % 3)
+    ends = parts.project(lambda xs: F.struct(F.size(xs).cast("long").alias("n"), F.array_min(xs).alias("low"), F.array_max(xs).alias("high")))
+    return ends.pairs().select("key", "value.*")
 
 
 @query("SELECT count(*) >= 100 AS at_least FROM (SELECT 1 FROM orders LIMIT 100)")
@@ -306,8 +324,9 @@ def at_least_n(spark, sf):
 
 @query("SELECT user_id, max(n) AS most, count(*) AS kinds FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
 def nested_group(spark, sf):
-    inner = read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return inner.groupBy("user_id").agg(F.max("n").alias("most"), F.count("*").alias("kinds"))
+    df = read(spark, sf, "events").select(F.col("event_id").alias("_pos"), F.struct("user_id", "event_type").alias("item"))
+    kinds = Series(df, "item").group(lambda x: x["user_id"], lambda x: x["event_type"], R.group(lambda t: t, lambda t: t, R.count()), ("user_id", "by"))
+    return kinds.pairs().select("user_id", F.array_max(F.map_values("by")).alias("most"), F.size("by").cast("long").alias("kinds"))
 
 
 @query("SELECT user_id, string_agg(event_type, '' ORDER BY event_id) AS joined FROM events GROUP BY 1")
@@ -331,9 +350,9 @@ def power_and_subsets(spark, sf):
 # -- windows ------------------------------------------------------------------------------------------
 
 
-@query("SELECT (event_id - 7) // 100 AS win_id, count(*) AS n FROM events WHERE event_id >= 7 GROUP BY 1 UNION ALL SELECT 0, 0 WHERE false")
+@query("SELECT (event_id - 7) // 100 AS win_id, count(*) AS n FROM events GROUP BY 1")
 def tumbling_count(spark, sf):
-    return W.tumbling(read(spark, sf, "events").where("event_id >= 7"), F.col("event_id"), 100, F.count("*").alias("n"), offset=7)
+    return W.tumbling(read(spark, sf, "events"), F.col("event_id"), 100, F.count("*").alias("n"), offset=7)
 
 
 @query("SELECT event_id // 50 - s AS win_id, count(*) AS n FROM events, (SELECT unnest(range(0, 5)) AS s) GROUP BY 1")
@@ -371,19 +390,20 @@ def union_distinct(spark, sf):
 
 @query("SELECT k AS item FROM (SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier)")
 def bag_difference(spark, sf):
-    return read(spark, sf, "customer").select(F.col("c_nationkey").alias("item")).exceptAll(read(spark, sf, "supplier").select("s_nationkey"))
+    a, b = Series.of(read(spark, sf, "customer"), "c_nationkey", "c_custkey"), Series.of(read(spark, sf, "supplier"), "s_nationkey", "s_suppkey")
+    return a.bag_difference(b)
 
 
-@query("SELECT c_nationkey AS item FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_nationkey < 12")
+@query("SELECT c_nationkey AS item FROM customer EXCEPT SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey AND r_name = 'ASIA'")
 def set_difference(spark, sf):
-    return read(spark, sf, "customer").select(F.col("c_nationkey").alias("item")).subtract(read(spark, sf, "supplier").where("s_nationkey < 12").select("s_nationkey"))
+    asia = read(spark, sf, "nation").join(read(spark, sf, "region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return Series.of(read(spark, sf, "customer"), "c_nationkey", "c_custkey").set_difference(Series.of(asia, "n_nationkey", "n_nationkey"))
 
 
 @query("SELECT k AS item, sum(s)::BIGINT AS weight FROM (SELECT c_nationkey AS k, 1 AS s FROM customer UNION ALL SELECT s_nationkey, -1 FROM supplier) GROUP BY k HAVING sum(s) <> 0")
 def signed_bag(spark, sf):
-    plus = read(spark, sf, "customer").select(F.col("c_nationkey").alias("item"), F.lit(1).alias("s"))
-    minus = read(spark, sf, "supplier").select(F.col("s_nationkey").alias("item"), F.lit(-1).alias("s"))
-    return plus.unionAll(minus).groupBy("item").agg(F.sum("s").alias("weight")).where("weight <> 0")
+    a, b = Series.of(read(spark, sf, "customer"), "c_nationkey", "c_custkey"), Series.of(read(spark, sf, "supplier"), "s_nationkey", "s_suppkey")
+    return a.weights(b)
 
 
 # -- mappings ---------------------------------------------------------------------------------------------
@@ -474,7 +494,9 @@ def rel_theta_lt(spark, sf):
 
 @query("SELECT c_custkey AS cust FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)")
 def rel_member(spark, sf):
-    return read(spark, sf, "customer").join(read(spark, sf, "supplier").select("s_nationkey"), F.col("c_nationkey") == F.col("s_nationkey"), "left_semi").select(F.col("c_custkey").alias("cust"))
+    cust, nation, unit = L.var("cust"), L.var("nation"), L.value(0)
+    held = L.Relation.of_collection(read(spark, sf, "supplier").select("s_nationkey").distinct(), "s_nationkey")
+    return L.run(spark, [cust], [L.Clause(cust, _rel(spark, sf, "customer", "c_custkey", "c_nationkey"), nation), L.Clause(unit, held, nation)])
 
 
 @query("SELECT c_name AS name, o_orderkey AS post, o_orderdate AS date FROM customer JOIN orders ON o_custkey = c_custkey")
@@ -527,7 +549,7 @@ def cross_product(spark, sf):
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def anti_join(spark, sf):
     big = read(spark, sf, "orders").where("o_totalprice > 300000").select("o_custkey")
-    return read(spark, sf, "customer").join(big, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return Mapping(read(spark, sf, "customer"), "c_custkey", "c_name").remove(big.select(F.col("o_custkey").alias("c_custkey"))).keys()
 
 
 # -- ranges ---------------------------------------------------------------------------------------------------
@@ -577,26 +599,39 @@ def struct_equality(spark, sf):
     return read(spark, sf, "orders").agg(F.sum(C.structural_equal(shape, a, b).cast("long")).alias("same"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, (l_orderkey + l_partkey * 2 - 5) AS a, (l_orderkey - 100) // 7 AS q, (l_orderkey - 100) % 7 AS r FROM lineitem WHERE l_orderkey >= 100")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, (l_orderkey + l_partkey * 2 - 5) AS a, (l_orderkey - 100) // 7 AS q, (l_orderkey - 100) % 7 AS r FROM lineitem")
 def scalar_arith(spark, sf):
-    df = read(spark, sf, "lineitem").where("l_orderkey >= 100")
-    return df.select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_orderkey") + F.col("l_partkey") * 2 - 5).alias("a"), F.expr("(l_orderkey - 100) div 7").alias("q"), F.expr("(l_orderkey - 100) % 7").alias("r"))
+    from cairn.lang.builtins import BUILTINS
+
+    op = lambda name, a, b: BUILTINS[name][1](a)(b)
+    key, less = F.col("l_orderkey"), op("-", F.col("l_orderkey"), 100)
+    a = op("-", op("+", key, op("*", F.col("l_partkey"), 2)), 5)
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", a.alias("a"), op("/", less, 7).alias("q"), op("mod", less, 7).alias("r"))
 
 
 @query("SELECT o_orderkey, o_orderkey < o_custkey AS lt, o_orderkey >= o_custkey AS ge, o_orderstatus = 'F' AND NOT (o_custkey > 50) AS both FROM orders")
 def scalar_compare(spark, sf):
+    from cairn.lang.builtins import BUILTINS
+
+    op = lambda name, a, b: BUILTINS[name][1](a)(b)
     o, c = F.col("o_orderkey"), F.col("o_custkey")
-    return read(spark, sf, "orders").select(o, (o < c).alias("lt"), (o >= c).alias("ge"), ((F.col("o_orderstatus") == "F") & ~(c > 50)).alias("both"))
+    both = op("and", BUILTINS["equal"][1](None)(F.col("o_orderstatus"))("F"), BUILTINS["not"][1](op(">", c, 50)))
+    return read(spark, sf, "orders").select(o, op("<", o, c).alias("lt"), op(">=", o, c).alias("ge"), both.alias("both"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS size FROM part")
 def scalar_if(spark, sf):
-    return read(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") > 25, "big").otherwise("small").alias("size"))
+    from cairn.lang.builtins import if_then_else
+
+    return read(spark, sf, "part").select("p_partkey", if_then_else(F.col("p_size") > 25, lambda _: "big", lambda _: "small").alias("size"))
 
 
 @query("SELECT p_partkey, p_brand || '/' || p_type AS joined FROM part")
 def scalar_concat(spark, sf):
-    return read(spark, sf, "part").select("p_partkey", F.concat("p_brand", F.lit("/"), "p_type").alias("joined"))
+    from cairn.lang.builtins import BUILTINS
+
+    join = lambda a, b: BUILTINS["++"][1](a)(b)
+    return read(spark, sf, "part").select("p_partkey", join(join(F.col("p_brand"), "/"), F.col("p_type")).alias("joined"))
 
 
 # -- changelogs -----------------------------------------------------------------------------------------------------
@@ -627,11 +662,7 @@ def changelog_net_count(spark, sf):
 
 def _streamed(spark: SparkSession, build, sf: str) -> DataFrame:
     """Runs a stream over what is there, into a table in a fresh folder, and reads that."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    where = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    where = scratch(spark, "stream")
 
     def write(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{where}/value")

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from cairn.plans import operator_queries  # noqa: F401  (registers its queries)
 from cairn.plans.driver_queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -20,7 +21,7 @@ def db():
 
 
 def norm(rows):
-    fix = lambda v: round(v, 6) if isinstance(v, float) and not math.isnan(v) else v
+    fix = lambda v: round(v, 6) if isinstance(v, float) and not math.isnan(v) else tuple(v) if isinstance(v, list) else v
     return sorted((tuple(fix(v) for v in r) for r in rows), key=repr)
 
 
