@@ -128,11 +128,22 @@ def mapped(df: DataFrame, start: Callable[[], Callable], new: dict[str, str], ke
     return df.mapInArrow(run, fields)
 
 
-def with_text(changed: DataFrame, documents: DataFrame) -> DataFrame:
-    """documents' columns, with text and n_chars taken from __text and __n where these aren't null."""
-    new = {"text": F.coalesce("__text", "text")}
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def with_text(changed: DataFrame, documents: DataFrame, text: str, n: str) -> DataFrame:
+    """documents' columns, with text and n_chars taken from the columns text and n where these aren't null."""
+    new = {"text": F.coalesce(text, "text")}
     if "n_chars" in documents.columns:
-        new["n_chars"] = F.coalesce(F.col("__n").cast(documents.schema["n_chars"].dataType), "n_chars")
+        new["n_chars"] = F.coalesce(F.col(n).cast(documents.schema["n_chars"].dataType), "n_chars")
     return changed.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in documents.columns])
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import segments
-from cairn.llm.common import drop, mapped, shared_dir, small_batches, stored, table, tidy, with_text
+from cairn.llm.common import drop, fresh, mapped, shared_dir, small_batches, stored, table, tidy, with_text
 
 WINDOW = 13
 SHARD = 1_000_000
@@ -350,24 +350,25 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, where: str | None =
     """
     spark = documents.sparkSession
     where = where or shared_dir(spark)
-    numbered = documents.withColumn("__row", F.monotonically_increasing_id())
-    shards = index(numbered.select(F.col("__row").alias("id"), "text"), f"{where}/index")
-    hits = stored(find(shards, benchmark, where).where(F.size("hit_spans") > 0).select(F.col("id").alias("__row"), F.col("hit_spans").alias("__spans")), f"{where}/spans")
+    row, spans, new, chars = fresh(documents, "__row", "__spans", "__text", "__n")
+    numbered = documents.withColumn(row, F.monotonically_increasing_id())
+    shards = index(numbered.select(F.col(row).alias("id"), "text"), f"{where}/index")
+    hits = stored(find(shards, benchmark, where).where(F.size("hit_spans") > 0).select(F.col("id").alias(row), F.col("hit_spans").alias(spans)), f"{where}/spans")
     drop(spark, f"{where}/index")
 
     def start() -> Callable:
         def each(batch: pa.RecordBatch) -> tuple[dict, list[bool]]:
             out, keep = [], []
-            for t, s in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist()):
-                new = cut(t, s) if s else None
-                out.append(new)
-                keep.append(new is None or bool(words(new)))
-            return {"__text": out, "__n": [None if t is None else len(t) for t in out]}, keep
+            for t, s in zip(batch.column("text").to_pylist(), batch.column(spans).to_pylist()):
+                edited = cut(t, s) if s else None
+                out.append(edited)
+                keep.append(edited is None or bool(words(edited)))
+            return {new: out, chars: [None if t is None else len(t) for t in out]}, keep
 
         return each
 
-    edited = mapped(numbered.join(hits, "__row", "left"), start, {"__text": "string", "__n": "long"}, documents.columns)
-    return with_text(edited, documents)
+    edited = mapped(numbered.join(hits, row, "left"), start, {new: "string", chars: "long"}, documents.columns)
+    return with_text(edited, documents, new, chars)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm import segments
-from cairn.llm.common import ascii_words, mapped, release, shared_dir, small_batches, stored, table
+from cairn.llm.common import ascii_words, fresh, mapped, release, shared_dir, small_batches, stored, table
 from cairn.llm.segments import mix
 
 SLOTS, ROWS = 200, 5
@@ -327,15 +327,16 @@ def keep_one(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
     (Null sorts first; rows that agree in doc_id and text are told apart by their other columns' hash.) Rows with a
     null doc_id can't be told apart and all stay.
     """
+    ids, rows, one = fresh(documents, "__kept_id", "__kept_rows", "__kept")
     found = near_duplicates(documents, shingle, percent)
-    kept = found.where("kept").groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count("*").alias("__kept_rows"))
+    kept = found.where("kept").groupBy(F.col("doc_id").alias(ids)).agg(F.count("*").alias(rows))
     kept = stored(kept, f"{shared_dir(documents.sparkSession)}/kept")
     columns = documents.columns
-    named = documents.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("__kept_id"))
-    once = named.where("__kept_rows = 1").select(*columns)
+    named = documents.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col(ids))
+    once = named.where(F.col(rows) == 1).select(*columns)
     plain = [f.name for f in documents.schema if not isinstance(f.dataType, T.MapType)]
     first = F.min_by(F.struct(*columns), F.struct("text", F.xxhash64(*plain)))
-    several = named.where("__kept_rows > 1").groupBy("doc_id").agg(first.alias("__kept")).select("__kept.*")
+    several = named.where(F.col(rows) > 1).groupBy("doc_id").agg(first.alias(one)).select(f"{one}.*")
     return once.unionByName(several).unionByName(documents.where("doc_id IS NULL"))
 
 

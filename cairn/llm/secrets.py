@@ -2,8 +2,9 @@
 
 Candidates are values assigned to a credential-like name, strings with a provider's prefix,
 private key headers, and long unbroken runs of key characters. Each is described by its length,
-the transitions between its character classes, how much of it dictionary words cover, the
-path (the document's source) it was found in, and the words before and after it. A forest of
+the transitions between its character classes, how much of it dictionary words cover (whole words of a
+public vocabulary file, and words that placeholders are made of), the path (the document's source) it was found in, and the
+words before and after it: whether they name credentials or hashes, how many there are and how many are in the dictionary. A forest of
 trees, trained from labelled findings, keeps the candidates that look like secrets.
 
 The labelled findings are made by rule from a seed: true ones by sampling the alphabets that
@@ -17,6 +18,7 @@ counts as an ordinary one; other extra columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import math
 import random
 import re
@@ -24,12 +26,13 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cache
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import tree
-from cairn.llm.common import mapped, small_batches, table, with_text
+from cairn.llm.common import fresh, mapped, small_batches, table, with_text
 
 # Names, prefixes, words.
 NAMES = r"(?:api|app|access|auth|client|consumer|encryption|master|private|secret|session|signing|webhook)[_-]?(?:key|secret|token|id)|passw(?:or)?d|passwd|pwd|passphrase|secret|token|bearer|credentials?"
@@ -38,14 +41,17 @@ HEADER = r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:[^-]*-----END (?:[A-Z]+ )?P
 COMMON = "able account admin after api app auth change changeme client code config data default demo dummy enter example fake file foo bar for from here host http https info insert key license local mail main mock name none null number page pass password placeholder public put redacted release replace sample secret server string sub test the this todo token user value version was with world www xxx xxxx your com org net".split()
 PLACEHOLDER = re.compile(r"(?i)x{4,}|\*{3,}|\.{3,}|<[^<>]*>|\$\{|\{\{|%\(|example|changeme|placeholder|your[_-]|dummy|redacted|sample|1234567|abcdef|process\.env|os\.environ|getenv")
 SECRET_WORD = re.compile(rf"(?i)(?:{NAMES})")
-_COVER = re.compile("|".join(sorted((w for w in COMMON if len(w) > 2), key=len, reverse=True)))
 HASH_WORD = re.compile(r"(?i)\b(?:commit|sha\d*|md5|checksum|hash|digest|revision|uuid|guid|etag|build|version|isbn|order|invoice|doi|serial|integrity)\b")
+CONFIG_PATH = re.compile(r"(?i)\.(?:env|ya?ml|json|toml|ini|cfg|conf|properties|tfvars?|sh|pem|key)$|config|settings|deploy|secret|credential")
 TEST_PATH = re.compile(r"(?i)test|spec|fixture|example|sample|doc|mock|demo|vendor|node_modules|lock")
 
 _CANDIDATE = re.compile(rf"(?P<header>{HEADER})|(?P<prefixed>(?<![A-Za-z0-9_-])(?:{'|'.join(PREFIXED)}))|(?P<name>(?i:{NAMES}))[\"']?[ \t]{{0,4}}(?:[:=]|=>|:=)[ \t]{{0,4}}[\"']?(?P<assigned>[^\s\"'<>,;]{{8,}})|(?P<run>(?<![A-Za-z0-9+/=_.@-])[A-Za-z0-9+/_-]{{24,}}={{0,2}}(?![A-Za-z0-9@]))")
 #: A text without any of these can't hold a candidate; searching for this first is much cheaper.
 _QUICK = re.compile(r"(?i)[A-Za-z0-9+/_-]{16}|xox[abeprs]-|eyJ|[:=]>?[ \t]{0,4}[\"']?[^\s\"'<>,;]{8}|-----BEGIN")
-FEATURES = ("length", "lower_digit", "upper_lower", "same_class", "distinct", "entropy", "digits", "upper", "hex_only", "pairs", "dictionary", "vowels", "placeholder", "prefixed", "assigned", "header", "secret_word", "hash_word", "test_path", "word_neighbours")
+#: The vocabulary whose whole words are the dictionary.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+SHORTEST, LONGEST = 5, 14
+FEATURES = ("length", "lower_digit", "upper_lower", "same_class", "distinct", "entropy", "digits", "upper", "hex_only", "pairs", "dictionary", "vowels", "placeholder", "prefixed", "assigned", "header", "secret_word", "hash_word", "test_path", "config_path", "path_depth", "neighbours", "known_neighbours")
 LABELS = 4000
 
 
@@ -53,10 +59,25 @@ def _class(c: str) -> int:
     return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
 
 
-def covered(value: str) -> float:
-    """The share of characters inside dictionary words of three letters and more."""
-    low = value.lower()
-    return sum(map(len, _COVER.findall(low))) / max(1, len(low))
+@cache
+def dictionary(path: str = VOCABULARY) -> frozenset[str]:
+    """The words of a vocabulary of tokens in base64: lower-case letters after a space, of SHORTEST letters and more."""
+    with open(path, "rb") as f:
+        tokens = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
+    words = (t[1:].decode("ascii", "replace") for t in tokens if t[:1] == b" ")
+    return frozenset(w for w in words if SHORTEST <= len(w) <= LONGEST and w.isascii() and w.isalpha() and w.islower()) | {w for w in COMMON if len(w) > 2}
+
+
+def covered(value: str, words: frozenset[str] | None = None) -> float:
+    """The share of characters inside dictionary words, each the longest that begins where it does."""
+    words, n = dictionary() if words is None else words, 0
+    for run in re.findall("[a-z]{3,}", value.lower()):
+        at = 0
+        while at < len(run) - 2:
+            size = next((k for k in range(min(LONGEST, len(run) - at), 2, -1) if run[at : at + k] in words), 0)
+            n += size
+            at += size or 1
+    return n / max(1, len(value))
 
 
 def features(value: str, kind: str, before: str, after: str, path: str | None) -> list[float]:
@@ -88,7 +109,10 @@ def features(value: str, kind: str, before: str, after: str, path: str | None) -
         float(bool(SECRET_WORD.search(before[-24:]))),
         float(bool(HASH_WORD.search(before[-24:]))),
         float(bool(path and TEST_PATH.search(path))),
+        float(bool(path and CONFIG_PATH.search(path))),
+        float(path.count("/")) if path else 0.0,
         float(len(near)),
+        sum(w.lower() in dictionary() for w in near) / max(1, len(near)),
     ]
 
 
@@ -99,7 +123,9 @@ def labelled(n: int = LABELS, seed: int = 17) -> list[tuple[str, str, str, str,
     pick = lambda alphabet, k: "".join(r.choice(alphabet) for _ in range(k))
     syllables = ["th", "on", "er", "ing", "an", "re", "tion", "st", "en", "ou", "le", "ver", "ha", "ea", "sch", "que", "ment", "ción", "eux", "ble"]
     word = lambda k: "".join(r.choice(syllables) for _ in range(k))
-    text = lambda: " ".join(word(r.randint(1, 4)) for _ in range(6)) + " "
+    known = sorted(dictionary())
+    # prose of the dictionary's words or of none
+    text = lambda: " ".join(r.choice(known) if real else word(r.randint(1, 4)) for real in [r.random() < 0.5] * 6) + " "
     name = lambda: r.choice(["password", "token", "secret", "api_key", "API_KEY", "access_token", "client_secret", "passwd", "auth_token", "secret-key"]) + r.choice([" = ", "=", ": ", " = \"", "=\"", ": \""])
     path = lambda: r.choice(["src1", "src7", "web", "src0", "config/settings.py", "deploy.env", "app/main.go"])
     tests = lambda: r.choice(["tests/test_auth.py", "docs/example.md", "fixtures/data.json"])
@@ -206,21 +232,22 @@ def redact(documents: DataFrame, path: str = "source", mask: str = "[SECRET]") -
     """documents with every finding replaced by mask; n_chars (if it is an integer) follows; all rows stay."""
     data = documents.sparkSession.sparkContext.broadcast(forest())
     where = F.col(path).cast("string") if path in documents.columns else F.lit(None).cast("string")
+    at, new, chars = fresh(documents, "__path", "__text", "__n")
 
     def start() -> Callable:
         def each(batch: pa.RecordBatch) -> dict:
             out = []
-            for t, p in zip(batch.column("text").to_pylist(), batch.column("__path").to_pylist()):
+            for t, p in zip(batch.column("text").to_pylist(), batch.column(at).to_pylist()):
                 found = scan(t, p, data.value)[1]
                 for start, end, *_ in reversed(found):
                     t = t[:start] + mask + t[end:]
                 out.append((t, len(t)) if found else (None, None))
-            return {"__text": [t for t, _ in out], "__n": [n for _, n in out]}
+            return {new: [t for t, _ in out], chars: [n for _, n in out]}
 
         return each
 
-    masked = mapped(documents.withColumn("__path", where), start, {"__text": "string", "__n": "long"}, documents.columns)
-    return with_text(masked, documents)
+    masked = mapped(documents.withColumn(at, where), start, {new: "string", chars: "long"}, documents.columns)
+    return with_text(masked, documents, new, chars)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
