@@ -3,6 +3,12 @@
 Each stage takes all documents that its predecessor kept, returns the columns of documents (the last one
 adds ids and digests), and is written to the shared folder before the next one reads it. No SQL
 can express the models of its stages; tests compare it with brute-force versions.
+
+Edge cases: null and empty texts and texts without letters go in the first stage, and so do texts whose words' languages are
+unsure; without any labelled document none goes. Of repeated rows with one doc_id the one whose text sorts first stays; rows
+without doc_id all stay, as they can't be told apart. Ties are settled by the smaller doc_id. Very long texts pass
+whole. A null n_chars stays null unless the text was changed. Extra columns stay, but for those that the last stage adds (ids, n_tokens,
+ids_sha256, decoded_sha256), which are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
