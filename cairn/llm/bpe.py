@@ -29,12 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import segments
-from cairn.llm.common import Recent, mapped, small_batches, table
+from cairn.llm.common import Recent, held, mapped, small_batches, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 LONGEST = 1024
 #: Bytes of the words contracted together, and ids decoded together.
-BATCH, DECODED = 1 << 18, 200_000
+BATCH, DECODED = 1 << 17, 200_000
 
 _ENCODE = """
 WITH RECURSIVE whole AS (
@@ -70,7 +70,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Coder:
     """most: the bytes of the cache."""
 
-    def __init__(self, ranks_path: str, pattern: str, most: int = 40 << 20):
+    def __init__(self, ranks_path: str, pattern: str, most: int = 32 << 20):
         import duckdb
         import regex
 
@@ -80,7 +80,7 @@ class Coder:
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{spaces}").replace(r"\s", f"[{spaces}]").replace(r"\S", f"[^{spaces}]"))
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         merges = [((self.ranks[t[:k]] << 32) | self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
         self._with("CREATE TABLE merges AS SELECT * FROM given", given=pa.table({"pair": pa.array([p for p, _ in merges], pa.int64()), "rank": pa.array([r for _, r in merges], pa.int64())}))
         self._with("CREATE TABLE tokens AS SELECT * FROM given", given=pa.table({"token": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
         self.pieces = Recent(most)
@@ -150,8 +150,8 @@ class Coder:
         distinct, which, at = segments.pieces(text)
         distinct = distinct.to_pylist()
         self.pieces.make_room()
-        for k in range(0, len(new := self.pieces.lacks(distinct)), 20_000):
-            self.learn(new[k : k + 20_000])
+        for k in range(0, len(new := self.pieces.lacks(distinct)), 10_000):
+            self.learn(new[k : k + 10_000])
         runs = [self.pieces[x] for x in distinct]
         size = np.array([len(r) for r in runs], np.int64) // 4
         ids, ends = segments.gather(np.frombuffer(b"".join(runs), "<u4"), np.cumsum(size) - size, size, which)
@@ -172,22 +172,15 @@ class Coder:
         return out
 
 
-_CODERS: dict[tuple[str, str], Coder] = {}
-
-
 def coder(ranks: str, pattern: str) -> Coder:
     """One for each worker process, kept from task to task."""
-    if (ranks, pattern) not in _CODERS:
-        _CODERS[ranks, pattern] = Coder(ranks, pattern)
-    return _CODERS[ranks, pattern]
+    return held((ranks, pattern), lambda: Coder(ranks, pattern))
 
 
 def encode(documents: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """documents' doc_id and text with ids (array<int>) and decoded (binary)."""
 
     def start() -> Callable:
-        from cairn.llm.bpe import coder
-
         code = coder(ranks, pattern)
 
         def each(batch: pa.RecordBatch) -> dict:
@@ -205,8 +198,6 @@ def digests(documents: DataFrame, ranks: str = RANKS, pattern: str = public_toke
     rows = (documents if keep else documents.select("doc_id", "text")).drop(*new)
 
     def start() -> Callable:
-        from cairn.llm.bpe import coder
-
         code = coder(ranks, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
 

@@ -65,7 +65,7 @@ def slots(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 
 
-def small_batches(spark: SparkSession, records: int = 2000, size: str = "4m") -> None:
+def small_batches(spark: SparkSession, records: int = 2000, size: str = "2m") -> None:
     """Bounds what a Python worker holds at a time, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
@@ -78,20 +78,35 @@ def _arrow(kind: str) -> pa.DataType:
     return pa.list_(_arrow(kind[6:-1])) if kind.startswith("array<") else _ARROW[kind]
 
 
+_HELD: dict[tuple, object] = {}
+_USED: set[tuple] = set()
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """What make() gives, kept by the worker from task to task as long as each task asks for it."""
+    _USED.add(key)
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def _tidied(run: Callable, batches: Iterator) -> Iterator:
+    _USED.clear()
+    try:
+        yield from run(batches)
+    finally:
+        for key in set(_HELD) - _USED:
+            del _HELD[key]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+
 def tidy(run: Callable) -> Callable:
     """A function of a task's batches that hands memory back to the system when it ends, as workers live on."""
-
-    @wraps(run)
-    def task(batches):
-        try:
-            yield from run(batches)
-        finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
-
-    return task
+    # _tidied is found by its name in the worker, so that it sees the worker's own _HELD
+    return wraps(run)(lambda batches: _tidied(run, batches))
 
 
 def mapped(df: DataFrame, start: Callable[[], Callable], new: dict[str, str], keep: Sequence[str] = (), together: int = 1) -> DataFrame:

@@ -34,7 +34,7 @@ from cairn.llm import segments
 from cairn.llm.common import drop, fresh, mapped, shared_dir, small_batches, stored, table, tidy, with_text
 
 WINDOW = 13
-SHARD = 1_000_000
+SHARD = 600_000
 SAMPLE = 16
 #: Occurrences located at a time.
 LOCATED = 1 << 20

@@ -46,7 +46,7 @@ LONGEST = 40
 _WORD = re.compile(rf"[^\W\d_{_SIGNS}]{{1,{LONGEST}}}")
 #: Characters whose words are looked up together, and batches judged side by side.
 SLICE = 1 << 20
-TOGETHER = 5
+TOGETHER = 10
 _U = np.uint64
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import segments
-from cairn.llm.common import Recent, mapped, shared_dir, small_batches, table, tidy
+from cairn.llm.common import Recent, held, mapped, shared_dir, small_batches, table, tidy
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
@@ -144,14 +144,9 @@ class Encoder:
         return [self._ids(text[k].as_py()) if special[k] else ids[a:b] for k, (a, b) in enumerate(zip(ends, ends[1:]))]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(vocabulary: str) -> Encoder:
     """One for each worker process, kept from task to task."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = Encoder(vocabulary)
-    return _ENCODERS[vocabulary]
+    return held((vocabulary,), lambda: Encoder(vocabulary))
 
 
 def write(documents: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, segment: int = SEGMENT) -> None:
@@ -161,15 +156,13 @@ def write(documents: DataFrame, path: str, vocabulary: str = VOCABULARY, end: in
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from cairn.llm.tokenstore import encoder, pack
-
         make, part, seq, first = encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
-        docs, runs, held = [], [], 0
+        docs, runs, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal docs, runs, held, seq, first
-            row = {"part": part, "seq": seq, "first": first, "n_tokens": held, "docs": docs, "lengths": [len(r) for r in runs], "codes": pack(np.concatenate(runs))}
-            seq, first, docs, runs, held = seq + 1, first + held, [], [], 0
+            nonlocal docs, runs, size, seq, first
+            row = {"part": part, "seq": seq, "first": first, "n_tokens": size, "docs": docs, "lengths": [len(r) for r in runs], "codes": pack(np.concatenate(runs))}
+            seq, first, docs, runs, size = seq + 1, first + size, [], [], 0
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
@@ -177,8 +170,8 @@ def write(documents: DataFrame, path: str, vocabulary: str = VOCABULARY, end: in
                 ids = np.append(got, np.uint32(end))
                 docs.append(doc)
                 runs.append(ids)
-                held += len(ids)
-                if held >= segment:
+                size += len(ids)
+                if size >= segment:
                     yield flush()
         if docs:
             yield flush()
