@@ -9,9 +9,13 @@ codes are chosen by coordinate descent on that loss and codewords solve its norm
 Every row is coded (two codes in a byte) and scanned: a query's table for two subspaces has 256
 sums, and a row's score is a sum of one table entry a byte. The best ``candidates`` rows of a
 block, with all ties, are reranked by the exact distance in double precision. Queries are a
-stated set and go over all rows in blocks of at most ``query_block``; only such a block is broadcast.
+stated set and go over the rows in blocks of at most ``query_block``; only such a block is broadcast.
 The codebook is trained on at most ``sample`` rows, those with the smallest hash of their vec_id.
 
+Rows are dealt to coarse cells around centres found on the same sample, and a query reads its nearest cells only: as many as hold COVERED of the
+true neighbours of some rows of the sample. Vectors without clusters need most cells; then there are none, and a query reads
+all rows, as it does with ``exact_cells=True``. Queries are put in blocks by their nearest cells, so a block reads few partitions.
+
 Edge cases: vectors that are null, zero, empty, or have null or non-finite components take no part, nor do rows
 without vec_id. Vectors of each length have an index of their own, and only those of a query's length are its candidates.
 Repeated vec_ids: a query counts once, with the shortest and then smallest of its vectors; rows with its own vec_id are not its candidates. Ties go to the smaller vec_id.
@@ -123,21 +127,68 @@ def lengths(rows: DataFrame) -> list[int]:
     return sorted(r[0] for r in rows.select("n").distinct().collect())
 
 
-def index(rows: DataFrame, dim: int, where: str, sample: int = 20_000) -> tuple[DataFrame, Codebook]:
-    """Codes of all usable rows of a length (id, vector, code), and the codebook."""
+def index(rows: DataFrame, dim: int, where: str, sample: int = 20_000, k: int = 10, exact_cells: bool = False) -> tuple[DataFrame, Codebook, Cells | None]:
+    """Codes of all usable rows of a length (id, vector, code, cell), the codebook, and the cells."""
     rows = rows.where(F.col("n") == dim).select("id", "v")
     some = rows.select("id", "v", F.xxhash64("id").alias("k")).orderBy("k", "id").limit(sample).collect()
-    book = train(np.array([r["v"] for r in some], np.float64))
+    seen = np.array([r["v"] for r in some], np.float64)
+    book, cells = train(seen), None if exact_cells else coarse(seen, k)
 
     def start() -> Callable:
         def each(batch: pa.RecordBatch) -> dict:
             v = batch.column("v")
             x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), dim)
-            return {"code": [c.tobytes() for c in packed(book.codes(lift(x)))] if len(batch) else []}
+            if not len(batch):
+                return {"code": [], "cell": []}
+            return {"code": [c.tobytes() for c in packed(book.codes(lift(x)))], "cell": np.zeros(len(batch), int) if cells is None else cells.near(x, 1)[:, 0]}
 
         return each
 
-    return stored(mapped(rows, start, {"code": "binary"}, ["id", "v"]), where), book
+    coded = mapped(rows, start, {"code": "binary", "cell": "int"}, ["id", "v"])
+    if cells is None:
+        return stored(coded, where), book, None
+    # a large cell is several files
+    coded.repartitionByRange("cell", "id").write.partitionBy("cell").parquet(where)
+    return rows.sparkSession.read.parquet(where), book, cells
+
+
+COVERED = 0.995
+
+
+class Cells:
+    """Coarse centres, and how many of the nearest ones a query reads."""
+
+    def __init__(self, centres: np.ndarray, probes: int):
+        self.centres, self.probes = centres, probes
+
+    def near(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The n nearest cells of each vector, nearest first."""
+        d = (self.centres * self.centres).sum(1) - 2 * x.astype(np.float64) @ self.centres.T
+        return np.argsort(d, axis=1, kind="stable")[:, :n]
+
+
+def coarse(x: np.ndarray, k: int, seed: int = 11) -> Cells | None:
+    """Cells of a sample; none if a query would have to read over half of them, or if the sample is small."""
+    n = min(256, len(x) // 64)
+    if n < 8:
+        return None
+    x, rng = x.astype(np.float64), np.random.default_rng(seed)
+    cells = Cells(x[rng.choice(len(x), n, replace=False)].copy(), n)
+    for _ in range(8):
+        own = cells.near(x, 1)[:, 0]
+        sums = np.zeros_like(cells.centres)
+        np.add.at(sums, own, x)
+        count = np.bincount(own, minlength=n)
+        cells.centres[count > 0] = sums[count > 0] / count[count > 0, None]
+    own = cells.near(x, 1)[:, 0]
+    asked = rng.choice(len(x), min(200, len(x)), replace=False)
+    d = (x * x).sum(1)[None, :] - 2 * x[asked] @ x.T
+    d[np.arange(len(asked)), asked] = np.inf
+    found = own[np.argpartition(d, k, axis=1)[:, :k]]
+    # the place of each true neighbour's cell in its query's order of cells
+    place = np.argsort(cells.near(x[asked], n), axis=1)[np.arange(len(asked))[:, None], found]
+    cells.probes = int(np.sort(place.ravel())[min(place.size - 1, int(np.ceil(COVERED * place.size)))]) + 1
+    return cells if 2 * cells.probes <= n else None
 
 
 def scan(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, tables: np.ndarray, k: int, candidates: int) -> tuple[list, list, list]:
@@ -162,7 +213,7 @@ def scan(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, query_ids: np.ndarra
     return out_q, out_i, out_d
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, candidates: int = 400, sample: int = 20_000, query_block: int = 4096, where: str | None = None) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, candidates: int = 400, sample: int = 20_000, query_block: int = 4096, where: str | None = None, exact_cells: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest; queries and vectors have vec_id, embedding."""
     spark = vectors.sparkSession
     where = where or shared_dir(spark)
@@ -173,22 +224,35 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, candidates: int
     # a query counts once, whatever vectors stand under its id
     asked = stored(asked.groupBy("id").agg(F.min(F.struct("n", "v")).alias("q")).select("id", "q.n", "q.v"), f"{where}/queries")
     for dim in lengths(asked):
-        coded, book = index(rows, dim, f"{where}/codes{dim}", sample)
-        block: list = []
-        for r in asked.where(F.col("n") == dim).select("id", "v").toLocalIterator():
-            block.append((r[0], r[1]))
-            if len(block) == query_block:
-                _search(coded, book, block, dim, k, candidates).write.mode("append").parquet(f"{where}/near")
-                block = []
-        if block:
-            _search(coded, book, block, dim, k, candidates).write.mode("append").parquet(f"{where}/near")
+        coded, book, cells = index(rows, dim, f"{where}/codes{dim}", sample, k, exact_cells)
+        own = asked.where(F.col("n") == dim).select("id", "v")
+        if cells is not None:
+            # queries of one cell together
+            nearest = lambda batch: {"cell": cells.near(np.array(batch.column("v").to_pylist(), np.float64), 1)[:, 0] if len(batch) else []}
+            own = stored(mapped(own, lambda: nearest, {"cell": "int"}, ["id", "v"]).orderBy("cell", "id"), f"{where}/asked{dim}").orderBy("cell", "id")
+        for block in _blocks(own, query_block):
+            _search(coded, book, cells, block, dim, k, candidates).write.mode("append").parquet(f"{where}/near")
     near = spark.read.schema(schema).parquet(f"{where}/near").distinct()
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(coded: DataFrame, book: Codebook, block: list, dim: int, k: int, candidates: int) -> DataFrame:
+def _blocks(queries: DataFrame, size: int) -> Iterator[list]:
+    block: list = []
+    for r in queries.toLocalIterator():
+        block.append((r["id"], r["v"]))
+        if len(block) == size:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def _search(coded: DataFrame, book: Codebook, cells: Cells | None, block: list, dim: int, k: int, candidates: int) -> DataFrame:
     """The k nearest rows of each block of rows for each query of the block."""
+    if cells is not None:
+        probed = cells.near(np.array([r[1] for r in block], np.float64), cells.probes)
+        coded = coded.where(F.col("cell").isin(np.unique(probed).tolist()))
     data = coded.sparkSession.sparkContext.broadcast((np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block], np.float64)))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -201,9 +265,16 @@ def _search(coded: DataFrame, book: Codebook, block: list, dim: int, k: int, can
         def flush() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held).combine_chunks()
             held.clear()
+            row_ids, cell = rows["id"].to_numpy(), rows["cell"].to_numpy()
             x = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), dim)
             codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(rows), -1)
-            return pa.RecordBatch.from_pydict(dict(zip(schema.names, scan(rows["id"].to_numpy(), x, codes, ids, q, tables, k, candidates))), schema)
+            out: tuple[list, list, list] = ([], [], [])
+            for c in np.unique(cell) if cells is not None else [None]:
+                own = slice(None) if c is None else np.flatnonzero(cell == c)
+                by = slice(None) if c is None else np.flatnonzero((probed == c).any(1))
+                for all_, some in zip(out, scan(row_ids[own], x[own], codes[own], ids[by], q[by], tables[by], k, candidates)):
+                    all_ += some
+            return pa.RecordBatch.from_pydict(dict(zip(schema.names, out)), schema)
 
         for batch in batches:
             held.append(batch)

@@ -559,6 +559,24 @@ def test_nearest_recall_with_few_candidates(spark):
     assert len(got) == 400 and hit / 400 >= 0.9
 
 
+def test_nearest_reads_few_cells_of_clustered_vectors(spark, tmp_path):
+    """40 clusters: recall against brute force, over a small part of the rows; the same with all cells."""
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(40, 32)) * 8
+    x = (centres[r.integers(0, 40, 8000)] + r.normal(size=(8000, 32))).astype(np.float32)
+    v = spark.createDataFrame([(i, row) for i, row in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    cells = ann.coarse(x, 10)
+    assert cells is not None and 2 * cells.probes <= len(cells.centres)
+    for exact in (False, True):
+        got, hit = ann.search(v, v.where("vec_id % 100 = 0"), query_block=30, exact_cells=exact, where=f"file://{tmp_path}/{exact}").collect(), 0
+        for q in range(0, 8000, 100):
+            d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+            d[q] = np.inf
+            hit += len(set(np.argsort(d)[:10].tolist()) & {g.vec_id for g in got if g.query_id == q})
+        assert len(got) == 800 and hit / 800 >= 0.95
+    assert ann.coarse(r.normal(size=(4000, 64)), 10) is None
+
+
 def test_nearest_repeated_queries_lengths_and_clashing_columns(spark):
     schema = "vec_id long, embedding array<double>, id string, v int, score string, rank int"
     rows = [(0, [1.0, 0.0], "a", 1, "s", 7), (0, [0.0, 9.0], "a", 1, "s", 7), (1, [0.5, 0.0], "a", 1, "s", 7), (1, [2.0, 0.0], "a", 1, "s", 7), (2, [1.0, 0.0, 0.0], "a", 1, "s", 7), (3, [1.0, 0.0, 1.0], "b", 2, None, None), (100, [0.0, 0.0, 2.0], "c", 3, None, None), (LARGE, [0.0, 8.0], "c", 3, None, None), (200, [3.0], "c", 3, None, None)]
