@@ -12,11 +12,25 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_chunks(spark: SparkSession, path: str, size: int = 1024) -> DataFrame:
-    """(path, chunk number, bytes): pieces of size bytes, the last one shorter."""
-    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    n = F.ceil(F.length("content") / size).cast("int")
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return whole.select("path", "content", F.explode(at).alias("chunk_no")).select("path", "chunk_no", F.expr(f"substring(content, chunk_no * {size} + 1, {size})").alias("chunk"))
+    """(path, chunk number, bytes): pieces of size bytes, the last one shorter.
+
+    A file is cut where it is read, a few thousand pieces at a time, so it isn't copied into each of them. A file is one
+    row of the source and so at most 2 GB.
+    """
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                data = memoryview(content.as_buffer())
+                for first in range(0, len(data), 4096 * size):
+                    cuts = range(first, min(first + 4096 * size, len(data)), size)
+                    chunks = [bytes(data[k : k + size]) for k in cuts]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(chunks)), pa.array([k // size for k in cuts], pa.int64()), pa.array(chunks, pa.binary())], ["path", "chunk_no", "chunk"])
+
+    return whole.mapInArrow(run, "path string, chunk_no long, chunk binary")
 
 
 def file_split(spark: SparkSession, path: str, char: str) -> DataFrame:

@@ -41,9 +41,20 @@ def group_updates(df: DataFrame, key: str, pos: str, running: Callable[[], Colum
 
 
 def running_counts(moves: DataFrame) -> DataFrame:
-    """Consumes moves in order: the count of each value after each of its moves."""
-    w = Window.partitionBy("value").orderBy("pos", "step", "key").rowsBetween(Window.unboundedPreceding, 0)
-    return moves.select("pos", "step", "value", F.sum("sign").over(w).alias("count"))
+    """Consumes moves in order: the count of each value after each of its moves.
+
+    A value's moves are dealt to ranges of positions, so a frequent value is the work of many tasks; what a
+    value's ranges before come to (a row for each value and range) is added.
+    """
+    from cairn.operators.series import PART, Series
+
+    rows = Series(moves.select("pos", "step", "key", "value", "sign"), "sign", "pos")._ranged()
+    own = Window.partitionBy("value", PART).orderBy("pos", "step", "key").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("value").orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("value", PART).agg(F.sum("sign").alias("_sum")).select(F.col("value").alias("_value"), F.col(PART).alias("_range"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    counted = rows.withColumn("_own", F.sum("sign").over(own))
+    joined = counted.join(base, F.col("value").eqNullSafe(F.col("_value")) & (F.col(PART) == F.col("_range")))
+    return joined.select("pos", "step", "value", (F.col("_own") + F.col("_base")).alias("count"))
 
 
 def stateful(
