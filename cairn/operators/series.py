@@ -9,6 +9,7 @@ joined back. ``partition_by`` gives independent series per key instead.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,6 +21,12 @@ PART = "_part"
 Fn = Callable[[Column], Column]
 
 
+def _unfolded(state, step: Callable, done: Callable):
+    while not done(state):
+        state, item = step(state)
+        yield item
+
+
 def _literal(value, kind: T.DataType) -> Column:
     if isinstance(kind, T.StructType):
         if value is None:
@@ -79,6 +86,27 @@ class Series:
         one = spark.range(1).select(F.posexplode(iterate(n, step, start)).alias(POS, "item"))
         return Series(one.withColumn(POS, F.col(POS).cast("long")), "item")
 
+    @staticmethod
+    def of_generator(spark: SparkSession, seed, step: Callable, done: Callable, type_: str) -> Series:
+        """Unfolds (next state, item) = step(state) until done(state), in one task as each item needs the last.
+
+        Items are made as they are read: take() of an endless series ends.
+        """
+        return Series.of_source(spark, lambda: _unfolded(seed, step, done), type_)
+
+    @staticmethod
+    def of_source(spark: SparkSession, read: Callable, type_: str) -> Series:
+        """The items of the iterable that read() gives, in its order; read() is called by a task."""
+
+        def run(batches):
+            import pandas as pd
+
+            for _ in batches:
+                for k, some in enumerate(itertools.batched(read(), 1024)):
+                    yield pd.DataFrame({POS: range(1024 * k, 1024 * k + len(some)), "item": list(some)})
+
+        return Series(spark.range(0, 1, 1, 1).mapInPandas(run, f"{POS} long, item {type_}"), "item")
+
     # -- plumbing ----------------------------------------------------------
     def _with(self, df: DataFrame) -> Series:
         return Series(df, self.item, self.pos)

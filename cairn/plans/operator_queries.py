@@ -14,7 +14,7 @@ from cairn.operators import relation as L
 from cairn.operators.mapping import Mapping
 from cairn.operators.series import Series
 from cairn.plans.driver_queries import _rel, _source, _streamed, events, query, read, scratch
-from cairn.sources import files, sinks
+from cairn.sources import files, sinks, stores
 from cairn.sources.keyvalue import KeyValue, loaded_struct, stored_struct
 from cairn.streaming import changelog as S
 
@@ -130,6 +130,19 @@ def key_paths(spark, sf):
     return read(spark, sf, "part").select("p_partkey", joined(K.first_index(F.array(F.lit("a")))).alias("first"), joined(K.next_index(path)).alias("next"), joined(suffix).alias("suffix"))
 
 
+@query("SELECT sum(o_custkey)::BIGINT AS total, count(*) AS n FROM orders")
+def state_stores(spark, sf):
+    """A fold in three steps, whose pair of states is loaded before each and saved after it."""
+    total, n = stores.file_store(spark, scratch(spark, "total"), 0), stores.key_store(KeyValue(spark, scratch(spark, "kv")), "n", 0)
+    rows = read(spark, sf, "orders")
+    for step in range(3):
+        held = stores.product(total, n)
+        a, b = held.load()
+        r = rows.where(F.col("o_orderkey") % 3 == step).agg(F.sum("o_custkey").alias("a"), F.count("*").alias("b")).first()
+        held.save((a + (r["a"] or 0), b + r["b"]))
+    return spark.createDataFrame([stores.product(total, n).load()], "total long, n long")
+
+
 # -- sinks -------------------------------------------------------------------------------------------
 
 
@@ -209,6 +222,18 @@ def bounded_generator(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", F.size(xs).cast("long").alias("items"), R.sum_().over_array(xs).alias("total"))
 
 
+@query("SELECT range AS pos, range * (range + 1) // 2 AS item FROM range(0, 30)")
+def generated_series(spark, sf):
+    """An endless series of which 30 items are taken."""
+    s = Series.of_generator(spark, (0, 1), lambda s: ((s[0] + s[1], s[1] + 1), s[0]), lambda s: False, "long").take(30)
+    return s.df.select(F.col("_pos").alias("pos"), "item")
+
+
+@query("SELECT count(*) AS n FROM range(4000)")
+def series_of_a_source(spark, sf):
+    return Series.of_source(spark, lambda: (f"line {k}" for k in range(4000)), "string").length().toDF("n")
+
+
 # -- series ------------------------------------------------------------------------------------------------
 
 

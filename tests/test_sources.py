@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import keypaths as K
 from cairn.lang.interpreter import Session
-from cairn.sources import ingest, sinks
+from cairn.sources import ingest, sinks, stores
 from cairn.sources.keyvalue import KeyValue
 
 
@@ -78,6 +78,19 @@ def test_topics_go_on_behind_the_last_batch(spark, tmp_path):
     assert sorted(seen) == ["a", "b", "c"]
 
 
+def test_stores(spark, tmp_path):
+    a, b = stores.file_store(spark, f"file://{tmp_path}/a", {"n": 0}), stores.key_store(KeyValue(spark, f"file://{tmp_path}/kv"), "b", [])
+    pair = stores.product(a, stores.combine(b, stores.unit(5)))
+    assert pair.load() == ({"n": 0}, [[], 5])
+    pair.save(({"n": 3}, [[1, 2], 9]))
+    assert pair.load() == ({"n": 3}, [[1, 2], 5])
+    copy = stores.file_store(spark, f"file://{tmp_path}/copy", None)
+    stores.both(a.project(lambda s: s["n"], lambda n: {"n": n}), copy).save(8)
+    assert a.load() == {"n": 8} and copy.load() == 8
+    (tmp_path / "a").rename(tmp_path / "a.next")  # a save that was interrupted before its last step
+    assert a.load() == {"n": 8}
+
+
 def test_kafka_options():
     got = sinks.kafka_options("h:1", "t", partition=2)
     assert got["assign"] == '{"t":[2]}' and "subscribe" not in got and sinks.kafka_options("h:1", "t")["subscribe"] == "t"
