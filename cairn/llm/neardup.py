@@ -332,7 +332,8 @@ def keep_one(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataF
     kept = found.where("kept").groupBy(F.col("doc_id").alias(ids)).agg(F.count("*").alias(rows))
     kept = stored(kept, f"{shared_dir(documents.sparkSession)}/kept")
     columns = documents.columns
-    named = documents.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col(ids))
+    # the ids kept grow with the documents, so they are never broadcast, whatever their size
+    named = documents.where("doc_id IS NOT NULL").join(kept.hint("merge"), F.col("doc_id") == F.col(ids))
     once = named.where(F.col(rows) == 1).select(*columns)
     plain = [f.name for f in documents.schema if not isinstance(f.dataType, T.MapType)]
     first = F.min_by(F.struct(*columns), F.struct("text", F.xxhash64(*plain)))
