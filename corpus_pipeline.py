@@ -46,7 +46,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids, and digests of ids and decoded bytes."""
-    small_batches(spark)
+    small_batches(spark, size="4m")  # distinct pieces of larger batches cost less
     return bpe.digests(docs, keep=True)
 
 
