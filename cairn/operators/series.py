@@ -87,12 +87,12 @@ class Series:
         return Series(one.withColumn(POS, F.col(POS).cast("long")), "item")
 
     @staticmethod
-    def of_generator(spark: SparkSession, seed, step: Callable, done: Callable, type_: str) -> Series:
+    def of_generator(spark: SparkSession, seed, step: Callable, done: Callable, type_: str, most: int | None = None) -> Series:
         """Unfolds (next state, item) = step(state) until done(state), in one task as each item needs the last.
 
-        Items are made as they are read: take() of an endless series ends.
+        At most ``most`` items are made; a table is finite, so an endless series needs it.
         """
-        return Series.of_source(spark, lambda: _unfolded(seed, step, done), type_)
+        return Series.of_source(spark, lambda: itertools.islice(_unfolded(seed, step, done), most), type_)
 
     @staticmethod
     def of_source(spark: SparkSession, read: Callable, type_: str) -> Series:

@@ -225,7 +225,7 @@ def bounded_generator(spark, sf):
 @query("SELECT range AS pos, range * (range + 1) // 2 AS item FROM range(0, 30)")
 def generated_series(spark, sf):
     """An endless series of which 30 items are taken."""
-    s = Series.of_generator(spark, (0, 1), lambda s: ((s[0] + s[1], s[1] + 1), s[0]), lambda s: False, "long").take(30)
+    s = Series.of_generator(spark, (0, 1), lambda s: ((s[0] + s[1], s[1] + 1), s[0]), lambda s: False, "long", 30)
     return s.df.select(F.col("_pos").alias("pos"), "item")
 
 
