@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import mapped, remainder, small_batches, table
+from cairn.llm.common import mapped, release, remainder, small_batches, table
 from cairn.llm.segments import mix
 
 BUCKETS = 1 << 16
@@ -44,6 +44,8 @@ _SIGNS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.i
 #: A longer run of letters is several words.
 LONGEST = 40
 _WORD = re.compile(rf"[^\W\d_{_SIGNS}]{{1,{LONGEST}}}")
+#: Values of one array (words by labels) while training: sequences go through forward-backward so many at a time.
+PART = 1 << 19
 #: Characters whose words are looked up together, and batches judged side by side.
 SLICE = 1 << 20
 TOGETHER = 10
@@ -231,13 +233,14 @@ def train(rows: list[tuple[str, str]], stretch: int = 40, steps: int = 40, seed:
     labels = sorted({y for t, y in rows if letter_words(t)})
     L, rng = len(labels), np.random.default_rng(seed)
     pieces: list[tuple[list[str], int]] = []
+    once: dict[str, str] = {}  # each word is held once, however often it occurs
     for text, y in rows:
         if not (w := letter_words(text)):
             continue
         begins = range(0, len(w), stretch)
         for k in range(min(len(begins), 8)):  # spread evenly over the text
             i = begins[k * len(begins) // min(len(begins), 8)]
-            pieces.append((w[i : i + stretch], labels.index(y)))
+            pieces.append(([once.setdefault(x, x) for x in w[i : i + stretch]], labels.index(y)))
     if not pieces:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((0, 0)))
     index: dict[str, int] = {}
@@ -249,7 +252,7 @@ def train(rows: list[tuple[str, str]], stretch: int = 40, steps: int = 40, seed:
     order = rng.permutation(len(pieces))
     group = 4
     T, D = stretch * group, -(-len(pieces) // group)
-    ids, gold, length = np.zeros((T, D), np.int64), np.zeros((T, D), np.int64), np.zeros(D, np.int64)
+    ids, gold, length = np.zeros((T, D), np.int32), np.zeros((T, D), np.int32), np.zeros(D, np.int64)
     for k in range(D):
         w, y = [], []
         for p in order[k * group : (k + 1) * group]:
@@ -259,20 +262,22 @@ def train(rows: list[tuple[str, str]], stretch: int = 40, steps: int = 40, seed:
         gold[: len(w), k], length[k] = y, len(w)
     flat, owner = _table(list(index))
     live = np.arange(T)[:, None] < length[None, :]
-    truth = np.eye(L)[gold] * live[:, :, None]
     truth_pairs = np.zeros((L, L))
     np.add.at(truth_pairs, (gold[:-1][live[1:]], gold[1:][live[1:]]), 1)
     weights, transition = np.zeros((BUCKETS, L)), np.eye(L)
     state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(transition), np.zeros_like(transition)]
     start, words = np.full(L, 1 / L), live.sum()
-    gold_at = np.stack([np.bincount(ids[live], truth[:, :, k][live], len(index)) for k in range(L)], 1)
+    gold_at = np.stack([np.bincount(ids[live & (gold == k)], minlength=len(index)) for k in range(L)], 1).astype(np.float64)
+    side = max(1, PART // (T * L))
     for step in range(1, steps + 1):
         score = _scores(weights, flat, owner)
         score = np.exp(score - score.max(1, keepdims=True)).clip(1e-6)
-        e = np.where(live[:, :, None], score[ids], 1)
-        marginal, pairs, _ = forward_backward(e, np.exp(transition), start, length)
-        expected = np.stack([np.bincount(ids[live], marginal[:, :, k][live], len(index)) for k in range(L)], 1)
-        g = gold_at - expected
+        g, pairs = gold_at.copy(), np.zeros((L, L))
+        for k in range(0, D, side):
+            own, there = ids[:, k : k + side], live[:, k : k + side]
+            marginal, found, _ = forward_backward(np.where(there[:, :, None], score[own], 1), np.exp(transition), start, length[k : k + side])
+            pairs += found
+            g -= np.stack([np.bincount(own[there], marginal[:, :, y][there], len(index)) for y in range(L)], 1)
         grad = np.stack([np.bincount(flat, g[owner, k], BUCKETS) for k in range(L)], 1) / words - 1e-6 * weights
         grad_t = (truth_pairs - pairs) / words - 1e-6 * transition
         for w, d, m, v in ((weights, grad, *state[:2]), (transition, grad_t, *state[2:])):
@@ -288,6 +293,7 @@ def fit(labelled: DataFrame, sample_docs: int = 2000) -> Model:
     # only hashes are sorted; then the rows up to the last one are read, copies once
     last = some.select("k").distinct().orderBy("k").limit(sample_docs).agg(F.max("k")).first()[0]
     part = [] if last is None else some.where(F.col("k") <= last).dropDuplicates(["text", "lang"]).limit(sample_docs).collect()
+    release(labelled.sparkSession)  # the driver trains, beside its JVM
     return train(sorted((r["text"], r["lang"]) for r in part))
 
 

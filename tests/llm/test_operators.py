@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -333,6 +334,21 @@ def test_every_label_of_a_skewed_sample_is_learned():
     assert [model.labels[k] for k in model.shares([text(y, 50) for y in model.labels]).argmax(1)] == model.labels
 
 
+def test_training_holds_a_part_of_the_sequences_at_a_time(monkeypatch):
+    rows = [("the cat sat on the mat " * 60, "en")] * 1250 + [(t * 80, y) for y, t in (("de", "der hund und die katze "), ("es", "el perro y la casa "), ("fr", "le chien et la maison "))]
+    tracemalloc.start()
+    try:
+        langid.train(rows, steps=1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 150e6, peak
+    whole = langid.train(rows[1200:], steps=5)
+    monkeypatch.setattr(langid, "PART", 1000, raising=False)
+    parts = langid.train(rows[1200:], steps=5)
+    assert parts.labels == whole.labels and np.allclose(parts.weights, whole.weights, atol=1e-4) and np.allclose(parts.transition, whole.transition, atol=1e-4)
+
+
 def test_every_letter_of_a_long_run_counts():
     run = "".join(chr(97 + i * i % 26) for i in range(130))
     assert "".join(langid.letter_words(f"a {run} b")) == f"a{run}b" and max(map(len, langid.letter_words(run))) == 40
