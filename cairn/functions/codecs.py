@@ -91,42 +91,51 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-#: Strings, a bare word and the colon after it, other words, and single signs.
-_PIECE = r'"(?:[^"\\]|\\.)*+"|[A-Za-z_][A-Za-z0-9_]*+\s*+:|[A-Za-z_][A-Za-z0-9_]*+|[0-9.eE+-]++|\s++|(?s).'
-_NAMED = r'^([A-Za-z_][A-Za-z0-9_]*)\s*:$'
+_STRING = r'"(?:[^"\\]|\\.)*+"'
+#: What stands before a bare field name, from the end of the last match on, and the name with its colon.
+_BARE = rf'\G((?:{_STRING}|[A-Za-z_][A-Za-z0-9_]*+(?!\s*+:)|[0-9.+-][0-9.eE+-]*+|[^"A-Za-z_])*+)([A-Za-z_][A-Za-z0-9_]*+)\s*+:'
+#: A value that neither has fields nor ends one: of a list only if nothing in it has fields.
+_PLAIN = rf'(?:{_STRING}(?!:)|[^"{{}}\[\],]++|\{{\}}|\[(?:{_STRING}(?!:)|\{{\}}|[^"{{}}\[\]])*+\])'
+#: A field's name with the comma before it and a plain value after it, other plain values, and single signs.
+_PIECE = rf'(?s),?+{_STRING}:{_PLAIN}*+|{_PLAIN}++|.'
+_NAMED = rf'^,?+({_STRING}):'
 
 
 def _repaired(text: Column) -> Column:
-    """text with bare field names quoted, and of fields with one name only the first.
+    """text with bare field names quoted, and of fields with one name only the first; without white space.
 
     Only outside of strings. Pieces are gone through in order: ``path`` has the number of each open object or list, a name is
-    the text of its object's number and the name, and ``skip`` is the depth at which a repeated field is being left out.
+    the text of its object's number and the name, ``skip`` is the depth at which a repeated field is being left out, and
+    ``cut`` has the pieces that are left out.
     """
-    quoted = F.transform(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0)), lambda p: F.when(p.rlike(_NAMED), F.array(F.concat(F.lit('"'), F.regexp_extract(p, _NAMED, 1), F.lit('"')), F.lit(":"))).otherwise(F.array(p)))
-    pieces = F.filter(F.flatten(quoted), lambda p: ~p.rlike(r"^\s*$"))
-    pairs = F.zip_with(pieces, F.concat(F.slice(pieces, 2, 1 << 30), F.array(F.lit(""))), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    dense = F.regexp_replace(F.regexp_replace(text, _BARE, r'$1"$2":'), rf"({_STRING})|\s++", "$1")
 
     def step(s: Column, x: Column) -> Column:
-        p, depth = x["p"], F.size(s["path"])
-        opens, closes = p.isin("{", "["), p.isin("}", "]")
-        name = F.concat(F.element_at(F.concat(F.array(F.lit(0)), s["path"]), -1).cast("string"), F.lit("/"), p)
-        is_name = (x["q"] == ":") & p.startswith('"')
+        piece, depth = x["piece"], F.size(s["path"])
+        opens, closes = piece.isin("{", "["), piece.isin("}", "]")
         # a left-out field ends at the comma or the bracket of its own object
-        done = (s["skip"] >= 0) & (((p == ",") & (depth == s["skip"])) | (closes & (depth == s["skip"])))
-        repeated = is_name & (s["skip"] < 0) & F.array_contains(s["names"], name)
-        leaves_out = repeated | ((s["skip"] >= 0) & ~done)
-        kept = F.when(repeated & (F.element_at(s["out"], -1) == ","), F.slice(s["out"], 1, F.size(s["out"]) - 1)).when(leaves_out, s["out"]).otherwise(F.array_append(s["out"], p))
-        return F.struct(
-            kept.alias("out"),
-            F.when(opens, F.array_append(s["path"], s["next"])).when(closes & (depth > 0), F.slice(s["path"], 1, depth - 1)).otherwise(s["path"]).alias("path"),
-            F.when(opens, s["next"] + 1).otherwise(s["next"]).alias("next"),
-            F.when(is_name & ~leaves_out, F.array_append(s["names"], name)).otherwise(s["names"]).alias("names"),
-            F.when(repeated, depth).when(done, F.lit(-1)).otherwise(s["skip"]).alias("skip"),
-        )
-
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("out"), F.array().cast("array<int>").alias("path"), F.lit(1).alias("next"), none.alias("names"), F.lit(-1).alias("skip"))
-    return F.aggregate(pairs, start, step, lambda s: F.array_join(s["out"], ""))
+        free = (s["skip"] < 0) | ((depth == s["skip"]) & (closes | piece.startswith(",")))
+        name = F.when((x["name"] != "") & free, F.concat(F.coalesce(F.try_element_at(s["path"], F.lit(-1)), F.lit(0)).cast("string"), F.lit("/"), x["name"]))
+
+        def of(y: Column) -> Column:
+            repeated = F.array_contains(s["names"], y["name"])
+            return F.struct(
+                F.when(~y["free"] | F.coalesce(repeated, F.lit(False)), F.array_append(s["cut"], x["at"])).otherwise(s["cut"]).alias("cut"),
+                F.when(opens, F.array_append(s["path"], s["next"])).when(closes & (depth > 0), F.slice(s["path"], 1, depth - 1)).otherwise(s["path"]).alias("path"),
+                F.when(opens, s["next"] + 1).otherwise(s["next"]).alias("next"),
+                F.when(~repeated, F.array_append(s["names"], y["name"])).otherwise(s["names"]).alias("names"),
+                F.when(repeated, depth).when(y["free"], F.lit(-1)).otherwise(s["skip"]).alias("skip"),
+            )
+
+        return _let(F.struct(free.alias("free"), name.alias("name")), of)
+
+    start = F.struct(F.array().cast("array<int>").alias("cut"), F.array().cast("array<int>").alias("path"), F.lit(1).alias("next"), F.array().cast("array<string>").alias("names"), F.lit(-1).alias("skip"))
+
+    def of(pieces: Column) -> Column:
+        placed = F.transform(pieces, lambda p, i: F.struct(p.alias("piece"), i.alias("at"), F.regexp_extract(p, _NAMED, 1).alias("name")))
+        return F.aggregate(placed, start, step, lambda s: F.array_join(F.filter(pieces, lambda _, i: ~F.array_contains(s["cut"], i)), ""))
+
+    return _let(F.regexp_extract_all(dense, F.lit(_PIECE), F.lit(0)), of)
 
 
 def _parse(text: Column) -> Column:

@@ -13,7 +13,7 @@ from cairn.lang.interpreter import Session
 from cairn.operators import relation as L
 from cairn.operators.mapping import Mapping
 from cairn.operators.series import Series
-from cairn.plans.driver_queries import _rel, _source, _streamed, events, query, read, scratch
+from cairn.plans.driver_queries import _rel, _source, _streamed, dealt, events, query, read, scratch
 from cairn.sources import files, sinks, stores
 from cairn.sources.keyvalue import KeyValue, loaded_struct, stored_struct
 from cairn.streaming import changelog as S
@@ -474,7 +474,7 @@ def rel_reduce_into_monoid(spark, sf):
 
 
 def _decoded(spark, sf, table: str, key: str, shape: C.Shape, text, *out) -> DataFrame:
-    return read(spark, sf, table).select(key, F.explode(C.json_decode(shape, text)).alias("v")).select(key, *out)
+    return dealt(read(spark, sf, table)).select(key, F.explode(C.json_decode(shape, text)).alias("v")).select(key, *out)
 
 
 @query("SELECT p_partkey, p_size::BIGINT AS n FROM part")

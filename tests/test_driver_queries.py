@@ -35,3 +35,9 @@ def test_query(spark, db, name):
     assert sorted(cols) == names
     order = [cols.index(n) for n in names]
     assert norm(rows) == norm([tuple(r[i] for i in order) for r in want.fetchall()])
+
+
+@pytest.mark.parametrize("name", ["json_int_from_text", "json_floats_and_bools", "json_decode_props", "json_roundtrip"])
+def test_json_is_decoded_on_all_cores(spark, name):
+    """A small file is one partition; decoding its rows is dealt over the cores."""
+    assert QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1

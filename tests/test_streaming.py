@@ -117,6 +117,20 @@ def test_json_outside_of_the_standard(spark):
     assert decoded(C.MapOf(C.String, C.Int), '{"1":"x"}', '[[1,"x"],[2,"y"]]', '{"z":"x"}') == [[{1: "x"}], [{1: "x", 2: "y"}], []]
 
 
+def test_repaired_json(spark):
+    """Repeated fields at any depth, in lists, with signs in strings, and in long texts."""
+
+    def repaired(*texts):
+        d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+        return [r[0] for r in d.select(C._repaired(F.col("t")), "i").orderBy("i").collect()]
+
+    assert repaired('{"n":"3","more":[1,{}],"n":7}', '{a:{a:1,"a":2},"a":[{a:3}], b : [ {c:1,c:[2,{c:3}]}, "c:" ]}', '{"k":"},{","k":"x","l":[],"l":[1]}') == ['{"n":"3","more":[1,{}]}', '{"a":{"a":1},"b":[{"c":1},"c:"]}', '{"k":"},{","l":[]}']
+    long = ",".join(f'"{k}, k:"' for k in range(20000))
+    assert repaired(f'{{k:[{long}],k:[{long}],j:"{"x" * 200000}"}}') == [f'{{"k":[{long}],"j":"{"x" * 200000}"}}']
+    # a list of values without names is one piece
+    assert spark.sql("SELECT 1").select(F.size(F.regexp_extract_all(F.lit('{"n":"3","more":[1,{}],"n":7}'), F.lit(C._PIECE), F.lit(0)))).first()[0] == 5
+
+
 def test_codecs(spark):
     shape = C.parse_shape("{ x: Int, y: (String, Bool), z: [Int] }")
     good = '{"x":"12","y":["a","true"],"z":[1,2],"more":0}'
