@@ -442,24 +442,31 @@ def _answers(rows: DataFrame, facts: dict, buckets: int) -> DataFrame:
     return _sorted(rows).mapInArrow(run, _ROWS)
 
 
-def _backed_off(rows: DataFrame, facts: dict, buckets: int) -> DataFrame:
-    """Kind 5: what the words of unseen bigrams add to their documents."""
+def _backed_off(rows: DataFrame, facts: dict | None, buckets: int) -> DataFrame:
+    """Kind 5: what the words of unseen bigrams add to their documents; without facts, what any words add but for the score."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums(buckets)
         for _, group in groupby(_each(batches), lambda r: r[1]):
             w, c = np.empty(0, np.uint64), np.empty(0, np.int64)
-            for kind, _, _, blob in group:
+            for kind, key, part, blob in group:
                 if kind == 0:
                     w, c = unpack(blob)
                     continue
-                asked, uid, n = unpack(blob)
+                if kind == 5:
+                    yield _rows([(kind, key, part, blob)])
+                    continue
+                if facts is None:
+                    words, users, ids, i, n = unpack(blob)
+                    asked, uid = np.repeat(words, users), ids[i]
+                else:
+                    asked, uid, n = unpack(blob)
                 at = np.searchsorted(w, asked).clip(0, max(0, len(w) - 1))
                 count = np.where(w[at] == asked, c[at], 0).astype(np.int64) if len(w) else np.zeros(len(asked), np.int64)
                 n = n.astype(np.float64)
-                # the tokens themselves were counted where their bigrams were looked up
-                sums.add(uid, np.zeros(len(n)), n * (count > 0), n * np.log10(count + 1.0), n * np.log10(_unigram(count, facts)))
+                # tokens with bigrams were counted where these were looked up
+                sums.add(uid, np.zeros(len(n)) if facts else n, n * (count > 0), n * np.log10(count + 1.0), n * np.log10(_unigram(count, facts)) if facts else np.zeros(len(n)))
                 if sums.full():
                     yield _rows(sums.rows())
         yield _rows(sums.rows())
@@ -467,6 +474,37 @@ def _backed_off(rows: DataFrame, facts: dict, buckets: int) -> DataFrame:
     return _sorted(rows).mapInArrow(run, _ROWS)
 
 
+def _asked_words(docs: DataFrame, often: np.ndarray, counts: np.ndarray, buckets: int) -> DataFrame:
+    """Kind 3: the words of chunks of documents and who has each how often, by their homes; kind 5: the sums of the words ``often``."""
+
+    @tidy
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums(buckets)
+        for w, _, doc, uid in _chunks(batches, False):
+            order, at = _alike(w)
+            words = w[order[at]]
+            user, n = np.unique(np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order)))) * len(uid) + doc[order], return_counts=True)
+            which, doc = user // len(uid), user % len(uid)
+            known = _among(often, words)
+            c, own = counts[np.searchsorted(often, words).clip(0, len(often) - 1)], known[which]
+            of, m = c[which[own]], n[own].astype(np.float64)
+            sums.add(uid[doc[own]], m, m * (of > 0), m * np.log10(of + 1.0), np.zeros(len(m)))
+            users = np.bincount(which, minlength=len(words))
+            begin = np.cumsum(users) - users
+            asked = np.flatnonzero(~known)
+            order, parts = _dealt(_home(words[asked], buckets), buckets)
+            rows = []
+            for b, s, e in parts:
+                ask = asked[order[s:e]]
+                at, _ = segments.gather(np.arange(len(doc)), begin, users, ask)
+                ids, i = np.unique(doc[at], return_inverse=True)
+                rows.append((3, b, 0, pack(words[ask], small(users[ask]), uid[ids], small(i), small(n[at]))))
+            yield _rows(rows + (sums.rows() if sums.full() else []))
+        yield _rows(sums.rows())
+
+    return docs.mapInArrow(deal, _ROWS)
+
+
 def _totals(parts: DataFrame) -> DataFrame:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -488,6 +526,39 @@ def _added(held: list[tuple]) -> tuple:
     return (u, *(np.bincount(i, v, len(u)) for v in values))
 
 
+def _prepared(documents: DataFrame, heldout: int | None) -> tuple[DataFrame, int]:
+    """The documents with uid and held_out, and a number of buckets for their tokens."""
+    held = remainder(F.col("doc_id"), heldout) == 2 if heldout else F.lit(False)
+    docs = documents.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", held.alias("held_out"))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows")).first()
+    return docs, max(16, ((size["bytes"] or 0) // 6 + size["rows"]) // BUCKET_TOKENS)
+
+
+def _found(docs: DataFrame, sums: DataFrame, train: int, words: int) -> DataFrame:
+    base = F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(train + words + 1)))
+    return docs.select("uid", "doc_id", "held_out").join(sums, "uid").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+
+
+def counted(documents: DataFrame, heldout: int | None = 7) -> DataFrame:
+    """score() without its last column, which alone needs the bigrams: all documents' words are looked up in the unigrams.
+
+    Words that make up over 1 / HOT of the training tokens, and the end token, are answered where they are asked.
+    """
+    spark = documents.sparkSession
+    docs, buckets = _prepared(documents, heldout)
+    asked = docs.select("uid", "text", "held_out")
+    unigrams = stored(_unigrams(asked, buckets), f"{shared_dir(spark)}/unigrams")
+    r = unigrams.agg(F.sum("items").alias("v"), F.sum("tokens").alias("n")).first()
+    train, words = r["n"] or 0, r["v"] or 0
+    # each training text has one end token
+    often = (_frequent(unigrams, max(1, train / HOT)) if train else {}) | {END: docs.where(~F.col("held_out")).count()}
+    release(spark)
+    keys = np.array(sorted(often), np.uint64)
+    ask = _asked_words(asked, keys, np.array([often[int(w)] for w in keys], np.int64), buckets)
+    sums = _totals(_backed_off(unigrams.select("kind", "key", "part", "blob").unionAll(ask), None, buckets))
+    return _found(docs, sums, train, words).drop("score")
+
+
 def score(documents: DataFrame, heldout: int | None = 7, where: str | None = None, keep_model: bool = False) -> DataFrame:
     """Trains on the documents that aren't held out (crc32(doc_id) mod heldout is not 2) and scores all.
 
@@ -495,11 +566,8 @@ def score(documents: DataFrame, heldout: int | None = 7, where: str | None = Non
     """
     spark = documents.sparkSession
     where = where or shared_dir(spark)
-    held = remainder(F.col("doc_id"), heldout) == 2 if heldout else F.lit(False)
-    docs = documents.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", held.alias("held_out"))
+    docs, buckets = _prepared(documents, heldout)
     asked = docs.select("uid", "text", "held_out")
-    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows")).first()
-    buckets = max(16, ((size["bytes"] or 0) // 6 + size["rows"]) // BUCKET_TOKENS)
     unigrams = stored(_unigrams(asked, buckets), f"{where}/unigrams")
     at = lambda k: F.coalesce(F.sum(F.get("tally", F.lit(k))), F.lit(0)).alias(f"n{k}")
     r = unigrams.agg(*map(at, range(K + 2)), F.sum("items").alias("v"), F.sum("tokens").alias("n")).first()
@@ -537,9 +605,7 @@ def score(documents: DataFrame, heldout: int | None = 7, where: str | None = Non
     more = stored(_backed_off(plain(unigrams).unionAll(answers.where("kind = 3")), facts, buckets), f"{where}/backoff")
     release(spark)
     sums = _totals(answers.where("kind = 5").unionAll(more))
-    found = docs.select("uid", "doc_id", "held_out").join(sums, "uid")
-    base = F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(train + (r["v"] or 0) + 1)))
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return _found(docs, sums, train, r["v"] or 0)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -547,6 +613,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, size="8m")
+    return counted(table(spark, sf_dir, "documents"))
+
+
 def brute(docs: list[tuple[int, str | None]], heldout: int = 7) -> dict[int, tuple]:
     """The same by dictionaries and the recursive definition, for tests."""
     import math

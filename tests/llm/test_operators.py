@@ -422,6 +422,28 @@ def test_katz_edges(spark, odd, empty):
     assert katz.score(empty).count() == 0
 
 
+def test_katz_counts_need_no_bigrams(spark, docs, odd, empty, monkeypatch):
+    """The same counts and base scores as the model's, from the unigrams alone, however the words are dealt."""
+    cut = lambda df: {r["doc_id"]: (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], pytest.approx(r["base_score"], abs=1e-9)) for r in df.collect()}
+    want, strange = cut(katz.op4(spark, SF)), katz.brute([(r["doc_id"], r["text"]) for r in odd.collect()])
+
+    def refuse(*_):
+        raise AssertionError("bigrams")
+
+    monkeypatch.setattr(katz, "_bigrams", refuse)
+    assert {d: tuple(w) for d, w in cut(katz.counts(spark, SF)).items()} == want
+    for name, value in (("CHUNK_TOKENS", 300), ("SUMS", 40), ("BUCKET_TOKENS", 100), ("HOT", 20)):
+        monkeypatch.setattr(katz, name, value)
+    got = cut(katz.counts(spark, SF))
+    assert got == want and len(got) == len(docs)
+    got = cut(katz.counted(odd))
+    assert all(got[d] == w[:5] for d, w in strange.items())
+    assert katz.counted(empty).count() == 0
+    # no training documents: nothing is known
+    held = spark.createDataFrame([(d, "a b a") for d in range(200)], "doc_id long, text string").where("crc32(cast(doc_id AS string)) % 7 = 2")
+    assert {tuple(r)[1:] for r in katz.counted(held).collect()} == {(True, 4, 0, 0, 0.0)}
+
+
 def test_katz_is_normalised():
     """For a seen history the probabilities of all words and of the unknown one sum to 1, discounted or not."""
     from collections import Counter
